@@ -248,22 +248,26 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, sha = vocabulary.value, lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
-            counts, lists, left, right = [], [], [], []
+            at = 0
             for group in _groups(texts_of(b.column(1))):
+                counts, lists, left, right = [], [], [], []
                 for words in v.encode(group):
                     counts.append(sum([w[1] for w in words]))
                     if ids:
-                        lists.append([i for w in words for i in w[3]])
+                        lists.append(np.fromiter((i for w in words for i in w[3]), np.int32, counts[-1]))
                     if digests:
                         left.append(sha(" ".join([w[0] for w in words])))
                         right.append(sha(" ".join([w[2] for w in words])))
-            columns = {"id": b.column(0), "n_tokens": pa.array(counts, pa.int64())}
-            if ids:
-                columns["tokens"] = pa.array(lists, pa.list_(pa.int32()))
-            if digests:
-                columns |= {"ids_sha256": pa.array(left, pa.string()), "decoded_sha256": pa.array(right, pa.string())}
-            columns |= {f"x{i}": x for i, x in enumerate(b.columns[2:])}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                part = b.slice(at, len(group))
+                at += len(group)
+                columns = {"id": part.column(0), "n_tokens": pa.array(counts, pa.int64())}
+                if ids:
+                    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    columns["tokens"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists), pa.int32()))
+                if digests:
+                    columns |= {"ids_sha256": pa.array(left, pa.string()), "decoded_sha256": pa.array(right, pa.string())}
+                columns |= {f"x{i}": x for i, x in enumerate(part.columns[2:])}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
     schema = ["id long", "n_tokens long"] + ["tokens array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests

@@ -182,28 +182,34 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
             automata.append(broadcast(spark, Automaton(window).build(rows), "an automaton of a block of items"))
     extra = [c for c in extra or [] if c not in (id_col, text_col)]
 
+    def all_spans(words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        spans, names, merged = [], set(), []
+        for a in automata:
+            more, numbers = a.value.match(words)
+            spans += more
+            names |= {a.value.item_ids[k] for k in numbers}
+        for s, e in sorted(spans):
+            if merged and s <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+            else:
+                merged.append((s, e))
+        return merged, names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, hits, found, cleaned = [], [], [], []
             for text in bytes_of(b.column(1)):
                 words = words_of(text)
-                spans, names = [], set()
-                for a in automata:
-                    more, numbers = a.value.match(words)
-                    spans += more
-                    names |= {a.value.item_ids[k] for k in numbers}
-                merged: list[tuple[int, int]] = []
-                for s, e in sorted(spans):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-                    else:
-                        merged.append((s, e))
+                merged, numbers = all_spans(words)
                 hit = sum(e - s for s, e in merged)
                 counts.append(len(words))
                 hits.append(hit)
-                found.append(sorted(names))
+                found.append(sorted(numbers))
                 over = hit and ((max_words is not None and hit > max_words) or (max_cover is not None and hit > max_cover * len(words)))
-                cleaned.append(None if over else (_cut_out(text, merged) if hit else text).decode())
+                while merged and not over:  # what is left may form a window across a cut
+                    text = _cut_out(text, merged)
+                    merged, _ = all_spans(words_of(text))
+                cleaned.append(None if over else text.decode())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(cleaned, pa.string()), *b.columns[2:]],
                 names=["id", "n_words", "n_hit", "items", "cleaned", *[f"x{i}" for i in range(len(extra))]],

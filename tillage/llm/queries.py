@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillage.llm import ann, bpe, decontaminate, html, language, simhash
+from tillage.llm import ann, bpe, decontaminate, html, language, linededup, simhash
 from tillage.llm.common import table
 
 #: Where the tokenizers' files are; a parameter of every operator that needs one.
@@ -43,11 +43,16 @@ def op8_simhash(spark, d):
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_lines(spark, d):
+    found = linededup.dedup_lines(table(spark, d, "documents"), edits=2)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_neighbours(spark, d):
     return ann.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op4_decontaminate, op6_bpe, op7_language, op8_simhash, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_html, op4_decontaminate, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours)}
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": r"""

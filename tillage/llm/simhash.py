@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillage.llm.common import bytes_of, cut, whole_text
 from tillage.llm.components import connected_components
@@ -43,14 +44,15 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as the signed long of the same bits) of each document's whole text."""
+    """(id, version, fp): fp is the fingerprint of the whole text as a signed long, version another hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.fromiter((fingerprint(t, shingle, seed) for t in bytes_of(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found.view(np.int64))], names=["id", "version", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col)).mapInArrow(run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col), F.xxhash64(whole_text(text_col)).alias("version"))
+    return source.mapInArrow(run, "id long, version long, fp long")
 
 
 @dataclass(frozen=True)
@@ -246,7 +248,7 @@ def links(distinct_fps: DataFrame, distance: int = 4, block_rows: int = BLOCK_RO
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): component is the least id reachable over links of at most `distance` differing bits.
+    """(id, version, fp, root, component): root names the class, a fingerprint in it; component is the least id reachable over links of at most `distance` differing bits.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows come back repeated. A null id is
     kept; a component of null ids only has a null component. An empty table gives no rows.
@@ -256,8 +258,18 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     roots = connected_components(links(distinct, distance))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select(distinct.fp, "first", F.coalesce("root", distinct.fp).alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component"))
-    named = classes.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    named = classes.join(least, "root").select("fp", "root", "component")
+    return prints.join(named, "fp").select("id", "version", "fp", "root", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of near_duplicates: the least id's, among equal ids the least text hash's."""
+    found = near_duplicates(docs, distance, shingle, seed, id_col, text_col)
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "version")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.version").alias("_version"))
+    marked = docs.withColumn("_v", F.xxhash64(whole_text(text_col)))
+    rows = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left_semi")
+    one = Window.partitionBy(id_col, "_v").orderBy(F.lit(1))  # rows that repeat id and text
+    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 def hex_fingerprint(c):
