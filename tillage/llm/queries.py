@@ -5,11 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillage.llm import ann, bpe, decontaminate, html, language, linededup, simhash
+from tillage.llm import ann, bpe, decontaminate, html, language, licenses, linededup, secrets, simhash, tokencount
 from tillage.llm.common import table
 
 #: Where the tokenizers' files are; a parameter of every operator that needs one.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_licenses(spark, d):
+    """documents as files: source/lang/thousand/number, of which every fiftieth is its directory's licence file."""
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), name)
+    found = licenses.inherit(licenses.scan(table(spark, d, "documents").select(path.alias("path"), "text")))
+    doc_id = lambda c: F.regexp_extract(c, r"(\d+)$", 1).try_cast("long")
+    return found.select(doc_id("path").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "origin", doc_id("licensed_by").alias("licensed_by"))
 
 
 def op2_html(spark, d):
@@ -17,6 +27,10 @@ def op2_html(spark, d):
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed")
 
 
+def op3_tokens(spark, d):
+    return tokencount.count_tokens(table(spark, d, "documents"), tokencount.pieces_of(PIECES)).withColumnRenamed("id", "doc_id")
+
+
 def op4_decontaminate(spark, d):
     found = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), window=10)
     return found.select(
@@ -25,6 +39,13 @@ def op4_decontaminate(spark, d):
     )
 
 
+def op5_secrets(spark, d):
+    made = secrets.made_findings(spark)
+    labelled = secrets.findings(made, path_col="path").join(made.select(F.col("doc_id").alias("id"), "label"), "id")
+    found = secrets.scan(table(spark, d, "documents"), secrets.train(labelled), path_col="source")
+    return found.select(F.col("id").alias("doc_id"), "begin", "end", "kind", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op6_bpe(spark, d):
     found = bpe.encode(table(spark, d, "documents"), WORD_BPE, ids=False, digests=True)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
@@ -52,7 +73,7 @@ def op10_neighbours(spark, d):
     return ann.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op4_decontaminate, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_html, op3_tokens, op4_decontaminate, op5_secrets, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours)}
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": r"""
