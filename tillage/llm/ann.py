@@ -17,8 +17,10 @@ from tillage.llm.common import broadcast
 QUERY_BLOCK = 4096
 #: Vectors that are scanned at a time, and by one task at least.
 ROWS = 8192
+#: Of these, queries that are estimated together, and pairs whose exact products are taken together: bound a task's memory.
+QUERIES, RERANK = 64, 1 << 15
 #: Half-width of the error bound in standard deviations.
-EPSILON = 4.0
+EPSILON = 3.0
 
 
 def valid(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -100,19 +102,23 @@ def _scan(block, codes: Codes, dims: int, k: int):
             own, v, packed, norm, aligned = (np.concatenate(x) for x in zip(*rows))
             signs = (np.unpackbits(packed, axis=1, count=dims).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dims))
             spread = norm * np.sqrt(np.maximum(0, 1 - aligned**2)) / aligned * EPSILON / np.sqrt(max(dims - 1, 1))
-            for at in range(0, len(ids), 256):
-                part = slice(at, at + 256)
-                estimate = (rotated[part].astype(np.float32) @ signs.T) * (norm / aligned)[None, :] + centred[part, None]
+            scale = (norm / aligned)[None, :]
+            for at in range(0, len(ids), QUERIES):
+                part = slice(at, at + QUERIES)
+                estimate = (rotated[part].astype(np.float32) @ signs.T) * scale + centred[part, None]
+                estimate[own[None, :] == ids[part, None]] = -np.inf
                 error = lengths[part, None] * spread[None, :] + 1e-5 * (lengths[part, None] * norm[None, :] + np.abs(centred[part, None])) + 1e-12
-                other = own[None, :] != ids[part, None]
-                low = np.where(other, estimate - error, -np.inf)
                 floor = best[part, k - 1]
-                if low.shape[1] >= k:  # k rows are at least this near
-                    floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-                i, j = np.nonzero(other & (estimate + error >= floor[:, None]))
+                if estimate.shape[1] > k:  # the exact products of the k best estimates: the k-th nearest is at least this near
+                    top = np.argpartition(estimate, -k, axis=1)[:, -k:]
+                    row = np.repeat(np.arange(len(top)), k)
+                    sure = np.where(estimate[row, top.ravel()] > -np.inf, exact(q[part][row], v[top.ravel()]), -np.inf)
+                    floor = np.maximum(floor, sure.reshape(-1, k).min(axis=1))
+                i, j = np.nonzero((estimate + error >= floor[:, None]) & (estimate > -np.inf))
                 if not len(i):
                     continue
-                score = exact(q[part][i], v[j])
+                own_q = q[part]
+                score = np.concatenate([exact(own_q[i[x : x + RERANK]], v[j[x : x + RERANK]]) for x in range(0, len(i), RERANK)])
                 i = i + at
                 touched = np.unique(i)
                 all_q = np.concatenate([i, np.repeat(touched, k)])
