@@ -18,9 +18,9 @@ QUERY_BLOCK = 4096
 #: Vectors that are scanned at a time, and by one task at least.
 ROWS = 8192
 #: Of these, queries that are estimated together, and pairs whose exact products are taken together: bound a task's memory.
-QUERIES, RERANK = 64, 1 << 15
+QUERIES, RERANK = 64, 1 << 14
 #: Half-width of the error bound in standard deviations.
-EPSILON = 3.0
+EPSILON = 1.9
 
 
 def valid(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -60,11 +60,16 @@ class Codes:
         return np.packbits(signs, axis=1), norm, np.where(norm > 0, aligned, 1)
 
 
-def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of matching rows in double precision, summed from the first component to the last."""
-    total = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        total += q[:, j] * v[:, j]
+def exact(qt: np.ndarray, vt: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of columns i of qt and j of vt in double precision, summed from the first component to the last.
+
+    One component at a time for many pairs: the rows that are gathered from stay in the cache.
+    """
+    total = np.zeros(len(i))
+    for x in range(0, len(i), RERANK):
+        a, b, part = i[x : x + RERANK], j[x : x + RERANK], total[x : x + RERANK]
+        for q, v in zip(qt, vt):
+            part += q[a] * v[b]
     return total
 
 
@@ -93,18 +98,20 @@ def _scan(block, codes: Codes, dims: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = block.value
         rotated, centred = q @ codes.rotation, q @ codes.centre
-        lengths = np.linalg.norm(q, axis=1)
+        lengths, qt = np.linalg.norm(q, axis=1), np.ascontiguousarray(q.T)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
         best = np.full((len(ids), k), -np.inf)
 
         def take(rows: list[np.ndarray]) -> None:
             nonlocal best, best_id
             own, v, packed, norm, aligned = (np.concatenate(x) for x in zip(*rows))
+            vt = np.ascontiguousarray(v.T)
             signs = (np.unpackbits(packed, axis=1, count=dims).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dims))
             spread = norm * np.sqrt(np.maximum(0, 1 - aligned**2)) / aligned * EPSILON / np.sqrt(max(dims - 1, 1))
             scale = (norm / aligned)[None, :]
             for at in range(0, len(ids), QUERIES):
                 part = slice(at, at + QUERIES)
+                own_q = qt[:, part]
                 estimate = (rotated[part].astype(np.float32) @ signs.T) * scale + centred[part, None]
                 estimate[own[None, :] == ids[part, None]] = -np.inf
                 error = lengths[part, None] * spread[None, :] + 1e-5 * (lengths[part, None] * norm[None, :] + np.abs(centred[part, None])) + 1e-12
@@ -112,13 +119,12 @@ def _scan(block, codes: Codes, dims: int, k: int):
                 if estimate.shape[1] > k:  # the exact products of the k best estimates: the k-th nearest is at least this near
                     top = np.argpartition(estimate, -k, axis=1)[:, -k:]
                     row = np.repeat(np.arange(len(top)), k)
-                    sure = np.where(estimate[row, top.ravel()] > -np.inf, exact(q[part][row], v[top.ravel()]), -np.inf)
+                    sure = np.where(estimate[row, top.ravel()] > -np.inf, exact(own_q, vt, row, top.ravel()), -np.inf)
                     floor = np.maximum(floor, sure.reshape(-1, k).min(axis=1))
                 i, j = np.nonzero((estimate + error >= floor[:, None]) & (estimate > -np.inf))
                 if not len(i):
                     continue
-                own_q = q[part]
-                score = np.concatenate([exact(own_q[i[x : x + RERANK]], v[j[x : x + RERANK]]) for x in range(0, len(i), RERANK)])
+                score = exact(own_q, vt, i, j)
                 i = i + at
                 touched = np.unique(i)
                 all_q = np.concatenate([i, np.repeat(touched, k)])
