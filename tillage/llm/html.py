@@ -34,6 +34,8 @@ NAMES = {
 }
 #: Start tags that end an open p, and which open siblings they end.
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Shares into which each host's pages are dealt when they meet their template, so that a hot host is many tasks' work.
+SALTS = 256
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -202,7 +204,8 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.3, page_c
 
     A subtree is template if it is on at least min_pages distinct pages and the share min_share of all distinct pages
     of its host; pages with the same html count once. Counting combines on the map side, so a host with a third of
-    all pages is no hot key; what comes back for a host is at most 1 / min_share subtrees a page, joined by host.
+    all pages is no hot key; what comes back for a host is about 1 / min_share times a page's subtrees at most, copied for
+    each of the SALTS shares of its pages.
     Null html gives an empty text. A null url is the host "".
     """
     base = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
@@ -233,5 +236,7 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.3, page_c
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_removed"])
 
-    joined = base.join(template, "host", "left").select("page_id", "url", "html", "template")
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    copies = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_removed long")
