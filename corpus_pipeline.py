@@ -6,7 +6,7 @@ all but the last return the columns of documents. n_chars follows the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.llm import bpe, decontaminate, language, linededup, simhash
@@ -19,24 +19,35 @@ MIN_SCORE = 0.5
 MAX_COVER = 0.5
 
 
-def _shaped(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The columns of docs with the new text and its length."""
-    new = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")}
-    return found.select(*[new[c].alias(c) if c in new else F.col("id").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
+def _carried(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its further columns under names that no operator uses, and those names."""
+    names = {c: f"_carried_{c}" for c in docs.columns if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), names
+
+
+def _shaped(found: DataFrame, docs: DataFrame, names: dict[str, str], **new: Column) -> DataFrame:
+    """The columns of docs: new ones where given, else those carried along."""
+    return found.select(*[new[c].alias(c) if c in new else F.col("id").alias(c) if c == "doc_id" else F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
+
+
+def _text(column: str) -> dict[str, Column]:
+    return {"text": F.col(column), "n_chars": F.coalesce(F.char_length(column), F.lit(0)).cast("long")}
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; drops documents without a clear language, labels the rest as predicted."""
     model = language.train(docs)
-    others = [c for c in docs.columns if c not in ("doc_id", "lang")]
-    found = language.identify(docs, model, extra=others).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return found.select(*[F.col("id").alias(c) if c == "doc_id" else F.col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    source, names = _carried(docs)
+    found = language.identify(source.withColumn("_carried_text", F.col("text")), model, extra=["_carried_text", *names.values()])
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return _shaped(kept, docs, names, text=F.col("_carried_text"), lang=F.col("lang_pred"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A line stays where it is first; a document of which no word stays, goes."""
-    found = linededup.dedup_lines(docs, extra=[c for c in docs.columns if c not in ("doc_id", "text")])
-    return _shaped(found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")), docs, "text")
+    source, names = _carried(docs)
+    found = linededup.dedup_lines(source, extra=list(names.values()))
+    return _shaped(found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")), docs, names, **_text("text"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +55,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), extra=[c for c in docs.columns if c not in ("doc_id", "text")], max_cover=MAX_COVER)
-    return _shaped(found.where("cleaned is not null"), docs, "cleaned")
+    source, names = _carried(docs)
+    found = decontaminate.contamination(source, table(spark, sf_dir, "benchmark"), extra=list(names.values()), max_cover=MAX_COVER)
+    return _shaped(found.where("cleaned is not null"), docs, names, **_text("cleaned"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = bpe.encode(docs, WORD_BPE, extra=["lang", "source"])
-    return found.withColumnRenamed("id", "doc_id")
+    """doc_id, n_tokens, tokens, lang, source."""
+    return bpe.encode(docs, WORD_BPE, extra=["lang", "source"]).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
