@@ -93,3 +93,13 @@ def test_components(spark):
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    clashing = ["_id", "_version", "id", "version", "v", "n", "root", "fp", "c0", "a.b"]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, ""), (5, "other words of another text")]
+    docs = spark.createDataFrame([(i, t, *range(len(clashing))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in clashing))
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in got.collect()) == [(False, 0, ""), (True, 1, "a b c d e f"), (True, 5, "other words of another text")]
+    assert all(tuple(r)[2:] == tuple(range(len(clashing))) for r in got.collect())

@@ -263,13 +263,18 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of near_duplicates: the least id's, among equal ids the least text hash's."""
+    """docs with one row of each class of near_duplicates: the least id's, among equal ids the least text hash's.
+
+    Columns are known by position meanwhile, so docs may have any names.
+    """
     found = near_duplicates(docs, distance, shingle, seed, id_col, text_col)
-    kept = found.groupBy("root").agg(F.min(F.struct("id", "version")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.version").alias("_version"))
-    marked = docs.withColumn("_v", F.xxhash64(whole_text(text_col)))
-    rows = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left_semi")
-    one = Window.partitionBy(id_col, "_v").orderBy(F.lit(1))  # rows that repeat id and text
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "version")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.version").alias("version"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    marked = docs.toDF(*names).withColumn("v", F.xxhash64(whole_text(text)))
+    rows = marked.join(kept, F.col(own).cast("long").eqNullSafe(F.col("id")) & (F.col("v") == F.col("version")), "left_semi")
+    one = Window.partitionBy(own, "v").orderBy(F.lit(1))  # rows that repeat id and text
+    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select(*names).toDF(*docs.columns)
 
 
 def hex_fingerprint(c):
