@@ -63,18 +63,32 @@ class Keys:
     def __init__(self, edits: int):
         self.k, self.plans = edits + 1, {}
 
-    def plan(self, n: int) -> list[tuple[bytes, int, int, int]]:
+    def plan(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(seed of length and segment, begin, end, role), a line's own segments first.
+
+        A line finds each of its own segments again at no shift: an index key is a probe too, and has no row as one.
+        """
         if n not in self.plans:
-            own = [(b"%d,%d," % (n, i), at, at + size, 0) for i, (at, size) in enumerate(segments(n, self.k))]
-            probes = [(b"%d,%d," % (m, i), p, p + size, 1) for m in range(max(1, n - self.k + 1), n + 1) for i, p, size in probe_starts(n, m, self.k)]
+            own = [(n * self.k + i, at, at + size, 0) for i, (at, size) in enumerate(segments(n, self.k))]
+            probes = [(m * self.k + i, p, p + size, 1) for m in range(max(1, n - self.k + 1), n + 1) for i, p, size in probe_starts(n, m, self.k)]
             if len(self.plans) > 20_000:
                 self.plans.clear()
-            self.plans[n] = own + probes
+            selves = {(seed, a) for seed, a, _, _ in own}
+            self.plans[n] = own + [x for x in probes if x[:2] not in selves]
         return self.plans[n]
 
+    def rows(self, line: str) -> list[int]:
+        """The keys to store: index keys, of which each is a probe as well, and the other probe keys."""
+        digest, plan = xxhash.xxh3_64_intdigest, self.plan(len(line))
+        if line.isascii():
+            data = line.encode()
+            return [(digest(data[a:b], seed) >> 2 << 1) | role for seed, a, b, role in plan]
+        return [(digest(line[a:b].encode("utf-8", "surrogatepass"), seed) >> 2 << 1) | role for seed, a, b, role in plan]
+
     def of(self, line: str) -> list[int]:
-        digest = xxhash.xxh3_64_intdigest
-        return [(digest(tag + line[a:b].encode("utf-8", "surrogatepass")) >> 2 << 1) | role for tag, a, b, role in self.plan(len(line))]
+        """All index and probe keys."""
+        rows = self.rows(line)
+        return [*rows, *[x | 1 for x in rows if not x & 1]]
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -143,7 +157,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, keyed: bool, edits: int,
                         if key in seen or len(line) < MIN_FUZZY:
                             continue
                         seen.add(key)
-                        left.append(maker.of(line) if keyed else line)
+                        left.append(maker.rows(line) if keyed else line)
                     else:
                         left.append(ids[i])
                         third.append(versions[i])
@@ -168,13 +182,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, probe = seg >> 1, (seg & 1).astype(bool)
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         sizes = np.diff(np.append(starts, len(seg)))
-        index = np.add.reduceat(~probe, starts)
+        meets = (np.add.reduceat(~probe, starts) > 0) & (np.minimum.reduceat(key, starts) < np.maximum.reduceat(key, starts))
         a, b, buckets, cells = [], [], [], []
-        for s, n in zip(starts[(sizes > index) & (index > 0)], sizes[(sizes > index) & (index > 0)]):
-            part, is_probe = key[s : s + n], probe[s : s + n]
-            left, right = np.unique(part[~is_probe]), np.unique(part[is_probe])
-            if len(left) == 1 and len(right) == 1 and left[0] == right[0]:
-                continue
+        for s, n in zip(starts[meets], sizes[meets]):  # an index key of one line and any key of another
+            part = key[s : s + n]
+            left, right = np.unique(part[~probe[s : s + n]]), np.unique(part)
             if len(left) * len(right) <= SMALL_BUCKET:
                 x, y = np.repeat(left, len(right)), np.tile(right, len(left))
                 x, y = x[x != y], y[x != y]
