@@ -15,6 +15,8 @@ from tillage.llm.queries import WORD_BPE
 
 #: Documents whose language is less clear than this are rejected.
 MIN_SCORE = 0.5
+#: Documents whose sets of five-word shingles have this Jaccard or more are near duplicates.
+MIN_JACCARD = 0.8
 #: Documents of which a larger share of words comes from the benchmark are dropped; else the passages are cut out.
 MAX_COVER = 0.5
 
@@ -51,7 +53,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    """Links fingerprints as op8 does, and exactly the documents that share five-word shingles."""
+    return simhash.drop_near_duplicates(docs, similarity=MIN_JACCARD, words=5)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tillage.llm.common import bytes_of, cut, whole_text
 from tillage.llm.components import connected_components
+from tillage.llm.shingles import similar_texts
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of a text that are hashed at a time: bounds the memory of a very long text.
@@ -262,12 +263,25 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     return prints.join(named, "fp").select("id", "version", "fp", "root", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined(found: DataFrame, docs: DataFrame, similarity: float, words: int, text_col: str) -> DataFrame:
+    """found with the classes made one that hold texts of that Jaccard of their word shingles."""
+    found = cut(found.select("id", "version", "root"))
+    texts = docs.select(F.xxhash64(whole_text(text_col)).alias("key"), whole_text(text_col).alias("t"))
+    of = found.select("version", "root").distinct()
+    pairs = similar_texts(texts, words, similarity).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    roots = connected_components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("root", "least")
+    return found.join(roots, found.root == roots.node, "left").select("id", "version", F.coalesce("least", "root").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
     """docs with one row of each class of near_duplicates: the least id's, among equal ids the least text hash's.
 
+    With a similarity, texts whose sets of `words`-word shingles have at least that Jaccard link too, exactly.
     Columns are known by position meanwhile, so docs may have any names.
     """
     found = near_duplicates(docs, distance, shingle, seed, id_col, text_col)
+    if similarity is not None:
+        found = _joined(found, docs, similarity, words, text_col)
     kept = found.groupBy("root").agg(F.min(F.struct("id", "version")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.version").alias("version"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
