@@ -21,3 +21,13 @@ def test_forest(spark):
 def test_candidates():
     assert S.candidates("password=abcdefgh1, ghp_" + "a1" * 12) == [(9, 18, "assignment"), (20, 48, "service_token")]
     assert S.candidates("nothing here " * 50) == []
+
+
+def test_values_of_any_length():
+    long = "aB3+/xY9" * 45
+    assert S.candidates(f"AWS_SESSION_TOKEN={long} end") == [(18, 378, "assignment")]
+    assert S.candidates(f"blob {long}== end") == [(5, 367, "opaque")]
+    assert S.candidates("x " + "k9" * 200_000 + " y") == [(2, 400_002, "opaque")]
+    value = S.features(long, 0, len(long), "opaque")
+    pairs = [(S._class(a), S._class(b)) for a, b in zip(long, long[1:])]
+    assert value[0] == 360 and value[4] == sum(a != b for a, b in pairs) / len(pairs) and len(value) == S.FEATURES

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ PATTERNS = [
     ("service_token", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_](?:live[-_])?[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35})"),
     ("web_token", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END"),
-    ("assignment", r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*(?:=>|:=|=|:)\s*[\"']?)(?P<v>[^\s\"',;<>]{8,200})"),
-    ("opaque", r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{32,200}={0,2}(?![A-Za-z0-9+/_\-])"),
+    ("assignment", r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*(?:=>|:=|=|:)\s*[\"']?)(?P<v>[^\s\"',;<>]{8,})"),
+    ("opaque", r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{32,}={0,2}(?![A-Za-z0-9+/_\-])"),
 ]
 KINDS = [k for k, _ in PATTERNS]
 _SCAN = [(k, re.compile(p)) for k, p in PATTERNS]
@@ -76,11 +77,11 @@ def features(text: str, begin: int, end: int, kind: str, path: str = "") -> list
     """Length, character transitions, dictionary coverage, path and neighbouring words of a candidate."""
     value = text[begin:end]
     n = max(len(value), 1)
-    classes = [_class(c) for c in value]
+    classes = bytes(map(_class, value))
     counts = {c: value.count(c) for c in set(value)}
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    moves = list(zip(classes, classes[1:]))
-    share = lambda test: sum(map(test, moves)) / max(len(moves), 1)
+    moves = Counter(zip(classes, classes[1:]))  # few keys, however long the value
+    share = lambda test: sum(k for m, k in moves.items() if test(m)) / max(len(value) - 1, 1)
     vowels = sum(c in "aeiouAEIOU" for c in value) / n
     hexadecimal = float(all(c in "0123456789abcdefABCDEF-" for c in value))
     before = [w.lower() for w in _WORDS.findall(text[max(0, begin - 60) : begin])][-4:]
