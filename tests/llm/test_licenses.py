@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,24 @@ def test_scan_and_inheritance(spark):
     assert got["a/b/c/y.py"] == ("Apache-2.0", "inherited", "a/b/COPYING.txt") and got["a/b/z.py"][:2] == ("CC-BY-NC-4.0", "own")
     assert got["d/w.py"] == got["ab/q"] == got["LICENSE"] == (None, None, None) and got[None][0] == "MIT"
     assert L.inherit(L.scan(df.limit(0))).count() == 0
+
+
+def test_common_notices_are_scored(spark):
+    """A notice whose words are on over 5 % of all lines, and a single file of one line."""
+    hot = [(f"h/{i}", "Released under the MIT License.") for i in range(30)] + [(f"z/{i}", f"filler line {i}") for i in range(60)]
+    for rows in (hot, hot[:1]):
+        got = {r.path: r.license for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+        assert got == brute(rows) and all(got[p] == ("MIT" if p.startswith("h/") else None) for p, _ in rows)
+
+
+def test_no_unit_is_passed_over_that_reaches_the_threshold():
+    rng = random.Random(6)
+    words = sorted({w for _, t in L.TEMPLATES for w in L.terms(t)})
+    scorer = L.Scorer(L.TEMPLATES, 1000, {w: rng.choice([0, 5, 300, 900]) for w in words})
+    for least in (0.3, 0.7, 0.95):
+        everything = L.Scorer(L.TEMPLATES, 1000, {})
+        everything.idf, everything.postings, everything.cores = scorer.idf, scorer.postings, {least: set(words)}
+        for _ in range(3000):
+            template = L.terms(rng.choice(L.TEMPLATES)[1])
+            unit = " ".join(w for w in template if rng.random() < 0.6)
+            assert scorer.best(unit, least)[0] == everything.best(unit, least)[0]

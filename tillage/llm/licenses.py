@@ -53,11 +53,34 @@ class Scorer:
             norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
             for t, w in weights.items():
                 self.postings.setdefault(t, []).append((i, w / norm))
-        self.rare = {t for t in self.idf if frequency.get(t, 0) <= n * 0.05} or set(self.idf)
+        self.cores: dict[float, set[str]] = {}
+
+    def core(self, least: float) -> set[str]:
+        """Words of which a unit has one if its cosine to any template is at least `least`.
+
+        A cosine is at most the norm of the template's weights for the shared words (Cauchy-Schwarz); so each template
+        gives its heaviest words until the norm of its others is below `least`.
+        """
+        if least not in self.cores:
+            weights: list[list[tuple[float, str]]] = [[] for _ in self.names]
+            for t, found in self.postings.items():
+                for i, y in found:
+                    weights[i].append((y, t))
+            core: set[str] = set()
+            for own in weights:
+                own.sort()
+                rest = 0.0
+                for k, (y, _) in enumerate(own):
+                    rest += y * y
+                    if math.sqrt(rest) >= least - 1e-9:
+                        core.update(t for _, t in own[k:])
+                        break
+            self.cores[least] = core
+        return self.cores[least]
 
     def best(self, unit: str, least: float) -> tuple[str | None, float]:
         words = terms(unit)
-        if self.rare.isdisjoint(words):  # what shares only the commonest words with the templates
+        if self.core(least).isdisjoint(words):  # no cosine can reach least
             return None, 0.0
         counts: dict[str, int] = {}
         for w in words:
