@@ -170,9 +170,21 @@ def _cells(similarity: float):
 
 def _verify(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words)
+        make, known, held = Shingler(words), {}, 0  # a text is in many pairs
+
+        def sets(key: int, text: bytes) -> np.ndarray:
+            nonlocal held
+            if key not in known:
+                if held > 1_000_000:
+                    known.clear()
+                    held = 0
+                known[key] = make(text)
+                held += len(known[key])
+            return known[key]
+
         for b in batches:
-            keep = [similar(make(x), make(y), similarity) for x, y in zip(bytes_of(b.column(2)), bytes_of(b.column(3)))]
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), bytes_of(b.column(2)), bytes_of(b.column(3)))
+            keep = [similar(sets(a, x), sets(c, y), similarity) for a, c, x, y in rows]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
     return run
