@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tillage.plans import more_queries  # noqa: F401 - registers
 from tillage.plans.queries import ORACLE, QUERIES
 
 D = "/root/testdata/sf0.001"

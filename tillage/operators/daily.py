@@ -17,13 +17,15 @@ def season_features(daily: DataFrame, keys: Sequence[str], sums: Sequence[str] =
 
 
 def longest_spell(daily: DataFrame, keys: Sequence[str], day: str, condition: Column, name: str = "longest_spell") -> DataFrame:
-    """Longest run of consecutive days that meet the condition, 0 if none does. day is a date; repeats count once."""
-    days = daily.groupBy(*keys, day).agg(F.bool_or(F.coalesce(condition, F.lit(False))).alias("_hit"))
-    order = Window.partitionBy(*keys).orderBy(day)
-    hits = days.where("_hit").withColumn("_island", F.date_sub(F.col(day), F.row_number().over(order)))
-    runs = hits.groupBy(*keys, "_island").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.max("_n").alias(name))
-    everyone = daily.select(*keys).distinct()
-    return everyone.join(runs, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
+    """Longest run of consecutive days that meet the condition, 0 if none does. day is a date; repeats count once.
+
+    Null keys are keys like others; a row without a day is on no day, though its key still counts.
+    """
+    days = daily.groupBy(*keys, day).agg(F.bool_or(F.coalesce(condition, F.lit(False)) & F.col(day).isNotNull()).alias("_hit"))
+    order = Window.partitionBy(*keys, "_hit").orderBy(day)
+    island = F.when(F.col("_hit"), F.date_sub(F.col(day), F.row_number().over(order)))
+    runs = days.withColumn("_island", island).groupBy(*keys, "_island").agg(F.count_if("_hit").alias("_n"))
+    return runs.groupBy(*keys).agg(F.max("_n").cast("long").alias(name))
 
 
 def flag(condition: Column) -> Column:

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillage.operators.profile import quantiles
+
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row of exact medians (midpoint for an even count)."""
-    return df.agg(*[F.median(c).alias(c) for c in columns])
+    """One row of exact medians (midpoint for an even count); runs jobs."""
+    found = quantiles(df, columns, [0.5])
+    return df.sparkSession.range(1).select(*[F.lit(found[c][0]).cast("double").alias(c) for c in columns])
 
 
 def impute(df: DataFrame, fill: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls of columns become the value in the one-row frame fill (a scalar join of one row)."""
-    renamed = fill.select(*[F.col(c).alias(f"_fill_{c}") for c in columns])
+    renamed = fill.agg(*[F.any_value(c).alias(f"_fill_{c}") for c in columns])  # one row, whatever fill is
     filled = {c: F.coalesce(F.col(c), F.col(f"_fill_{c}")) for c in columns}
     return df.crossJoin(F.broadcast(renamed)).select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
@@ -37,53 +42,84 @@ def population_scales(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def scale(df: DataFrame, scales: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Divide by the deviations of the one-row frame scales, without centring."""
-    renamed = scales.select(*[F.col(c).alias(f"_scale_{c}") for c in columns])
+    renamed = scales.agg(*[F.any_value(c).alias(f"_scale_{c}") for c in columns])  # one row, whatever scales is
     scaled = {c: F.col(c) / F.col(f"_scale_{c}") for c in columns}
     return df.crossJoin(F.broadcast(renamed)).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
 @dataclass
 class Preprocessor:
-    """Median-impute and scale numerics, mode-impute and one-hot categoricals; fitted on train rows only."""
+    """Median-impute and scale numerics, mode-impute and one-hot categoricals; fitted on train rows only.
+
+    Numerics are divided by their population deviation, 1 where that is 0, without centring. A category that train
+    rows don't have gets no indicator.
+    """
 
     numeric: Sequence[str]
     categorical: Sequence[str]
-    kept: list[str] = field(default_factory=list)
 
     def fit(self, train: DataFrame) -> Preprocessor:
-        stats = train.agg(*[F.median(c).alias(c) for c in self.numeric]).first()
-        self.median_ = {c: 0.0 if stats[c] is None else float(stats[c]) for c in self.numeric}
-        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(self.median_[c])) for c in self.numeric}
-        moments = train.agg(*[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in self.numeric], *[F.avg(filled[c]).alias(f"m_{c}") for c in self.numeric]).first()
-        # a constant feature has no weight under a ridge penalty but spoils the normal equations, so it is left out
-        self.kept = [c for c in self.numeric if moments[f"s_{c}"]]
-        self.scale_ = {c: (moments[f"m_{c}"], moments[f"s_{c}"]) for c in self.kept}
+        middle = quantiles(train, self.numeric, [0.5]) if self.numeric else {}
+        self.median_ = {c: 0.0 if middle[c][0] is None else float(middle[c][0]) for c in self.numeric}
+        filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(self.median_[c])).alias(c) for c in self.numeric])
+        scales = population_scales(filled, self.numeric).first() if self.numeric else {}
+        self.scale_ = {c: scales[c] for c in self.numeric}
         modes = [most_frequent(train, c).first() for c in self.categorical]
         self.mode_ = {c: m[0] if m else "" for c, m in zip(self.categorical, modes, strict=True)}
         stages = [
-            StringIndexer(inputCols=list(self.categorical), outputCols=[f"{c}__i" for c in self.categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
+            StringIndexer(inputCols=[f"{c}__t" for c in self.categorical], outputCols=[f"{c}__i" for c in self.categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=[f"{c}__i" for c in self.categorical], outputCols=[f"{c}__v" for c in self.categorical], dropLast=True),
         ] if self.categorical else []
-        stages.append(VectorAssembler(inputCols=[*[f"{c}__x" for c in self.kept], *[f"{c}__v" for c in self.categorical]], outputCol="features"))
+        stages.append(VectorAssembler(inputCols=[*[f"{c}__x" for c in self.numeric], *[f"{c}__v" for c in self.categorical]], outputCol="features"))
         self.model_: PipelineModel = Pipeline(stages=stages).fit(self._filled(train))
         return self
 
     def _filled(self, df: DataFrame) -> DataFrame:
-        # centring moves only the unpenalised intercept; it keeps the normal equations well conditioned
-        numbers = {f"{c}__x": (F.coalesce(F.col(c).cast("double"), F.lit(self.median_[c])) - m) / s for c, (m, s) in self.scale_.items()}
-        texts = {c: F.coalesce(F.col(c), F.lit(self.mode_[c])) for c in self.categorical}
+        numbers = {f"{c}__x": F.coalesce(F.col(c).cast("double"), F.lit(self.median_[c])) / F.lit(s) for c, s in self.scale_.items()}
+        texts = {f"{c}__t": F.coalesce(F.col(c), F.lit(self.mode_[c])) for c in self.categorical}
         return df.withColumns({**numbers, **texts})
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """df with the vector `features`."""
         out = self.model_.transform(self._filled(df))
-        return out.drop(*[f"{c}__x" for c in self.kept], *[f"{c}__i" for c in self.categorical], *[f"{c}__v" for c in self.categorical])
+        return out.drop(*[f"{c}__x" for c in self.numeric], *[f"{c}__{x}" for c in self.categorical for x in "tiv"])
+
+
+def centred(df: DataFrame, features: str = "features") -> tuple[list[float], DataFrame]:
+    """The means of a vector column, and df with that column less its means: the same model but for its intercept, and
+    normal equations that a column of large mean and small deviation doesn't spoil."""
+    means = df.select(Summarizer.mean(F.col(features)).alias("m")).first().m
+    shift = F.array(*[F.lit(float(x)) for x in means])
+    return list(means), df.withColumn(features, array_to_vector(F.zip_with(vector_to_array(features), shift, lambda x, m: x - m)))
+
+
+class Ridge:
+    """A linear model over features whose means were taken off for fitting."""
+
+    def __init__(self, coefficients: list[float], intercept: float):
+        self.coefficients, self.intercept = coefficients, intercept
+
+    def transform(self, df: DataFrame, features: str = "features", prediction: str = "prediction") -> DataFrame:
+        terms = F.zip_with(vector_to_array(features), F.array(*map(F.lit, self.coefficients)), lambda x, w: x * w)
+        return df.withColumn(prediction, F.aggregate(terms, F.lit(float(self.intercept)), lambda total, x: total + x))
+
 
+def fit_ridge(train: DataFrame, label: str, alpha: float = 1.0) -> Ridge:
+    """sum of squares + alpha * |w|^2 with a free intercept. Spark divides by n and scales by the label's deviation.
 
-def fit_ridge(train: DataFrame, label: str, alpha: float = 1.0):
-    """sum of squares + alpha * |w|^2 with a free intercept. Spark divides by n and scales by the label's deviation."""
+    Constant features get no weight under the penalty; they are left out, as they spoil the normal equations.
+    """
     s = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
+    means, shifted = centred(train)
+    spread = shifted.select(Summarizer.variance(F.col("features")).alias("v")).first().v
+    kept = [i for i, x in enumerate(spread) if x > 1e-12]
+    own = F.array(*[F.element_at(vector_to_array("features"), i + 1) for i in kept])
     penalty = alpha * (s["s"] or 1.0) / max(s["n"], 1)
-    return LinearRegression(featuresCol="features", labelCol=label, solver="normal", elasticNetParam=0.0, standardization=False, regParam=penalty).fit(train)
+    model = LinearRegression(featuresCol="features", labelCol=label, solver="normal", elasticNetParam=0.0, standardization=False, regParam=penalty).fit(shifted.withColumn("features", array_to_vector(own)))
+    weights = [0.0] * len(means)
+    for i, w in zip(kept, model.coefficients):
+        weights[i] = float(w)
+    return Ridge(weights, model.intercept - sum(w * m for w, m in zip(weights, means)))
 
 
 def fit_tree(train: DataFrame, label: str, depth: int = 12, leaf: int = 20, seed: int = 42):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,31 +10,84 @@ from pyspark.sql import functions as F
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row for each column: nulls, null ratio and exact distinct values (null not counted).
+    """A row for each column: nulls, null ratio (null for an empty table) and exact distinct values (null not counted,
+    0.0 and -0.0 one value).
 
     Values are counted by (column, value) first, so that the distinct count is two combinable aggregations and no
     task ever holds a set of values.
     """
     if not columns:
         raise ValueError("no columns to profile")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns]))
+    kinds = dict(df.dtypes)
+    plain = lambda c: F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(c)  # noqa: E731 - no sign on zero
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), plain(c).cast("string").alias("v")) for c in columns]))
     by_value = df.select(pairs.alias("x")).groupBy("x.column_name", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    seeded = by_value.withColumn("seed", F.lit(0)).unionByName(names.select("column_name", F.lit(None).cast("string").alias("v"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("seed")))
     nulls = F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0))
-    return by_value.groupBy("column_name").agg(
+    return seeded.groupBy("column_name").agg(
         nulls.cast("long").alias("missing"),
-        (nulls / F.sum("n")).cast("double").alias("missing_ratio"),
+        F.try_divide(nulls.cast("double"), F.sum("n")).alias("missing_ratio"),
         F.count("v").alias("distinct_values"),
     )
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, std (n-1), min, interpolated quartiles and max, all exact."""
+#: Rows whose exact percentile one task's state may hold; beyond, ranks are selected by histograms.
+STATE_ROWS = 4_000_000
+_BUCKETS, _FEW = 4096, 20_000
+
+
+def _ranks(values: DataFrame, wanted: set[int], low: float, high: float, before: int, found: dict[int, float]) -> None:
+    """Values (x) of the given ranks among those in low..high, `before` of all being lower: a histogram of equal widths,
+    then the same inside the buckets that hold a rank. The driver gets _BUCKETS rows or _FEW values at a time."""
+    inside = values.where(F.col("x").between(low, high))
+    if low == high:
+        found.update(dict.fromkeys(wanted, low))
+        return
+    width = (high / 2 - low / 2) / _BUCKETS
+    bucket = F.least(F.floor((F.col("x") / 2 - F.lit(low / 2)) / F.lit(width)), F.lit(_BUCKETS))
+    rows = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("lo").collect()
+    for r in rows:
+        own = {k for k in wanted if before <= k < before + r.n}
+        if own and r.n <= _FEW:
+            part = sorted(x.x for x in values.where(F.col("x").between(r.lo, r.hi)).collect())
+            found.update({k: part[k - before] for k in own})
+        elif own:
+            _ranks(values, own, r.lo, r.hi, before, found)
+        before += r.n
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], state_rows: int = STATE_ROWS) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of the non-null values of each column; runs jobs.
+
+    Up to state_rows values Spark's percentile holds them in one task's state. Beyond, each rank is selected by
+    histograms that combine on the map side, so that no task holds more than a bucket's sums.
+    """
+    stats = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    out: dict[str, list[float | None]] = {}
+    small = [c for i, c in enumerate(columns) if stats[i] <= state_rows]
+    if small:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))).alias(f"q{i}") for i, c in enumerate(small)]).first()
+        out |= {c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(small)}
+    for i, c in enumerate(columns):
+        if c in out:
+            continue
+        values = df.select(F.col(c).cast("double").alias("x")).where("x is not null")
+        ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        places = [p * (stats[i] - 1) for p in probabilities]
+        found: dict[int, float] = {}
+        _ranks(values, {int(math.floor(p)) for p in places} | {int(math.ceil(p)) for p in places}, ends.lo, ends.hi, 0, found)
+        out[c] = [found[math.floor(p)] + (p - math.floor(p)) * (found[math.ceil(p)] - found[math.floor(p)]) for p in places]
+    return out
+
+
+def describe(df: DataFrame, column: str, state_rows: int = STATE_ROWS) -> DataFrame:
+    """count, mean, std (n-1), min, interpolated quartiles and max, all exact; runs jobs for the quartiles."""
     c = F.col(column)
-    quartile = lambda p: F.percentile(c, F.lit(p))
-    return df.agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max(c).alias("max"),
-    )
+    q25, q50, q75 = (F.lit(x).cast("double") for x in quantiles(df, [column], [0.25, 0.5, 0.75], state_rows)[column])
+    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).select(
+        "n", "mean", "std", "min", q25.alias("q25"), q50.alias("q50"), q75.alias("q75"), "max"
+    )
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -74,12 +74,33 @@ def load(spark: SparkSession, observation_paths: list[str], feature_path: str) -
     return prepare(tables.read_text_table(spark, source, ORDINAL), tables.read_text_table(spark, feature_path, ORDINAL))
 
 
-def write(p: Prepared, target: str) -> None:
-    """All outputs as Parquet; the final table by split, so that reading one split prunes the others."""
+def write(p: Prepared, target: str, stamp: str | None = None) -> str | None:
+    """All outputs as Parquet; the final table by split, so that reading one split prunes the others.
+
+    With a stamp an output that is already there is moved aside first; the new name is returned.
+    """
+    spark = p.joined.sparkSession
+    aside = tables.versioned(spark, target, stamp) if stamp else None
     tables.write_table(p.joined, f"{target}/joined")
     tables.write_table(p.final.withColumn("split", R.split_label(F.col(S.YEAR), S.SPLITS)), f"{target}/final", ["split"])
     if p.coordinates is not None:
         tables.write_table(p.coordinates, f"{target}/coordinates")
+    return aside
+
+
+def write_csv(p: Prepared, target: str) -> None:
+    """The same outputs as CSV without an index: coordinates, joined, final and each split."""
+    tables.write_csv(p.joined, f"{target}/joined")
+    tables.write_csv(p.final, f"{target}/final")
+    for name, _, _ in S.SPLITS:
+        tables.write_csv(p.split(name), f"{target}/{name}")
+    if p.coordinates is not None:
+        tables.write_csv(p.coordinates, f"{target}/coordinates")
+
+
+def write_report(p: Prepared, path: str) -> None:
+    """The summary as a text file."""
+    tables.write_text(p.joined.sparkSession, path, summary_text(summary(p)))
 
 
 def summary(p: Prepared) -> dict[str, Any]:

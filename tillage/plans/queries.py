@@ -39,6 +39,12 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").withColumn("o_year", F.year("o_orderdate"))
 
 
+def dated(df: DataFrame, low: int, high: int) -> DataFrame:
+    """Orders of the years low..high: the range is put on the stored column, so that it is a pushed filter of the scan."""
+    first, past = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (low, high + 1))
+    return df.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < past))
+
+
 def line_features(spark: SparkSession, d: str) -> DataFrame:
     lines = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
     return lines.agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity_sum"), F.count(F.lit(1)).alias("lines"), F.max("l_discount").alias("discount_max"))
@@ -46,8 +52,8 @@ def line_features(spark: SparkSession, d: str) -> DataFrame:
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """Joined, complete, restricted to the years and with the lag: the final table of the pipeline."""
-    joined = R.join_features(orders(spark, d), line_features(spark, d), ["o_orderkey"])
-    complete = R.within(R.drop_missing(joined, ["quantity_sum", "o_totalprice"]), "o_year", 1995, 2001)
+    joined = R.join_features(dated(orders(spark, d), 1995, 2001), line_features(spark, d), ["o_orderkey"])
+    complete = R.drop_missing(joined, ["quantity_sum", "o_totalprice"])
     lagged = R.add_lag(complete, "o_totalprice", GROUP, ["o_year", "o_orderkey"], "lag_price")
     return lagged.select("o_orderkey", *GROUP, "o_year", "o_totalprice", "quantity_sum", "lines", "discount_max", "lag_price")
 
@@ -104,8 +110,7 @@ def _(spark, d):
 
 @query("between_years", "select o_orderkey, cast(year(o_orderdate) as int) as o_year from orders where year(o_orderdate) between 1995 and 1999")
 def _(spark, d):
-    # the range is put on the stored column, so that it is a pushed filter of the scan
-    raw = read_table(spark, d, "orders").where((F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz")))
+    raw = dated(read_table(spark, d, "orders"), 1995, 1999)
     return raw.select("o_orderkey", F.year("o_orderdate").alias("o_year"))
 
 

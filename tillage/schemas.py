@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names, keys and split years of the data model.
 ENTITY_COLUMNS = ["State_Name", "District_Name", "Season", "Crop"]
 JOIN_KEYS = ["State_Name", "District_Name", "Crop_Year", "Season", "Crop"]
 CROP_COLUMNS = [*JOIN_KEYS, "Area", "Production", "yield"]
@@ -28,7 +29,7 @@ WEATHER_COLUMNS = [
 ]
 
 TARGET, YEAR, LAG = "yield", "Crop_Year", "lag_yield"
-#: (name, first year, last year) of each chronological split, ends included.
+# Fixed values: (name, first year, last year) of each chronological split, ends included.
 SPLITS = [("train", 1997, 2010), ("validation", 2011, 2012), ("test", 2013, 2014)]
 
 

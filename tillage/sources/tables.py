@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +32,19 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     raise FileNotFoundError("none of these inputs exists: " + ", ".join(paths))
 
 
-def read_text_table(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, ordinal: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column as text, missing tokens null.
 
-    The header alone is read for the names, and types are never inferred. ordinal adds the row's place; then the
-    file is read as one split (multiLine), because only then do Spark's row ids follow the order of the file.
+    The header alone is read for the names, and types are never inferred. ordinal adds the row's place: (file, offset of
+    its split, row number), which orders rows as the files do while each file is still read as many splits. With
+    multi_line, for quoted line breaks, a file is one split, since nobody can tell where a record begins inside it.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     names = reader.csv(path).columns
-    df = reader.schema(text_schema(names)).option("multiLine", ordinal is not None).csv(path)
+    df = reader.schema(text_schema(names)).option("multiLine", multi_line).csv(path)
     columns = [missing_to_null(F.col(f"`{c}`")).alias(c) for c in names]
-    return df.select(*columns, *([F.monotonically_increasing_id().alias(ordinal)] if ordinal else []))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*columns, *([place.alias(ordinal)] if ordinal else []))
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -48,14 +52,40 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """A folder of CSV files with a header; single_file only for small reports."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files with a header and without a row index; single_file only for small reports."""
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small report as one file, written by the driver through Hadoop's file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def copy_raw(spark: SparkSession, source: str, target: str) -> None:
+    """The bytes of a file or folder as they are, between any two stores that Hadoop knows."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    if not hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf):
+        raise OSError(f"could not copy {source}")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors share; only a local master may lack the setting."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(d or tempfile.mkdtemp(prefix='tillage-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def versioned(spark: SparkSession, path: str, stamp: str) -> str | None:
     """Move an existing output aside to path_backup_stamp; the new name, or None if there was nothing."""
     if not exists(spark, path):
