@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import texts_of
+from tillage.llm.common import cut, texts_of
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -20,38 +20,55 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "figcaption", "article", "main", "body", "html", "#root"}
+#: Elements that carry running text; a container that holds one may be a story.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "figcaption"}
+#: Elements that are a page's frame.
+FRAME = {"#root", "html", "body", "article", "main"}
 #: Elements that are never part of an article.
 FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "audio", "video", "canvas", "input", "fieldset"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "status"}
-#: Words of class and id that mark furniture.
+#: Words that, as a whole class or id or with words of PLACES only, name furniture anywhere.
 NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
-    "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "subscribe", "subscription", "newsletter", "signup", "login", "nav", "navbar", "navigation",
-    "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "side", "aside", "rail", "widget", "widgets", "header", "masthead", "topbar", "footer", "foot",
-    "copyright", "legal", "comment", "comments", "commentlist", "respond", "disqus", "reply", "replies", "share", "sharing", "social", "related", "recommended", "recommendations",
-    "toolbar", "skip", "search", "hidden", "tags", "disclaimer",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
+    "popup", "modal", "subscribe", "subscription", "newsletter", "signup", "login", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager",
+    "sidebar", "masthead", "topbar", "comment", "comments", "commentlist", "respond", "disqus", "replies", "share", "sharing", "social",
 }
+#: Words that name furniture outside an article only.
+OUTSIDE = {"header", "footer", "foot", "banner", "alert", "widget", "widgets", "related", "recommended", "recommendations", "copyright", "legal", "disclaimer", "search", "toolbar", "overlay", "side", "rail", "skip", "tags"}
+PLACES = {"site", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "box", "slot", "unit", "block", "bar", "area", "wrap", "wrapper", "container", "inner", "outer", "list", "section", "widget", "banner", "links", "link", "form", "text", "item"}
 #: Start tags that end an open p, and which open siblings they end.
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Shares into which each host's pages are dealt when they meet their template, so that a hot host is many tasks' work.
-SALTS = 256
-_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: How a subtree's recurrence is judged, by where it stands: (distinct pages of its host at least, share of them at least).
+PLAIN, TEXT, INSIDE = 0, 1, 2
+RECURS = {PLAIN: (3, 0.0), TEXT: (3, 0.3), INSIDE: (20, 0.5)}
+#: A host or subtree with a larger part of all rows than one in this many is looked up without a shuffle; there are no more than so many.
+HOT = 4096
+# a quote opens a string only right after "=", and only if it is closed; else the value ends at white space or ">"
+_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>=]+|=\s*{_VALUE}|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "hash", "name")
+    __slots__ = ("children", "drop", "hash", "inside", "name", "text")
 
-    def __init__(self, name: str, drop: bool = False):
-        self.name, self.children, self.drop, self.hash = name, [], drop, 0
+    def __init__(self, name: str, drop: bool = False, inside: bool = False):
+        self.name, self.children, self.drop, self.inside, self.hash, self.text = name, [], drop, inside, 0, False
 
 
-def is_furniture(name: str, attributes: str, inside_content: bool) -> bool:
-    if name in FURNITURE or (name == "header" and not inside_content):
+def names_furniture(token: str, inside: bool) -> bool:
+    """Whether a whole class or id names furniture: related-work and search-term don't, comment-list and adSlot3 do."""
+    words = [w.lower() for w in _NAME.findall(token)]
+    own = NAMES if inside else NAMES | OUTSIDE
+    return any(w in own for w in words) and all(w in own or w in PLACES or w.isdigit() for w in words)
+
+
+def is_furniture(name: str, attributes: str, inside: bool) -> bool:
+    """inside: in an article or main element, where a header is the article's own."""
+    if name in FURNITURE or (name == "header" and not inside):
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in FRAME:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
@@ -59,7 +76,7 @@ def is_furniture(name: str, attributes: str, inside_content: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and any(w.lower() in NAMES for w in _NAME.findall(value)):
+        if key in ("class", "id") and name not in INLINE and not (len(name) == 2 and name[0] == "h") and any(names_furniture(t, inside) for t in value.split()):
             return True
     return False
 
@@ -100,7 +117,8 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].name in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
                     break
-        node = Node(name, is_furniture(name, m.group(3), any(x.name in ("article", "main") for x in stack)))
+        inside = stack[-1].inside or stack[-1].name in ("article", "main")
+        node = Node(name, is_furniture(name, m.group(3), inside), inside)
         stack[-1].children.append(node)
         if name in VOID:
             continue
@@ -114,56 +132,68 @@ def parse(page: str) -> Node:
 
 
 def subtrees(root: Node) -> Iterator[Node]:
-    """Elements children first, each with the hash of its name, text and subtrees."""
+    """Elements children first, each with the hash of its name, text and subtrees, and whether it holds running text."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if c.__class__ is Node]
     for node in reversed(order):
-        h = xxhash.xxh64(node.name.encode())
+        h, node.text = xxhash.xxh64(node.name.encode()), node.name in PROSE
         for c in node.children:
-            h.update(c.hash.to_bytes(8, "little") if c.__class__ is Node else " ".join(c.split()).encode("utf-8", "replace"))
+            if c.__class__ is Node:
+                h.update(c.hash.to_bytes(8, "little"))
+                node.text |= c.text
+            else:
+                h.update(" ".join(c.split()).encode("utf-8", "replace"))
             h.update(b"\0")
         node.hash = h.intdigest()
         yield node
 
 
-def content(root: Node) -> list[Node]:
-    """The elements that hold the article: the outermost article or main elements, else the whole page."""
+def kind(node: Node) -> int:
+    return INSIDE if node.inside else PLAIN if node.drop or not node.text else TEXT
+
+
+def key(node: Node) -> int:
+    """The hash, its lowest two bits replaced by the kind: a subtree is counted by where it stands. As a signed long."""
+    h = node.hash & ~3 | kind(node)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def candidates(root: Node) -> list[Node]:
+    """The subtrees that may be a site's template, parents first: all but the frame, empty elements, what stands inside
+    an element that is dropped by name, and inline elements, unless they stand loose in the page."""
+    for _ in subtrees(root):
+        pass
     found, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.drop:
-            continue
-        if node.name in ("article", "main"):
-            inner = [c for c in node.children if c.__class__ is Node and c.name == "article" and not c.drop]
-            found += inner if node.name == "main" and inner else [node]
-        else:
-            todo += [c for c in reversed(node.children) if c.__class__ is Node]
-    return found or [root]
+        if node is not root and node.children and node.name not in FRAME:
+            found.append(node)
+        if not node.drop:
+            loose = node.name in FRAME
+            todo += [c for c in reversed(node.children) if c.__class__ is Node and (loose or c.name not in INLINE)]
+    return found
 
 
-def candidates(root: Node) -> list[int]:
-    """Hashes of the subtrees that may be a site's template.
+def remove(root: Node, template: set[int]) -> int:
+    """Marks the outermost subtrees whose key is in template as dropped; their number."""
+    n, below = 0, set()
+    for node in candidates(root):
+        if id(node) in below:
+            pass
+        elif key(node) in template:
+            node.drop = True
+            n += 1
+        else:
+            continue
+        below.update(id(c) for c in node.children if c.__class__ is Node)
+    return n
 
-    Where a page marks its article, prose elements of the article can't be: a quotation that many articles share is
-    still text of each.
-    """
-    marked = content(root)
-    prose_safe = set()
-    if marked[0] is not root:
-        todo = list(marked)
-        while todo:
-            node = todo.pop()
-            if node.name in PROSE or node.name in INLINE:
-                prose_safe.add(id(node))
-            todo += [c for c in node.children if c.__class__ is Node]
-    return [x.hash for x in subtrees(root) if x.children and not x.drop and id(x) not in prose_safe and x.name not in ("#root", "html", "body", "article", "main")]
-
-
-def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks in page order without furniture and without subtrees whose hash is in template."""
+
+def blocks_of(top: Node) -> list[str]:
+    """Blocks in page order, without what is dropped."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -172,71 +202,117 @@ def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) ->
             blocks.append(text)
         line.clear()
 
-    kept = set(map(id, content(root)))
-    for top in content(root):
-        todo: list = [(top, False)]
-        while todo:
-            node, closing = todo.pop()
-            if node.__class__ is str:
-                line.append(node)
-            elif closing:
+    todo: list = [(top, False)]
+    while todo:
+        node, closing = todo.pop()
+        if node.__class__ is str:
+            line.append(node)
+        elif closing:
+            end()
+        elif node.drop:
+            if node.name not in INLINE:
                 end()
-            elif node.drop or (node.hash in template and id(node) not in kept):
-                if node.name not in INLINE:
-                    end()
-            else:
-                if node.name == "br":
-                    line.append("\n")
-                elif node.name not in INLINE:
-                    end()
-                    todo.append((node, True))
-                todo += [(c, False) for c in reversed(node.children)]
-        end()
-    return " ".join(blocks)
+        else:
+            if node.name == "br":
+                line.append("\n")
+            elif node.name not in INLINE:
+                end()
+                todo.append((node, True))
+            todo += [(c, False) for c in reversed(node.children)]
+    end()
+    return blocks
+
+
+def marked(root: Node) -> list[Node]:
+    """The outermost main and article elements that are not dropped."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.drop and node.name in ("article", "main"):
+            found.append(node)
+        elif not node.drop:
+            todo += [c for c in reversed(node.children) if c.__class__ is Node]
+    return found
+
+
+def main_text(root: Node) -> str:
+    """The text of the page without what is dropped. What stands beside the marked articles is kept only if it is longer
+    than they are: then the mark isn't the story's, as where a teaser is an article element."""
+    whole = " ".join(blocks_of(root))
+    own = marked(root)
+    inner = " ".join(x for node in own for x in blocks_of(node))
+    return inner if own and len(inner) * 2 >= len(whole) else whole
 
 
 def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.3, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: id, url, text, n_removed (subtrees removed as the host's template).
+def _hot_or_joined(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread) -> DataFrame:
+    """rows inner-joined to table, whose keys are unique; weight is how many of `total` rows have the key, at least.
 
-    A subtree is template if it is on at least min_pages distinct pages and the share min_share of all distinct pages
-    of its host; pages with the same html count once. Counting combines on the map side, so a host with a third of
-    all pages is no hot key; what comes back for a host is about 1 / min_share times a page's subtrees at most, copied for
-    each of the SALTS shares of its pages.
-    Null html gives an empty text. A null url is the host "".
+    Keys with over 1 / HOT of the total are at most HOT and are broadcast; rows that met one are dealt out by `spread`
+    in the other join, where they have no partner, so that no task gets a hot key's rows.
     """
-    base = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
+    hot = table.where(F.col(weight) * HOT > total)
+    cold = table.where(F.col(weight) * HOT <= total)
+    values = [c for c in table.columns if c not in keys]
+    first = rows.join(F.broadcast(hot.withColumnsRenamed({c: f"h_{c}" for c in values})), keys, "left")
+    met = F.col(f"h_{weight}").isNotNull()
+    second = first.withColumn("_deal", F.when(met, spread).otherwise(F.lit(0).cast("long")))
+    both = second.join(cold.withColumn("_deal", F.lit(0).cast("long")), [*keys, "_deal"], "left").where(met | F.col(weight).isNotNull())
+    return both.select(*rows.columns, *[F.coalesce(f"h_{c}", c).alias(c) for c in values])
+
+
+def templates(seen: DataFrame, recurs: dict[int, tuple[int, float]] | None = None) -> tuple[DataFrame, int]:
+    """seen (host, page, keys) -> (host, key, n), the subtrees on enough distinct pages of their host, and how many
+    subtrees there are in all. Pages with the same html count once."""
+    recurs = recurs or RECURS
+    pages = cut(seen.groupBy("host", "page").agg(F.any_value("keys").alias("keys")))
+    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(n for n, _ in recurs.values()))
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    all_pages = pages.count()
+    with_total = _hot_or_joined(counts, totals, ["host"], "total", all_pages, F.col("key"))
+    least = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in recurs.items() for x in (k, float(v[i]))]), F.col("key").bitwiseAND(F.lit(3)).cast("int"))
+    found = with_total.where((F.col("n") >= least(0)) & (F.col("n") >= F.col("total") * least(1)))
+    return found.select("host", "key", "n"), pages.agg(F.sum(F.size("keys"))).first()[0] or 0
+
+
+def extract(pages: DataFrame, recurs: dict[int, tuple[int, float]] | None = None, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per page: id, url, text, n_removed (outermost subtrees removed as the host's template).
+
+    Each page's subtree hashes are counted per host, over its distinct pages; those that recur are removed, by RECURS:
+    containers without running text from 3 pages on, running text outside a marked article if on 30 % of the host's
+    pages too, as stories may quote each other, and what stands inside a marked article from 20 pages and half of all
+    on. What HTML itself names as no content goes, and elements whose whole class or id names furniture.
+
+    Counting combines on the map side, no host's template is ever held in one place, and a page meets the removed
+    subtrees of its own only. Null and empty html give an empty text. A null url is the host "". Repeated rows come
+    back repeated; an empty table gives no rows. Other columns of pages, whatever their names, play no part.
+    """
+    base = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    base = base.withColumn("row", F.xxhash64("page_id", "url", "html"))
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, pages_, keys = [], [], []
-            for name, number, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
-                own = {h - (1 << 64) if h >> 63 else h for h in candidates(parse(page))}
-                hosts += [name] * (len(own) + 1)
-                pages_ += [number] * (len(own) + 1)
-                keys += [None, *own]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(keys, pa.int64())], names=["host", "page", "subtree"])
-
-    seen = base.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(hashes, "host string, page long, subtree long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.where(F.col("n") >= min_pages)
-    totals = often.where("subtree is null").select("host", F.col("n").alias("total"))
-    template = often.where("subtree is not null").join(totals, "host").where(F.col("n") >= F.col("total") * min_share).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+            keys = [list({key(x) for x in candidates(parse(page))}) for page in texts_of(b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "page", "keys"])
+
+    seen = cut(base.select("row", F.xxhash64(host(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(hashes, "row long, host long, page long, keys array<long>"))
+    found, total = templates(seen, recurs)
+    found = cut(found)
+    met = _hot_or_joined(seen.select("row", "host", F.explode("keys").alias("key")), found, ["host", "key"], "n", total, F.col("row"))
+    marks = met.groupBy("row").agg(F.collect_set("key").alias("template"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, removed = [], []
             for page, own in zip(texts_of(b.column(2)), b.column(3)):
                 root = parse(page)
-                template = {h % (1 << 64) for h in own.as_py() or ()}
-                n = sum(x.hash in template for x in subtrees(root)) if template else 0
-                out.append(main_text(root, template).encode("utf-8", "replace").decode())
-                removed.append(n)
+                template = own.as_py()
+                removed.append(remove(root, set(template)) if template else 0)
+                out.append(main_text(root).encode("utf-8", "replace").decode())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_removed"])
 
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    copies = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    joined = base.join(marks, "row", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_removed long")
