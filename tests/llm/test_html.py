@@ -5,7 +5,7 @@ from html import unescape
 import pytest
 from pyspark.sql import functions as F
 
-from tillage.llm import html as H
+from tillage.llm import common, html as H
 
 D = "/root/testdata/sf0.01"
 SCHEMA = "page_id long, url string, html string"
@@ -113,6 +113,6 @@ def test_hot_keys_take_the_same_way_out(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.org/{i}", f"<div>Menu {i % 3}</div><div>Block {i % 7}</div><p>Story {i}</p>") for i in range(90)]
     want = brute(rows)
     for hot in (1, 8, 1 << 20):
-        monkeypatch.setattr(H, "HOT", hot)
+        monkeypatch.setattr(common, "HOT", hot)
         assert {r.page_id: (r.text, r.n_removed) for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == want
     assert defaultdict(int, Counter(t.split()[0] for t, _ in want.values())) == {"Story": 90}

@@ -1,73 +1,128 @@
 import math
+import os
 import random
+import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from tillage.llm import licenses as L
+from tillage.llm import common, licenses as L
 
+SCHEMA = "path string, text string"
 
-def brute(rows, least=0.7):
-    units = [u for _, t in rows for u in (t or "").split("\n")]
-    n, df = len(units), {}
-    for u in units:
-        for w in set(L.terms(u)):
-            df[w] = df.get(w, 0) + 1
-    own = {w for _, t in L.TEMPLATES for w in L.terms(t)}
-    idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 1 if w in own else 1)) + 1
 
-    def vector(t):
-        words = L.terms(t)
-        return {w: (1 + math.log(words.count(w))) * idf(w) for w in set(words)}
+def brute(rows, least=0.7, templates=None):
+    """Cosines from whole vectors, of every line, block, run and licence file, without any bound."""
+    templates = templates or L.TEMPLATES
+    lines = [set(L.terms(u)) for _, t in rows for u in (t or "").split("\n")]
+    n, df = len(lines), Counter(w for u in lines for w in u)
+    own = {w for x in templates for w in L.terms(x[1])}
+    scorer = L.Scorer(templates, n, {w: df[w] for w in own})
+
+    def vector(counts):
+        return {w: (1 + math.log(c)) * (math.log((n + 1) / ((df[w] if w in own else 0) + 1)) + 1) for w, c in counts.items()}
 
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(x[0], vector(Counter(L.terms(x[1]))), x[2]) for x in templates]
     out = {}
     for path, text in rows:
-        best = (None, 0.0)
-        for u in (text or "").split("\n"):
-            v = vector(u)
-            for name, t in L.TEMPLATES:
-                w = vector(t)
-                s = sum(x * w.get(k, 0) for k, x in v.items()) / (norm(v) * norm(w)) if v else 0
-                if s >= least and s > best[1] + 1e-12:
+        file, best = L.is_license_file(path), (None, 0.0)
+        core = scorer.core(least, file)
+        parts = [L.terms(u) for u in (text or "").split("\n")]
+        found = [(i, i + 1) for i, p in enumerate(parts) if p]
+        edges = [i for i in range(len(parts) + 1) if (i < len(parts) and bool(parts[i])) != (i > 0 and bool(parts[i - 1]))]
+        for x, y in zip(edges[::2], edges[1::2]):
+            found.append((x, y))
+            marks = "".join(" *"[not core.isdisjoint(p)] for p in parts[x:y])
+            found += [(x + m.start(), x + m.end()) for m in re.finditer(r"\*( {0,%d}\*)*" % L.GAP, marks)]
+        for a, b in found + [(0, len(parts))] * file:
+            v = vector(Counter(w for p in parts[a:b] for w in p))
+            for name, w, scope in vectors:
+                s = sum(x * w.get(k, 0) for k, x in v.items()) / (norm(v) * norm(w)) if v and (file or scope == L.ANYWHERE) else 0
+                if s >= least and s > best[1] + 1e-9:
                     best = (name, s)
-        out[path] = best[0]
+        out[path] = best[0], pytest.approx(best[1], abs=1e-6) if best[0] else 0.0
     return out
 
 
+def scanned(spark, rows, **more):
+    return {r.path: (r.license, r.score if r.license else 0.0) for r in L.scan(spark.createDataFrame(rows, SCHEMA).withColumn("license", F.lit("clash")), **more).collect()}
+
+
 ROWS = [
     ("a/LICENSE", "Released under the MIT License."), ("a/x.py", "code here\nmore"), ("a/b/c/y.py", ""), ("a/b/COPYING.txt", "intro\nLicensed under the Apache License, Version 2.0"),
     ("a/b/z.py", "licensed under CC BY-NC 4.0.\nbody"), ("d/w.py", "the license of the version"), ("LICENSE", None), ("a/bb/v.py", "text"), (None, "Released under the MIT License"), ("ab/q", "none"),
 ]
 
 
-def test_scan_and_inheritance(spark):
-    rows = ROWS + [(f"z/{i}", f"filler line {i}\nof the text") for i in range(60)]
-    df = spark.createDataFrame(rows, "path string, text string").withColumn("license", F.lit("clash"))
-    scanned = L.scan(df)
-    assert {r.path: r.license for r in scanned.collect()} == brute(rows)
-    got = {r.path: (r.license, r.origin, r.licensed_by) for r in L.inherit(scanned).collect()}
-    assert got["a/LICENSE"] == ("MIT", "own", "a/LICENSE") and got["a/x.py"] == ("MIT", "inherited", "a/LICENSE") == got["a/bb/v.py"]
-    assert got["a/b/c/y.py"] == ("Apache-2.0", "inherited", "a/b/COPYING.txt") and got["a/b/z.py"][:2] == ("CC-BY-NC-4.0", "own")
-    assert got["d/w.py"] == got["ab/q"] == got["LICENSE"] == (None, None, None) and got[None][0] == "MIT"
+def test_scan_and_inheritance(spark, monkeypatch):
+    rows = ROWS + [(f"z/{i}", f"filler line {i}\nof the text") for i in range(60)] + [("long/f", "filler words of a text " * 100_000)]
+    assert scanned(spark, rows) == brute(rows)
+    df = spark.createDataFrame([*rows, *rows[:2]], SCHEMA)
+    for hot in (1, 4, 1 << 20):
+        monkeypatch.setattr(common, "HOT", hot)
+        found = L.inherit(L.scan(df).withColumn("dir", F.lit("clash")).withColumn("by", F.lit(1))).collect()
+        got = {r.path: (r.license, r.origin, r.licensed_by) for r in found}
+        assert len(found) == len(rows) + 2
+        assert got["a/LICENSE"] == ("MIT", "own", "a/LICENSE") and got["a/x.py"] == ("MIT", "inherited", "a/LICENSE") == got["a/bb/v.py"]
+        assert got["a/b/c/y.py"] == ("Apache-2.0", "inherited", "a/b/COPYING.txt") and got["a/b/z.py"][:2] == ("CC-BY-NC-4.0", "own")
+        assert got["d/w.py"] == got["ab/q"] == got["LICENSE"] == got["z/1"] == (None, None, None) and got[None][0] == "MIT"
     assert L.inherit(L.scan(df.limit(0))).count() == 0
 
 
+def test_root_license_and_depth(spark):
+    rows = [("LICENSE", "Released under the MIT License."), ("x", "a"), ("p/q/r/s/t", "b"), ("p/q/COPYING", "Licensed under CC BY 4.0."), ("p/u", "c"), ("/abs/v", "d"), (None, None)]
+    got = {r.path: (r.license, r.licensed_by) for r in L.inherit(L.scan(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got["x"] == ("MIT", "LICENSE") == got["p/u"] == got["/abs/v"] and got["p/q/r/s/t"] == ("CC-BY-4.0", "p/q/COPYING") and got[None] == (None, None)
+
+
 def test_common_notices_are_scored(spark):
-    """A notice whose words are on over 5 % of all lines, and a single file of one line."""
+    """A notice whose words are on most lines, one on a tenth of them, and a single file of one line."""
+    apache = [(f"f/{i}", "Licensed under the Apache License, Version 2.0.\n" + "\n".join(f"line {i} {k}" for k in range(9))) for i in range(100)]
     hot = [(f"h/{i}", "Released under the MIT License.") for i in range(30)] + [(f"z/{i}", f"filler line {i}") for i in range(60)]
-    for rows in (hot, hot[:1]):
-        got = {r.path: r.license for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
-        assert got == brute(rows) and all(got[p] == ("MIT" if p.startswith("h/") else None) for p, _ in rows)
+    for rows in (apache, hot, hot[:1]):
+        got = scanned(spark, rows)
+        assert got == brute(rows) and all(got[p][0] == {"f": "Apache-2.0", "h": "MIT", "z": None}[p[0]] for p, _ in rows)
+
+
+def test_wrapped_headers_titles_and_identifiers(spark):
+    """The usual headers as comments, wrapped over lines, with a copyright line above and code below."""
+    wrap = lambda text, k: "\n".join("# " + " ".join(text.split()[i : i + k]) for i in range(0, len(text.split()), k))
+    rows, want = [], {}
+    for i, (name, text, scope) in enumerate(L.TEMPLATES):
+        if scope == L.ANYWHERE and len(text.split()) > 30 and "any later version." not in text[-30:]:
+            for k in (6, 11):
+                path = f"src/{i}-{k}.py"
+                rows.append((path, f"#!/bin/sh\n# Copyright 2020 The Makers\n{wrap(text, k)}\nimport os\nx = 1"))
+                want[path] = name
+        if scope == L.FILES:
+            rows.append((f"t{i}/LICENSE", text + "\n\n" + "Terms and conditions follow here at some length. " * 20))
+            rows.append((f"t{i}/notes.txt", text.split(",")[0] if len(text.split()) < 4 else "nothing"))
+            want[f"t{i}/LICENSE"], want[f"t{i}/notes.txt"] = name, None
+    rows += [("s1", "// SPDX-License-Identifier: GPL-3.0-or-later\ncode"), ("s2", "SPDX-License-Identifier: (MIT OR Apache-2.0)"), ("s3", "SPDX-License-Identifier: Own-1.0")]
+    want |= {"s1": "GPL-3.0", "s2": "MIT", "s3": None}
+    rows += [(f"z/{i}", f"other prose number {i}\nand more of the same") for i in range(200)]
+    got = scanned(spark, rows)
+    assert {k: got[k][0] for k in want} == want and got == brute(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_whole_license_files(spark):
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}
+    texts = {i: open(f"/usr/share/common-licenses/{f}").read() for f, i in names.items()}
+    rows = [(f"{i}/COPYING", "Our copy of the licence\n" + t.replace("\n\n", "\n")) for i, t in texts.items()] + [(f"{i}/own", f"some words {i}") for i in texts]
+    got = scanned(spark, rows, templates=L.TEMPLATES + L.read_templates(texts))
+    assert all(got[f"{i}/COPYING"][0] == i and got[f"{i}/own"][0] is None for i in texts)
 
 
 def test_no_unit_is_passed_over_that_reaches_the_threshold():
     rng = random.Random(6)
-    words = sorted({w for _, t in L.TEMPLATES for w in L.terms(t)})
+    words = sorted({w for x in L.TEMPLATES for w in L.terms(x[1])})
     scorer = L.Scorer(L.TEMPLATES, 1000, {w: rng.choice([0, 5, 300, 900]) for w in words})
     for least in (0.3, 0.7, 0.95):
-        everything = L.Scorer(L.TEMPLATES, 1000, {})
-        everything.idf, everything.postings, everything.cores = scorer.idf, scorer.postings, {least: set(words)}
         for _ in range(3000):
-            template = L.terms(rng.choice(L.TEMPLATES)[1])
-            unit = " ".join(w for w in template if rng.random() < 0.6)
-            assert scorer.best(unit, least)[0] == everything.best(unit, least)[0]
+            x = rng.choice(L.TEMPLATES)
+            unit = Counter(w for w in L.terms(x[1]) if rng.random() < 0.6)
+            if scorer.core(least, True).isdisjoint(unit):
+                assert scorer.best(unit, least, True)[0] is None

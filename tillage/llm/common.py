@@ -86,3 +86,29 @@ def drop_cut(df: DataFrame) -> None:
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(f)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Keys with a larger part of all rows than one in this many count as hot; there are no more than so many of them.
+HOT = 4096
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread, how: str = "inner", hot: int | None = None) -> DataFrame:
+    """rows joined (inner or left) to table, whose keys are unique, without bringing a hot key's rows into one task.
+
+    table.weight is how many rows of a key there are, at least where it is hot; their sum over the table is `total`
+    at most. Keys with over 1 / HOT of the total are then at most HOT, so they are broadcast; rows that met one, and
+    rows with a null key, are dealt out by `spread` (a long) in the other join, where they have no partner.
+    """
+    n = hot or HOT
+    few, many = table.where(F.col(weight) * n > total), table.where(F.col(weight) * n <= total)
+    values = [c for c in table.columns if c not in keys]
+    first = rows.join(F.broadcast(few.withColumnsRenamed({c: f"_hot_{c}" for c in values})), keys, "left")
+    met = F.col(f"_hot_{weight}").isNotNull()
+    alone = met
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    second = first.withColumn("_deal", F.when(alone, spread).otherwise(F.lit(0).cast("long")))
+    both = second.join(many.withColumn("_deal", F.lit(0).cast("long")), [*keys, "_deal"], "left")
+    if how == "inner":
+        both = both.where(met | F.col(weight).isNotNull())
+    return both.select(*rows.columns, *[F.when(met, F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])

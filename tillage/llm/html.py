@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import cut, texts_of
+from tillage.llm.common import cut, lookup, texts_of
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -41,8 +41,6 @@ ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 #: How a subtree's recurrence is judged, by where it stands: (distinct pages of its host at least, share of them at least).
 PLAIN, TEXT, INSIDE = 0, 1, 2
 RECURS = {PLAIN: (3, 0.0), TEXT: (3, 0.3), INSIDE: (20, 0.5)}
-#: A host or subtree with a larger part of all rows than one in this many is looked up without a shuffle; there are no more than so many.
-HOT = 4096
 # a quote opens a string only right after "=", and only if it is closed; else the value ends at white space or ">"
 _VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>=]+|=\s*{_VALUE}|=)*+)(?:>|\Z)", re.S)
@@ -248,22 +246,6 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _hot_or_joined(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread) -> DataFrame:
-    """rows inner-joined to table, whose keys are unique; weight is how many of `total` rows have the key, at least.
-
-    Keys with over 1 / HOT of the total are at most HOT and are broadcast; rows that met one are dealt out by `spread`
-    in the other join, where they have no partner, so that no task gets a hot key's rows.
-    """
-    hot = table.where(F.col(weight) * HOT > total)
-    cold = table.where(F.col(weight) * HOT <= total)
-    values = [c for c in table.columns if c not in keys]
-    first = rows.join(F.broadcast(hot.withColumnsRenamed({c: f"h_{c}" for c in values})), keys, "left")
-    met = F.col(f"h_{weight}").isNotNull()
-    second = first.withColumn("_deal", F.when(met, spread).otherwise(F.lit(0).cast("long")))
-    both = second.join(cold.withColumn("_deal", F.lit(0).cast("long")), [*keys, "_deal"], "left").where(met | F.col(weight).isNotNull())
-    return both.select(*rows.columns, *[F.coalesce(f"h_{c}", c).alias(c) for c in values])
-
-
 def templates(seen: DataFrame, recurs: dict[int, tuple[int, float]] | None = None) -> tuple[DataFrame, int]:
     """seen (host, page, keys) -> (host, key, n), the subtrees on enough distinct pages of their host, and how many
     subtrees there are in all. Pages with the same html count once."""
@@ -272,7 +254,7 @@ def templates(seen: DataFrame, recurs: dict[int, tuple[int, float]] | None = Non
     counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(n for n, _ in recurs.values()))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     all_pages = pages.count()
-    with_total = _hot_or_joined(counts, totals, ["host"], "total", all_pages, F.col("key"))
+    with_total = lookup(counts, totals, ["host"], "total", all_pages, F.col("key"))
     least = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in recurs.items() for x in (k, float(v[i]))]), F.col("key").bitwiseAND(F.lit(3)).cast("int"))
     found = with_total.where((F.col("n") >= least(0)) & (F.col("n") >= F.col("total") * least(1)))
     return found.select("host", "key", "n"), pages.agg(F.sum(F.size("keys"))).first()[0] or 0
@@ -301,7 +283,7 @@ def extract(pages: DataFrame, recurs: dict[int, tuple[int, float]] | None = None
     seen = cut(base.select("row", F.xxhash64(host(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(hashes, "row long, host long, page long, keys array<long>"))
     found, total = templates(seen, recurs)
     found = cut(found)
-    met = _hot_or_joined(seen.select("row", "host", F.explode("keys").alias("key")), found, ["host", "key"], "n", total, F.col("row"))
+    met = lookup(seen.select("row", "host", F.explode("keys").alias("key")), found, ["host", "key"], "n", total, F.col("row"))
     marks = met.groupBy("row").agg(F.collect_set("key").alias("template"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
