@@ -107,8 +107,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     alone = met
     for k in keys:
         alone = alone | F.col(k).isNull()
-    second = first.withColumn("_deal", F.when(alone, spread).otherwise(F.lit(0).cast("long")))
-    both = second.join(many.withColumn("_deal", F.lit(0).cast("long")), [*keys, "_deal"], "left")
+    place = F.xxhash64(*keys)  # not a constant, which the optimizer would fold out of the join's keys
+    second = first.withColumn("_deal", F.when(alone, spread).otherwise(place))
+    both = second.join(many.withColumn("_deal", place), [*keys, "_deal"], "left")
     if how == "inner":
         both = both.where(met | F.col(weight).isNotNull())
     return both.select(*rows.columns, *[F.when(met, F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
