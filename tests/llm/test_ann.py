@@ -36,6 +36,32 @@ def test_recall_on_clusters_and_copies(spark):
     assert all(exact.get((q, x[1]), x[2]) == x[2] for q in got for x in got[q])
 
 
+def test_estimates_are_population_counts_within_their_bounds():
+    rng = np.random.default_rng(3)
+    for dims in (7, 64, 100):
+        v, q = rng.standard_normal((500, dims)) + 0.5, rng.standard_normal((30, dims))
+        codes = ann.Codes(v.mean(axis=0))
+        packed, norm, aligned = codes.encode(v)
+        rounded, words = ann.Rounded(q @ codes.rotation), ann.words_of(packed)
+        signs = (np.unpackbits(packed, axis=1, count=dims) * 2.0 - 1) / np.sqrt(dims)
+        levels = sum(np.unpackbits(p.T.copy().view(np.uint8), axis=1, count=dims).astype(int) << j for j, p in enumerate(rounded.planes))
+        got = rounded.products(slice(0, 30), words, np.bitwise_count(words).sum(axis=0, dtype=np.int64))
+        assert np.allclose(got, (rounded.low[:, None] + rounded.step[:, None] * levels) @ signs.T)
+        error = np.abs(got * (norm / aligned) + (q @ codes.centre)[:, None] - q @ v.T)
+        lengths = np.linalg.norm(q, axis=1)
+        bound = (lengths[:, None] * np.sqrt(1 - aligned**2) + rounded.rest[:, None]) * norm / aligned * ann.EPSILON / np.sqrt(dims - 1)
+        assert (error <= bound).mean() > 0.93
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """Several blocks, of which some are empty, give the answers of one."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((120, 16)).astype(np.float32))]
+    want = search(spark, rows)
+    monkeypatch.setattr(ann, "QUERY_BLOCK_BYTES", 128)
+    assert search(spark, rows) == want and len(want) == 6 and search(spark, rows + rows) .keys() == want.keys()
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (20, [0.0, 2.0]), (40, [1.0, 2.0, 3.0]), (7, []), (None, [1.0, 1.0])]
     assert search(spark, rows) == brute(rows) == {0: [(1, 1, 0.5), (2, 20, 0.0)], 20: [(1, 1, 1.0), (2, 0, 0.0)], 40: []} or search(spark, rows) == {k: v for k, v in brute(rows).items() if v}

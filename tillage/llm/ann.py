@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,14 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillage.llm.common import broadcast
+from tillage.llm.common import broadcast, cut, drop_cut, shared_dir
 
-#: Queries that are sent to the executors at a time.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are sent to the executors at a time; the driver holds one such block.
+QUERY_BLOCK_BYTES = 4 << 20
 #: Vectors that are scanned at a time, and by one task at least.
 ROWS = 8192
 #: Of these, queries that are estimated together, and pairs whose exact products are taken together: bound a task's memory.
-QUERIES, RERANK = 64, 1 << 14
+QUERIES, RERANK = 32, 1 << 14
+#: Bits to which a query's rotated components are rounded, so that estimates are sums of population counts.
+QUERY_BITS = 4
+ANSWER = "query_id long, rank int, vec_id long, score double"
 #: Half-width of the error bound in standard deviations.
 EPSILON = 1.9
 
@@ -35,9 +39,11 @@ def valid(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
 class Codes:
     """The rotation, the centre and what an index of them holds.
 
-    A vector v = c + r is stored as the signs of the rotated residual r, packed, with |r|, <o, x> (the cosine of the
-    residual and its code) and <v, c>. A query's estimate of <q, v> is <q, c> + |r| <x, Pq> / <o, x>, whose
-    error is at most |r| |q| sqrt((1 - <o, x>^2) / <o, x>^2) EPSILON / sqrt(dims - 1) but for rare cases.
+    A vector v = c + r is stored as the signs of the rotated residual r, packed, with |r| and <o, x> (the cosine of the
+    residual and its code). A query's estimate of <q, v> is <q, c> + |r| <x, Pq> / <o, x>, whose error is at most
+    |r| |q| sqrt((1 - <o, x>^2) / <o, x>^2) EPSILON / sqrt(dims - 1) but for rare cases. Pq is rounded to QUERY_BITS
+    bits, which adds |r| |e| / <o, x> EPSILON / sqrt(dims - 1) for what rounding took off, e; then <x, Pq> is a sum of
+    population counts of the code and the query's bit planes.
     """
 
     centre: np.ndarray
@@ -60,6 +66,37 @@ class Codes:
         return np.packbits(signs, axis=1), norm, np.where(norm > 0, aligned, 1)
 
 
+def words_of(packed: np.ndarray) -> np.ndarray:
+    """Packed signs as 64-bit words, a row for each word."""
+    wide = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return np.ascontiguousarray(wide.view(np.uint64).T)
+
+
+class Rounded:
+    """Rotated queries as bit planes: component i is about low + step * sum of 2^j bit j of plane i."""
+
+    def __init__(self, rotated: np.ndarray):
+        n, self.dims = rotated.shape
+        top = (1 << QUERY_BITS) - 1
+        self.low = rotated.min(axis=1)
+        width = rotated.max(axis=1) - self.low
+        self.step = np.where(width > 0, width / top, 1.0)
+        level = np.clip(np.rint((rotated - self.low[:, None]) / self.step[:, None]), 0, top).astype(np.uint8)
+        self.rest = np.linalg.norm(rotated - (self.low[:, None] + self.step[:, None] * level), axis=1)
+        self.sums = level.sum(axis=1, dtype=np.int64)
+        self.planes = [words_of(np.packbits((level >> j) & 1, axis=1)) for j in range(QUERY_BITS)]
+
+    def products(self, part: slice, words: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        """<x, q> of each query and code, from population counts alone; ones are the codes' own."""
+        counts = np.zeros((len(self.low[part]), words.shape[1]), np.int32)
+        for j, plane in enumerate(self.planes):
+            for q, w in zip(plane, words):
+                counts += np.left_shift(np.bitwise_count(q[part, None] & w[None, :]), j, dtype=np.int32)
+        low, step = self.low[part, None], self.step[part, None]
+        return (2 * (low * ones[None, :] + step * counts) - (low * self.dims + step * self.sums[part, None])) / np.sqrt(self.dims)
+
+
 def exact(qt: np.ndarray, vt: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of columns i of qt and j of vt in double precision, summed from the first component to the last.
 
@@ -97,7 +134,7 @@ def _scan(block, codes: Codes, dims: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = block.value
-        rotated, centred = q @ codes.rotation, q @ codes.centre
+        rounded, centred = Rounded(q @ codes.rotation), q @ codes.centre
         lengths, qt = np.linalg.norm(q, axis=1), np.ascontiguousarray(q.T)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
         best = np.full((len(ids), k), -np.inf)
@@ -106,15 +143,17 @@ def _scan(block, codes: Codes, dims: int, k: int):
             nonlocal best, best_id
             own, v, packed, norm, aligned = (np.concatenate(x) for x in zip(*rows))
             vt = np.ascontiguousarray(v.T)
-            signs = (np.unpackbits(packed, axis=1, count=dims).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dims))
-            spread = norm * np.sqrt(np.maximum(0, 1 - aligned**2)) / aligned * EPSILON / np.sqrt(max(dims - 1, 1))
-            scale = (norm / aligned)[None, :]
+            words = words_of(packed)
+            ones = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
+            scale = norm / aligned
+            deviation = scale * EPSILON / np.sqrt(max(dims - 1, 1))
+            spread = deviation * np.sqrt(np.maximum(0, 1 - aligned**2))
             for at in range(0, len(ids), QUERIES):
                 part = slice(at, at + QUERIES)
                 own_q = qt[:, part]
-                estimate = (rotated[part].astype(np.float32) @ signs.T) * scale + centred[part, None]
+                estimate = rounded.products(part, words, ones) * scale[None, :] + centred[part, None]
                 estimate[own[None, :] == ids[part, None]] = -np.inf
-                error = lengths[part, None] * spread[None, :] + 1e-5 * (lengths[part, None] * norm[None, :] + np.abs(centred[part, None])) + 1e-12
+                error = lengths[part, None] * spread[None, :] + rounded.rest[part, None] * deviation[None, :] + 1e-9 * (lengths[part, None] * norm[None, :] + np.abs(centred[part, None])) + 1e-12
                 floor = best[part, k - 1]
                 if estimate.shape[1] > k:  # the exact products of the k best estimates: the k-th nearest is at least this near
                     top = np.argpartition(estimate, -k, axis=1)[:, -k:]
@@ -158,42 +197,49 @@ def _scan(block, codes: Codes, dims: int, k: int):
 def search(index: DataFrame, codes: Codes, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of the index, ties to smaller ids, the query's own id left out.
 
-    queries are rows (id, v); they go to the executors in blocks of QUERY_BLOCK at most, and each block scans every
-    row. A task sends on k rows for each query, of which a window keeps the k best.
+    queries are rows (id, v), an id once. They go to the executors in blocks of QUERY_BLOCK_BYTES at most, one after the
+    other; each block scans every row of the index and its answers are written before the next is fetched. A task
+    sends on k rows for each query, of which a window keeps the k best.
     """
     spark, dims = index.sparkSession, len(codes.centre)
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK)
+    blocks = max(1, -(-queries.count() * dims * 8 // QUERY_BLOCK_BYTES))
     tasks = max(1, min(index.rdd.getNumPartitions(), -(-index.count() // ROWS)))
-    rows, found = index.coalesce(tasks), None
+    rows, path = index.coalesce(tasks), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark.createDataFrame([], ANSWER).write.parquet(path)
     for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == b)
-        got = own.select("id", "v").toArrow()
+        got = queries.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == b).select("id", "v").toArrow()
         ids = got.column(0).to_numpy()
+        if not len(ids):
+            continue
         v = got.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), dims)
-        part = rows.mapInArrow(_scan(broadcast(spark, (ids, v), "a block of queries"), codes, dims, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        block = broadcast(spark, (ids, v), "a block of queries")
+        found = rows.mapInArrow(_scan(block, codes, dims, k), "query_id long, vec_id long, score double")
+        ranked = found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        ranked.write.mode("append").parquet(path)
+        block.destroy()
+    return spark.read.schema(ANSWER).parquet(path)
 
 
 def nearest(df: DataFrame, query_condition, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Index every valid vector and search for those that meet query_condition on (id).
 
-    Vectors of other dimensions are other spaces: each is indexed by itself. An id that occurs more than once
-    counts as a row each time, as a candidate and as a query; a query's own id is no candidate. No valid vectors, no rows.
+    Vectors of other dimensions are other spaces: each is indexed by itself, once, in the shared folder. An id that
+    occurs more than once counts as a row each time, as a candidate; as a query it is asked once, with the least of its
+    vectors; a query's own id is no candidate. Vectors that are null, zero or hold null or non-finite components, and
+    rows without an id, take no part. No valid vectors, no rows. Columns of df besides these two may have any names.
     """
     vectors = valid(df, id_col, vector_col)
     parts = []
     for r in vectors.select("dims").distinct().orderBy("dims").collect():
         index, codes = build(vectors, r.dims)
+        index = cut(index)
         # one query for each id: repeated rows of an id would only repeat its answer
         queries = index.where(query_condition).groupBy("id").agg(F.min("v").alias("v"))
         parts.append(search(index, codes, queries, k))
+        drop_cut(index)
     if not parts:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return df.sparkSession.createDataFrame([], ANSWER)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -89,4 +89,10 @@ items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct
 select d.doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit_words using (doc_id) left join items using (doc_id)""",
+    "op10_neighbours": """
+with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id is not null and embedding is not null),
+ok as (select * from e where len(v) = len(list_filter(v, lambda x: x is not null and isfinite(x))) and len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs as (select q.vec_id as query_id, c.vec_id, list_reduce(list_prepend(0.0::double, list_transform(q.v, lambda x, i: x * c.v[i])), lambda a, b: a + b) as score
+  from ok q join ok c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 20""",
 }
