@@ -45,8 +45,9 @@ def test_estimates_are_population_counts_within_their_bounds():
         rounded, words = ann.Rounded(q @ codes.rotation), ann.words_of(packed)
         signs = (np.unpackbits(packed, axis=1, count=dims) * 2.0 - 1) / np.sqrt(dims)
         levels = sum(np.unpackbits(p.T.copy().view(np.uint8), axis=1, count=dims).astype(int) << j for j, p in enumerate(rounded.planes))
-        got = rounded.products(slice(0, 30), words, np.bitwise_count(words).sum(axis=0, dtype=np.int64))
-        assert np.allclose(got, (rounded.low[:, None] + rounded.step[:, None] * levels) @ signs.T)
+        one = np.ones(500)
+        got = rounded.products(slice(0, 30), words, np.bitwise_count(words).sum(axis=0, dtype=np.int64), one, np.zeros(30))
+        assert np.allclose(got, (rounded.low[:, None] + rounded.step[:, None] * levels) @ signs.T, atol=1e-5)
         error = np.abs(got * (norm / aligned) + (q @ codes.centre)[:, None] - q @ v.T)
         lengths = np.linalg.norm(q, axis=1)
         bound = (lengths[:, None] * np.sqrt(1 - aligned**2) + rounded.rest[:, None]) * norm / aligned * ann.EPSILON / np.sqrt(dims - 1)

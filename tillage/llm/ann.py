@@ -20,6 +20,8 @@ QUERY_BLOCK_BYTES = 4 << 20
 ROWS = 8192
 #: Of these, queries that are estimated together, and pairs whose exact products are taken together: bound a task's memory.
 QUERIES, RERANK = 32, 1 << 14
+#: Times k: how many of a query's best estimates are first taken exactly, for a floor under the others.
+TOP = 3
 #: Bits to which a query's rotated components are rounded, so that estimates are sums of population counts.
 QUERY_BITS = 4
 ANSWER = "query_id long, rank int, vec_id long, score double"
@@ -87,14 +89,23 @@ class Rounded:
         self.sums = level.sum(axis=1, dtype=np.int64)
         self.planes = [words_of(np.packbits((level >> j) & 1, axis=1)) for j in range(QUERY_BITS)]
 
-    def products(self, part: slice, words: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        """<x, q> of each query and code, from population counts alone; ones are the codes' own."""
-        counts = np.zeros((len(self.low[part]), words.shape[1]), np.int32)
+    def counts(self, part: slice, words: np.ndarray) -> np.ndarray:
+        """Sum of the levels where a code has a one, from population counts alone, for each query and code."""
+        out = np.zeros((len(self.low[part]), words.shape[1]), np.int32)
         for j, plane in enumerate(self.planes):
             for q, w in zip(plane, words):
-                counts += np.left_shift(np.bitwise_count(q[part, None] & w[None, :]), j, dtype=np.int32)
-        low, step = self.low[part, None], self.step[part, None]
-        return (2 * (low * ones[None, :] + step * counts) - (low * self.dims + step * self.sums[part, None])) / np.sqrt(self.dims)
+                out += np.left_shift(np.bitwise_count(q[part, None] & w[None, :]), j, dtype=np.int32)
+        return out
+
+    def products(self, part: slice, words: np.ndarray, ones: np.ndarray, scale: np.ndarray, plus: np.ndarray) -> np.ndarray:
+        """<x, q> scale + plus of each query and code; ones are the codes' own numbers of ones."""
+        root = np.sqrt(self.dims)
+        out = self.counts(part, words).astype(np.float32)
+        out *= (2 * self.step[part] / root).astype(np.float32)[:, None]
+        out *= scale.astype(np.float32)[None, :]
+        own = np.column_stack([2 * self.low[part] / root, -(self.low[part] * self.dims + self.step[part] * self.sums[part]) / root, plus])
+        out += own.astype(np.float32) @ np.stack([ones * scale, scale, np.ones(len(scale))]).astype(np.float32)
+        return out
 
 
 def exact(qt: np.ndarray, vt: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -147,20 +158,23 @@ def _scan(block, codes: Codes, dims: int, k: int):
             ones = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
             scale = norm / aligned
             deviation = scale * EPSILON / np.sqrt(max(dims - 1, 1))
-            spread = deviation * np.sqrt(np.maximum(0, 1 - aligned**2))
+            errors = np.stack([deviation * np.sqrt(np.maximum(0, 1 - aligned**2)), deviation, scale + norm, np.ones(len(norm))]).astype(np.float32)
             for at in range(0, len(ids), QUERIES):
                 part = slice(at, at + QUERIES)
                 own_q = qt[:, part]
-                estimate = rounded.products(part, words, ones) * scale[None, :] + centred[part, None]
+                estimate = rounded.products(part, words, ones, scale, centred[part])
                 estimate[own[None, :] == ids[part, None]] = -np.inf
-                error = lengths[part, None] * spread[None, :] + rounded.rest[part, None] * deviation[None, :] + 1e-9 * (lengths[part, None] * norm[None, :] + np.abs(centred[part, None])) + 1e-12
                 floor = best[part, k - 1]
-                if estimate.shape[1] > k:  # the exact products of the k best estimates: the k-th nearest is at least this near
-                    top = np.argpartition(estimate, -k, axis=1)[:, -k:]
-                    row = np.repeat(np.arange(len(top)), k)
-                    sure = np.where(estimate[row, top.ravel()] > -np.inf, exact(own_q, vt, row, top.ravel()), -np.inf)
-                    floor = np.maximum(floor, sure.reshape(-1, k).min(axis=1))
-                i, j = np.nonzero((estimate + error >= floor[:, None]) & (estimate > -np.inf))
+                if estimate.shape[1] > TOP * k:  # exact products of the best estimates: the k-th nearest is as near as their k-th
+                    top = np.argpartition(estimate, -TOP * k, axis=1)[:, -TOP * k :]
+                    row = np.repeat(np.arange(len(top)), TOP * k)
+                    sure = np.where(estimate[row, top.ravel()] > -np.inf, exact(own_q, vt, row, top.ravel()), -np.inf).reshape(-1, TOP * k)
+                    floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k])
+                # the last term is what float32 may be off
+                own_error = np.column_stack([lengths[part], rounded.rest[part], 1e-5 * lengths[part], 1e-5 * np.abs(centred[part])]).astype(np.float32)
+                near = estimate + own_error @ errors
+                near -= floor[:, None].astype(np.float32)
+                i, j = np.nonzero((near >= -1e-5 * np.abs(floor)[:, None].astype(np.float32) - 1e-30) & (estimate > -np.inf))
                 if not len(i):
                     continue
                 score = exact(own_q, vt, i, j)
