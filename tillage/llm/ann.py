@@ -26,7 +26,7 @@ TOP = 3
 QUERY_BITS = 4
 ANSWER = "query_id long, rank int, vec_id long, score double"
 #: Half-width of the error bound in standard deviations.
-EPSILON = 1.9
+EPSILON = 3.0
 
 
 def valid(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
