@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,26 +10,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import cut, texts_of, whole_text
+from tillage.llm.common import broadcast, cut, lookup, texts_of, whole_text
 from tillage.llm.components import connected_components
 
-#: Lines of fewer characters, white space collapsed, are never removed: brackets, bullets, short headings.
-MIN_CHARS = 16
-#: Lines of fewer characters are compared for equality only: two edits are no longer a small difference.
-MIN_FUZZY = 32
-#: Edits between near-duplicate lines.
-EDITS = 2
+#: Edits between near-duplicate lines, by the shorter line's characters: (from that many on, edits). Shorter ones are
+#: compared for equality. A number instead of the list holds for every length.
+EDITS = ((16, 1), (32, 2))
+#: Lines of fewer characters, white space collapsed, are never removed.
+MIN_CHARS = 1
 #: A segment's bucket of more candidate pairs than this is compared in blocks that carry the texts.
 SMALL_BUCKET = 256
 BLOCK = 512
+#: A segment that this many lines have, in a sample of one line in SAMPLE, is split by segments of what else its lines hold.
+SAMPLE, HOT_LINES, DEPTH = 16, 256, 2
+#: Segments that are split, at most; the others' buckets are compared in blocks, with the same links.
+MAX_HOT = 100_000
+
+Edits = int | Sequence[tuple[int, int]]
+
+
+def allowed(edits: Edits, n: int) -> int:
+    """Edits for a pair whose shorter line has n characters."""
+    return edits if isinstance(edits, int) else max([0, *[e for least, e in edits if n >= least]])
+
+
+def most(edits: Edits) -> int:
+    return edits if isinstance(edits, int) else max([0, *[e for _, e in edits]])
 
 
 def normal(line: str) -> str:
     return " ".join(line.split())
 
 
-def line_key(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+def line_key(line: str) -> tuple[int, int]:
+    """128 bits that stand for a line, as two signed longs; segments know lines by the first."""
+    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def counts(line: str, min_chars: int) -> bool:
+    """Whether a line, white space collapsed, takes part: it is long enough and has a letter or digit."""
+    return len(line) >= min_chars and (line.isalnum() or any(map(str.isalnum, line)))
 
 
 def segments(n: int, k: int) -> list[tuple[int, int]]:
@@ -58,32 +79,54 @@ def probe_starts(n: int, m: int, k: int) -> list[tuple[int, int, int]]:
 
 
 class Keys:
-    """Segment keys of lines: index keys are even, probe keys the same number made odd."""
+    """Segment keys of lines: index keys are even, probe keys the same number made odd.
 
-    def __init__(self, edits: int):
-        self.k, self.plans = edits + 1, {}
+    A key in `hot` is replaced by keys of the line's rest: two lines that share a segment and are within some edits have
+    rests within as many, so the rests share a segment too.
+    """
 
-    def plan(self, n: int) -> list[tuple[int, int, int, int]]:
-        """(seed of length and segment, begin, end, role), a line's own segments first.
+    def __init__(self, edits: Edits, hot: frozenset[int] = frozenset()):
+        self.edits, self.hot, self.plans = edits, hot, {}
+
+    def plan(self, n: int) -> list[tuple[int, int, int, int, int, int]]:
+        """(seed of length and segment, begin, end, role, length of the shorter line, segments), own segments first.
 
         A line finds each of its own segments again at no shift: an index key is a probe too, and has no row as one.
         """
         if n not in self.plans:
-            own = [(n * self.k + i, at, at + size, 0) for i, (at, size) in enumerate(segments(n, self.k))]
-            probes = [(m * self.k + i, p, p + size, 1) for m in range(max(1, n - self.k + 1), n + 1) for i, p, size in probe_starts(n, m, self.k)]
+            own, probes = [], []
+            for m in range(max(1, n - most(self.edits)), n + 1):
+                k = allowed(self.edits, m) + 1
+                if k > 1 and n - m < k:
+                    own += [(m << 8 | i, at, at + size, 0, m, k) for i, (at, size) in enumerate(segments(m, k))] if m == n else []
+                    probes += [(m << 8 | i, p, p + size, 1, m, k) for i, p, size in probe_starts(n, m, k)]
             if len(self.plans) > 20_000:
                 self.plans.clear()
-            selves = {(seed, a) for seed, a, _, _ in own}
+            selves = {x[:2] for x in own}
             self.plans[n] = own + [x for x in probes if x[:2] not in selves]
         return self.plans[n]
 
     def rows(self, line: str) -> list[int]:
         """The keys to store: index keys, of which each is a probe as well, and the other probe keys."""
-        digest, plan = xxhash.xxh3_64_intdigest, self.plan(len(line))
-        if line.isascii():
-            data = line.encode()
-            return [(digest(data[a:b], seed) >> 2 << 1) | role for seed, a, b, role in plan]
-        return [(digest(line[a:b].encode("utf-8", "surrogatepass"), seed) >> 2 << 1) | role for seed, a, b, role in plan]
+        digest, plan, hot, out = xxhash.xxh3_64_intdigest, self.plan(len(line)), self.hot, []
+        data = line.encode() if line.isascii() else None
+        for seed, a, b, role, m, k in plan:
+            x = digest(line[a:b].encode("utf-8", "surrogatepass") if data is None else data[a:b], seed) >> 2 << 1
+            if x in hot:
+                self._rest(x, line[:a] + line[b:], m - (b - a), role, k, 1, out)
+            else:
+                out.append(x | role)
+        return out
+
+    def _rest(self, key: int, rest: str, m: int, role: int, k: int, depth: int, out: list[int]) -> None:
+        own = [(i, at, size, 0) for i, (at, size) in enumerate(segments(m, k))] if role == 0 else []
+        selves = {x[:2] for x in own}
+        for i, p, size, r in own + [(i, p, size, 1) for i, p, size in probe_starts(len(rest), m, k) if (i, p) not in selves]:
+            x = xxhash.xxh3_64_intdigest(rest[p : p + size].encode("utf-8", "surrogatepass"), (key << 4 | i) & 0xFFFFFFFFFFFFFFFF) >> 2 << 1
+            if depth < DEPTH and x in self.hot:
+                self._rest(x, rest[:p] + rest[p + size :], m - size, r, k, depth + 1, out)
+            else:
+                out.append(x | r)
 
     def of(self, line: str) -> list[int]:
         """All index and probe keys."""
@@ -125,54 +168,86 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(levels[edits] >> (m - n + edits) & 1)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, keyed: bool, edits: int, texts: bool = False) -> DataFrame:
-    """Rows of the eligible lines: occurrences (id, version, line_no, key), or (seg, key), or (key, line).
+def _source(docs: DataFrame, id_col: str, text_col: str, extra: list[str] | None = None) -> DataFrame:
+    """(id, t, version, x0, x1 ..); version, a hash of the text, tells apart rows that share an id."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), F.xxhash64(whole_text(text_col)).alias("version"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra or [])])
+
+
+def _occurrences(source: DataFrame, min_chars: int) -> DataFrame:
+    """A row for each line that takes part: id, version, line_no, key, key2."""
 
-    version, a hash of the text, tells apart rows that share an id. For segments and texts a task leaves out lines
-    that it has just seen, so a line with a third of all rows makes a few rows a task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, versions = b.column(0).to_pylist(), b.column(2).to_pylist()
+            rows: list[tuple] = []
+            out = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["id", "version", "line_no", "key", "key2"])
+            for i, text in enumerate(texts_of(b.column(1))):
+                for no, line in enumerate(text.split("\n")):
+                    line = normal(line)
+                    if counts(line, min_chars):
+                        rows.append((ids[i], versions[i], no, *line_key(line)))
+                if len(rows) >= 50_000:
+                    yield out()
+                    rows = []
+            if rows:
+                yield out()
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    return source.select("id", "t", "version").mapInArrow(run, "id long, version long, line_no int, key long, key2 long")
+
+
+def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None, sample: int = 1) -> DataFrame:
+    """Of the lines that have allowed edits, once a task: (seg, key) or, what = "line", (key, key2, line).
+
+    A task leaves out lines that it has just seen, so a line with a third of all rows makes a few rows a task. With
+    sample only the lines whose key is divisible by it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, seen = Keys(edits), set()
-        left, right, third, fourth = [], [], [], []
+        maker, seen, rows, n = Keys(edits, hot.value if hot else frozenset()), set(), [], 0
 
         def out() -> pa.RecordBatch:
-            if keyed:
-                segs = np.array([x for s in left for x in s], np.int64)
-                counts = [len(s) for s in left]
-                return pa.RecordBatch.from_arrays([pa.array(segs), pa.array(np.repeat(np.array(right, np.int64), counts))], names=["seg", "key"])
-            if texts:
-                return pa.RecordBatch.from_arrays([pa.array(right, pa.int64()), pa.array(left, pa.string())], names=["key", "line"])
-            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(third, pa.int64()), pa.array(fourth, pa.int32()), pa.array(right, pa.int64())], names=["id", "version", "line_no", "key"])
+            if what == "line":
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["key", "key2", "line"])
+            segs = np.fromiter((x for s, _ in rows for x in s), np.int64, n)
+            keys = np.repeat(np.array([k for _, k in rows], np.int64), [len(s) for s, _ in rows])
+            return pa.RecordBatch.from_arrays([pa.array(segs), pa.array(keys)], names=["seg", "key"])
 
         for b in batches:
-            ids, versions = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for i, text in enumerate(texts_of(b.column(1))):
-                for no, line in enumerate(text.split("\n")):
+            for text in texts_of(b.column(0)):
+                for line in text.split("\n"):
                     line = normal(line)
-                    if len(line) < MIN_CHARS:
+                    if not counts(line, min_chars) or not allowed(edits, len(line)):
                         continue
                     key = line_key(line)
-                    if keyed or texts:
-                        if key in seen or len(line) < MIN_FUZZY:
-                            continue
-                        seen.add(key)
-                        left.append(maker.rows(line) if keyed else line)
-                    else:
-                        left.append(ids[i])
-                        third.append(versions[i])
-                        fourth.append(no)
-                    right.append(key)
-                if len(right) >= 20_000:
-                    yield out()
-                    left, right, third, fourth = [], [], [], []
-            if len(seen) > 500_000:
+                    if key in seen or key[0] % sample:
+                        continue
+                    seen.add(key)
+                    rows.append((*key, line) if what == "line" else (maker.rows(line), key[0]))
+                    n += 1 if what == "line" else len(rows[-1][0])
+                    if n >= 200_000 or len(rows) >= 20_000:
+                        yield out()
+                        rows, n = [], 0
+            if len(seen) > 300_000:
                 seen.clear()
-        if right:
+        if rows:
             yield out()
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), F.xxhash64(whole_text(text_col)).alias("version"))
-    return source.mapInArrow(run, "seg long, key long" if keyed else "key long, line string" if texts else "id long, version long, line_no int, key long")
+    return source.select("t").mapInArrow(run, "key long, key2 long, line string" if what == "line" else "seg long, key long")
+
+
+def _hot_segments(source: DataFrame, edits: Edits, min_chars: int) -> frozenset[int]:
+    """Segments that many different lines have, by a sample; whichever they are, the links come out the same."""
+    hot: frozenset[int] = frozenset()
+    for _ in range(DEPTH):
+        held = broadcast(source.sparkSession, hot, "the hot segments")
+        rows = _fuzzy(source, edits, min_chars, "seg", held, SAMPLE).select(F.shiftright("seg", 1).alias("bucket"), "key").distinct()
+        many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LINES)
+        found = frozenset(r.bucket << 1 for r in many.orderBy(F.desc("n"), "bucket").limit(MAX_HOT - len(hot)).select("bucket").collect()) - hot
+        if not found:
+            break
+        hot |= found
+    return hot
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,23 +297,29 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]))
 
 
-def _verify_pairs(edits: int):
+def _near(a: str, b: str, edits: Edits) -> bool:
+    return within(a, b, allowed(edits, min(len(a), len(b))))
+
+
+def _verify_pairs(edits: Edits):
+    """Rows (a, a2, b, b2, x, y): those whose texts are near."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [within(x.as_py(), y.as_py(), edits) for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+            keep = [_near(x.as_py(), y.as_py(), edits) for x, y in zip(b.column(4), b.column(5))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:4]], names=["a", "a2", "b", "b2"])
 
     return run
 
 
-def _verify_cells(edits: int):
-    """Rows (bucket, cell, key, role, line) sorted by cell: links that keep the components, a tree in each cell.
+def _verify_cells(edits: Edits):
+    """Rows (bucket, cell, key, key2, role, line) sorted by cell: links that keep the components, a tree in each cell.
 
     A pair that earlier links of the cell already join is not compared again. Lines are grouped by the counts of
-    their characters first: two edits change at most four counts.
+    their characters first: an edit changes at most two counts.
     """
 
-    def done(keys: list[int], roles: list[int], lines: list[str]) -> Iterator[tuple[int, int]]:
+    def done(keys: list[tuple[int, int]], roles: list[int], lines: list[str]) -> Iterator[tuple[int, int, int, int]]:
         order = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         text = [""] * len(order)
         for k, t in zip(keys, lines):
@@ -259,27 +340,27 @@ def _verify_cells(edits: int):
         right = np.array(sorted({order[k] for k, r in zip(keys, roles) if r == 1}), np.int64)
         names = list(order)
         for i in left:
-            near = right[np.abs(hist[right] - hist[i]).sum(axis=1) <= 2 * edits] if len(right) else right
+            near = right[np.abs(hist[right] - hist[i]).sum(axis=1) <= 2 * most(edits)] if len(right) else right
             for j in near.tolist():
                 x, y = find(i), find(j)
-                if x != y and within(text[i], text[j], edits):
+                if x != y and _near(text[i], text[j], edits):
                     parent[max(x, y)] = min(x, y)
-                    yield names[i], names[j]
+                    yield *names[i], *names[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, ([], [], [])
 
         def flush() -> pa.RecordBatch:
             found = list(done(*held))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], names=["a", "a2", "b", "b2"])
 
         for batch in batches:
-            for bucket, cell, key, role, line in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, cell, key, key2, role, line in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bucket, cell) != current:
                     if current is not None:
                         yield flush()
                     current, held = (bucket, cell), ([], [], [])
-                held[0].append(key)
+                held[0].append((key, key2))
                 held[1].append(role)
                 held[2].append(line)
         if current is not None:
@@ -288,39 +369,50 @@ def _verify_cells(edits: int):
     return run
 
 
-def similar_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) between keys of different lines, whose components are those of all pairs within `edits` edits."""
-    rows = _lines(docs, id_col, text_col, True, edits)
+_LINKS = "a long, a2 long, b long, b2 long"
+
+
+def similar_lines(source: DataFrame, edits: Edits = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Links (a, b), structs of 128-bit keys, between different lines; their components are those of all near pairs."""
+    hot = broadcast(source.sparkSession, _hot_segments(source, edits, min_chars), "the hot segments")
+    rows = _fuzzy(source, edits, min_chars, "seg", hot)
     met = cut(rows.repartition(F.shiftright("seg", 1)).sortWithinPartitions("seg").mapInArrow(_buckets, "bucket long, cell long, a long, b long"))
     pairs = met.where("cell < 0").select("a", "b").distinct()
     cells = met.where("cell >= 0")
     needed = met.select(F.explode(F.when(F.col("cell") < 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct()
-    texts = cut(_lines(docs, id_col, text_col, False, edits, True).join(needed, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")))
-    found = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify_pairs(edits), "a long, b long")
+    texts = cut(_fuzzy(source, edits, min_chars, "line").join(needed, "key", "left_semi").groupBy("key", "key2").agg(F.first("line").alias("line")))
+    both = pairs.join(texts.toDF("a", "a2", "x"), "a").join(texts.toDF("b", "b2", "y"), "b")
+    found = both.select("a", "a2", "b", "b2", "x", "y").mapInArrow(_verify_pairs(edits), _LINKS)
     if cells.take(1):
         members = cells.select("bucket", "cell", F.col("a").alias("key"), F.col("b").alias("role")).join(texts, "key")
-        grid = members.select("bucket", "cell", "key", "role", "line").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
-        found = found.union(grid.mapInArrow(_verify_cells(edits), "a long, b long"))
-    return found
+        grid = members.select("bucket", "cell", "key", "key2", "role", "line").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+        found = found.union(grid.mapInArrow(_verify_cells(edits), _LINKS))
+    return found.select(F.struct(F.col("a").alias("key"), F.col("a2").alias("key2")).alias("a"), F.struct(F.col("b").alias("key"), F.col("b2").alias("key2")).alias("b"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: Edits = EDITS, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: id, text without lines that repeat or nearly repeat an earlier one, n_lines, n_removed, extra.
 
-    Lines are compared with white space collapsed. A class is a connected component of lines within `edits` edits;
-    its first line by (id, text hash, line number) stays, the others go with their line feed. Lines under MIN_CHARS
-    characters stay, lines under MIN_FUZZY are compared for equality. Null text stays null; rows that agree in id and
-    text are treated alike. A line is known by 64 bits of its hash: among n lines about n^2 / 2^65 are mistaken.
+    Lines are compared with white space collapsed. A class is a connected component of lines within the edits allowed
+    for the shorter of two, equality included; its first line by (id, text hash, line number) stays, the others go
+    with their line feed. Lines of fewer than min_chars characters and lines without letter or digit stay. With a
+    number for edits every pair of lines is compared by it, whatever its length.
+
+    Null text stays null, an empty one empty; a null id comes first; rows that agree in id and text are treated alike and
+    come back repeated; an empty table gives no rows; extra columns may have any names. A line is known by 128 bits.
     """
     extra = [c for c in extra or [] if c not in (id_col, text_col)]
-    seen = _lines(docs, id_col, text_col, False, edits)
+    source = _source(docs, id_col, text_col, extra)
+    seen = cut(_occurrences(source, min_chars))
     place = F.struct("id", "version", "line_no")
-    distinct = cut(seen.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(similar_lines(docs, edits, id_col, text_col))
-    linked = distinct.join(roots, distinct.key == roots.node, "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("near")).where("n > 1 or near")
+    distinct = cut(seen.groupBy("key", "key2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = connected_components(similar_lines(source, edits, min_chars)).select(F.col("node.key").alias("key"), F.col("node.key2").alias("key2"), "root")
+    own = F.struct("key", "key2")
+    linked = distinct.join(roots, ["key", "key2"], "left").select("key", "key2", "first", "n", F.coalesce("root", own).alias("root"), F.col("root").isNotNull().alias("near")).where("n > 1 or near")
     first = linked.groupBy("root").agg(F.min("first").alias("kept"))
-    repeated = linked.join(first, "root").select("key", "kept")
-    gone = seen.join(repeated, "key").where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone"))
+    repeated = cut(linked.join(first, "root").select("key", "key2", "kept", "n"))
+    met = lookup(seen, repeated, ["key", "key2"], "n", seen.count(), F.xxhash64("id", "version", "line_no"))
+    gone = met.where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,7 +425,6 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", tex
                 out.append("\n".join([x for i, x in enumerate(parts) if i not in drop]) if drop else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), *b.columns[3:]], names=["id", "text", "n_lines", "n_removed", *[f"x{i}" for i in range(len(extra))]])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), F.xxhash64(whole_text(text_col)).alias("version"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
     joined = source.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("id", "t", "gone", *[f"x{i}" for i in range(len(extra))])
     schema = ["id long", "text string", "n_lines long", "n_removed long"] + [f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(joined.schema.fields[3:])]
     return joined.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)})

@@ -65,7 +65,7 @@ def op8_simhash(spark, d):
 
 
 def op9_lines(spark, d):
-    found = linededup.dedup_lines(table(spark, d, "documents"), edits=2)
+    found = linededup.dedup_lines(table(spark, d, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
