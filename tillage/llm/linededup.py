@@ -21,7 +21,7 @@ MIN_CHARS = 1
 #: A segment's bucket of more candidate pairs than this is compared in blocks that carry the texts.
 SMALL_BUCKET = 256
 BLOCK = 512
-#: A segment that this many lines have, in a sample of one line in SAMPLE, is split by segments of what else its lines hold.
+#: A segment that this many lines have, in a sample of one text in SAMPLE, is split by segments of what else its lines hold.
 SAMPLE, HOT_LINES, DEPTH = 16, 256, 2
 #: Segments that are split, at most; the others' buckets are compared in blocks, with the same links.
 MAX_HOT = 100_000
@@ -42,10 +42,14 @@ def normal(line: str) -> str:
     return " ".join(line.split())
 
 
-def line_key(line: str) -> tuple[int, int]:
-    """128 bits that stand for a line, as two signed longs; segments know lines by the first."""
-    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-    return (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+def line_key(line: str) -> bytes:
+    """128 bits that stand for a line; segments know lines by the first 64."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
+def halves(keys: list[bytes]) -> np.ndarray:
+    """Line keys as two columns of signed longs."""
+    return np.frombuffer(b"".join(keys), np.dtype(np.int64).newbyteorder(">")).astype(np.int64).reshape(-1, 2)
 
 
 def counts(line: str, min_chars: int) -> bool:
@@ -78,18 +82,39 @@ def probe_starts(n: int, m: int, k: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: An odd number and its inverse modulo 2^64: what substrings are hashed with.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Keys:
     """Segment keys of lines: index keys are even, probe keys the same number made odd.
 
-    A key in `hot` is replaced by keys of the line's rest: two lines that share a segment and are within some edits have
-    rests within as many, so the rests share a segment too.
+    Substrings are hashed for many lines at once, as differences of a running sum of characters times powers; equal
+    ones have equal hashes, and what else meets is told apart by its text. A key in `hot` is replaced by keys of the
+    line's rest: two lines that share a segment and are within some edits have rests within as many, so the rests
+    share a segment too.
     """
 
     def __init__(self, edits: Edits, hot: frozenset[int] = frozenset()):
         self.edits, self.hot, self.plans = edits, hot, {}
+        self.sorted_hot = np.array(sorted(hot), np.int64)
+        self.powers = self.inverses = np.zeros(0, np.uint64)
 
-    def plan(self, n: int) -> list[tuple[int, int, int, int, int, int]]:
-        """(seed of length and segment, begin, end, role, length of the shorter line, segments), own segments first.
+    def plan(self, n: int) -> np.ndarray:
+        """Rows (seed of length and segment, begin, end, role, length of the shorter line, segments), own segments first.
 
         A line finds each of its own segments again at no shift: an index key is a probe too, and has no row as one.
         """
@@ -103,20 +128,49 @@ class Keys:
             if len(self.plans) > 20_000:
                 self.plans.clear()
             selves = {x[:2] for x in own}
-            self.plans[n] = own + [x for x in probes if x[:2] not in selves]
+            self.plans[n] = np.array(own + [x for x in probes if x[:2] not in selves], np.int64).reshape(-1, 6)
         return self.plans[n]
 
+    def batch(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys to store, how many each line has): index keys, of which each is a probe as well, and the other probe keys."""
+        if not lines:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(codes) > len(self.powers):
+            self.powers, self.inverses = _powers(_BASE, 2 * len(codes)), _powers(_INVERSE, 2 * len(codes))
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * self.powers[: len(codes)], out=total[1:])
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        plans = [self.plan(n) for n in sizes.tolist()]
+        n = np.fromiter(map(len, plans), np.int64, len(lines))
+        rows = np.concatenate(plans)
+        starts = np.repeat(np.cumsum(sizes) - sizes, n)
+        at = starts + rows[:, 1]
+        sums = (total[starts + rows[:, 2]] - total[at]) * self.inverses[np.minimum(at, len(self.inverses) - 1)]
+        x = (_mixed(sums + _mixed(rows[:, 0].astype(np.uint64))) >> np.uint64(2)).astype(np.int64) << 1
+        found = x | rows[:, 3]
+        if len(self.hot):
+            place = np.minimum(np.searchsorted(self.sorted_hot, x), len(self.sorted_hot) - 1)
+            many = np.flatnonzero(self.sorted_hot[place] == x)
+            if len(many):
+                owner = np.repeat(np.arange(len(lines)), n)
+                more: list[int] = []
+                whose: list[int] = []
+                for i in many.tolist():
+                    _, a, b, role, m, k = rows[i].tolist()
+                    line, before = lines[owner[i]], len(more)
+                    self._rest(int(x[i]), line[:a] + line[b:], m - (b - a), role, k, 1, more)
+                    whose += [int(owner[i])] * (len(more) - before)
+                kept = np.ones(len(found), bool)
+                kept[many] = False
+                who = np.concatenate([owner[kept], np.array(whose, np.int64)])
+                order = np.argsort(who, kind="stable")
+                found = np.concatenate([found[kept], np.array(more, np.int64)])[order]
+                n = np.bincount(who, minlength=len(lines))
+        return found, n
+
     def rows(self, line: str) -> list[int]:
-        """The keys to store: index keys, of which each is a probe as well, and the other probe keys."""
-        digest, plan, hot, out = xxhash.xxh3_64_intdigest, self.plan(len(line)), self.hot, []
-        data = line.encode() if line.isascii() else None
-        for seed, a, b, role, m, k in plan:
-            x = digest(line[a:b].encode("utf-8", "surrogatepass") if data is None else data[a:b], seed) >> 2 << 1
-            if x in hot:
-                self._rest(x, line[:a] + line[b:], m - (b - a), role, k, 1, out)
-            else:
-                out.append(x | role)
-        return out
+        return self.batch([line])[0].tolist()
 
     def _rest(self, key: int, rest: str, m: int, role: int, k: int, depth: int, out: list[int]) -> None:
         own = [(i, at, size, 0) for i, (at, size) in enumerate(segments(m, k))] if role == 0 else []
@@ -178,40 +232,47 @@ def _occurrences(source: DataFrame, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, versions = b.column(0).to_pylist(), b.column(2).to_pylist()
-            rows: list[tuple] = []
-            out = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["id", "version", "line_no", "key", "key2"])
+            docs, places, keys, start = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                whose, both = pa.array(docs, pa.int32()), halves(keys)
+                return pa.RecordBatch.from_arrays([b.column(0).take(whose), b.column(2).take(whose), pa.array(places, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["id", "version", "line_no", "key", "key2"])
+
             for i, text in enumerate(texts_of(b.column(1))):
                 for no, line in enumerate(text.split("\n")):
                     line = normal(line)
                     if counts(line, min_chars):
-                        rows.append((ids[i], versions[i], no, *line_key(line)))
-                if len(rows) >= 50_000:
+                        places.append(no)
+                        keys.append(line_key(line))
+                docs += [i] * (len(keys) - start)
+                start = len(keys)
+                if start >= 50_000:
                     yield out()
-                    rows = []
-            if rows:
+                    docs, places, keys, start = [], [], [], 0
+            if keys:
                 yield out()
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     return source.select("id", "t", "version").mapInArrow(run, "id long, version long, line_no int, key long, key2 long")
 
 
-def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None, sample: int = 1) -> DataFrame:
+def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None) -> DataFrame:
     """Of the lines that have allowed edits, once a task: (seg, key) or, what = "line", (key, key2, line).
 
-    A task leaves out lines that it has just seen, so a line with a third of all rows makes a few rows a task. With
-    sample only the lines whose key is divisible by it.
+    A task leaves out lines that it has just seen, so a line with a third of all rows makes a few rows a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, seen, rows, n = Keys(edits, hot.value if hot else frozenset()), set(), [], 0
+        maker, seen = Keys(edits, hot.value if hot else frozenset()), set()
+        keys: list[bytes] = []
+        lines: list[str] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
+            both = halves(keys)
             if what == "line":
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["key", "key2", "line"])
-            segs = np.fromiter((x for s, _ in rows for x in s), np.int64, n)
-            keys = np.repeat(np.array([k for _, k in rows], np.int64), [len(s) for s, _ in rows])
-            return pa.RecordBatch.from_arrays([pa.array(segs), pa.array(keys)], names=["seg", "key"])
+                return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(lines, pa.string())], names=["key", "key2", "line"])
+            segs, n = maker.batch(lines)
+            return pa.RecordBatch.from_arrays([pa.array(segs), pa.array(np.repeat(both[:, 0], n))], names=["seg", "key"])
 
         for b in batches:
             for text in texts_of(b.column(0)):
@@ -220,17 +281,18 @@ def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None,
                     if not counts(line, min_chars) or not allowed(edits, len(line)):
                         continue
                     key = line_key(line)
-                    if key in seen or key[0] % sample:
+                    if key in seen:
                         continue
                     seen.add(key)
-                    rows.append((*key, line) if what == "line" else (maker.rows(line), key[0]))
-                    n += 1 if what == "line" else len(rows[-1][0])
-                    if n >= 200_000 or len(rows) >= 20_000:
+                    keys.append(key)
+                    lines.append(line)
+                    size += len(line)
+                    if size >= 1_000_000 or len(lines) >= 10_000:
                         yield out()
-                        rows, n = [], 0
+                        keys, lines, size = [], [], 0
             if len(seen) > 300_000:
                 seen.clear()
-        if rows:
+        if lines:
             yield out()
 
     return source.select("t").mapInArrow(run, "key long, key2 long, line string" if what == "line" else "seg long, key long")
@@ -239,9 +301,10 @@ def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None,
 def _hot_segments(source: DataFrame, edits: Edits, min_chars: int) -> frozenset[int]:
     """Segments that many different lines have, by a sample; whichever they are, the links come out the same."""
     hot: frozenset[int] = frozenset()
+    part = source.where(F.pmod("version", F.lit(SAMPLE)) == 0)
     for _ in range(DEPTH):
         held = broadcast(source.sparkSession, hot, "the hot segments")
-        rows = _fuzzy(source, edits, min_chars, "seg", held, SAMPLE).select(F.shiftright("seg", 1).alias("bucket"), "key").distinct()
+        rows = _fuzzy(part, edits, min_chars, "seg", held).select(F.shiftright("seg", 1).alias("bucket"), "key").distinct()
         many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LINES)
         found = frozenset(r.bucket << 1 for r in many.orderBy(F.desc("n"), "bucket").limit(MAX_HOT - len(hot)).select("bucket").collect()) - hot
         if not found:
@@ -404,15 +467,14 @@ def dedup_lines(docs: DataFrame, edits: Edits = EDITS, id_col: str = "doc_id", t
     extra = [c for c in extra or [] if c not in (id_col, text_col)]
     source = _source(docs, id_col, text_col, extra)
     seen = cut(_occurrences(source, min_chars))
-    place = F.struct("id", "version", "line_no")
-    distinct = cut(seen.groupBy("key", "key2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    place, own = F.struct("id", "version", "line_no"), F.struct("key", "key2")
+    found = seen.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"))
     roots = connected_components(similar_lines(source, edits, min_chars)).select(F.col("node.key").alias("key"), F.col("node.key2").alias("key2"), "root")
-    own = F.struct("key", "key2")
-    linked = distinct.join(roots, ["key", "key2"], "left").select("key", "key2", "first", "n", F.coalesce("root", own).alias("root"), F.col("root").isNotNull().alias("near")).where("n > 1 or near")
-    first = linked.groupBy("root").agg(F.min("first").alias("kept"))
-    repeated = cut(linked.join(first, "root").select("key", "key2", "kept", "n"))
-    met = lookup(seen, repeated, ["key", "key2"], "n", seen.count(), F.xxhash64("id", "version", "line_no"))
-    gone = met.where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone"))
+    linked = cut(found.join(roots, ["key", "key2"], "left").where("n > 1 or root is not null").select("key", "key2", "n", F.coalesce("root", own).alias("root")))
+    met = cut(lookup(seen, linked, ["key", "key2"], "n", seen.count(), F.xxhash64("id", "version", "line_no")).drop("n", "key", "key2"))
+    first = met.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n"))
+    told = lookup(met, first, ["root"], "n", met.count(), F.xxhash64("id", "version", "line_no"))
+    gone = told.where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
