@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, cut, lookup, texts_of, whole_text
+from tillage.llm.common import broadcast, cut, drop_cut, lookup, texts_of, whole_text
 from tillage.llm.components import connected_components
 
 #: Edits between near-duplicate lines, by the shorter line's characters: (from that many on, edits). Shorter ones are
@@ -442,7 +442,8 @@ def similar_lines(source: DataFrame, edits: Edits = EDITS, min_chars: int = MIN_
     met = cut(rows.repartition(F.shiftright("seg", 1)).sortWithinPartitions("seg").mapInArrow(_buckets, "bucket long, cell long, a long, b long"))
     pairs = met.where("cell < 0").select("a", "b").distinct()
     cells = met.where("cell >= 0")
-    needed = met.select(F.explode(F.when(F.col("cell") < 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct()
+    # written first, so that the planner knows its size before it decides whether the texts have to move
+    needed = cut(met.select(F.explode(F.when(F.col("cell") < 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct())
     texts = cut(_fuzzy(source, edits, min_chars, "line").join(needed, "key", "left_semi").groupBy("key", "key2").agg(F.first("line").alias("line")))
     both = pairs.join(texts.toDF("a", "a2", "x"), "a").join(texts.toDF("b", "b2", "y"), "b")
     found = both.select("a", "a2", "b", "b2", "x", "y").mapInArrow(_verify_pairs(edits), _LINKS)
@@ -474,7 +475,9 @@ def dedup_lines(docs: DataFrame, edits: Edits = EDITS, id_col: str = "doc_id", t
     met = cut(lookup(seen, linked, ["key", "key2"], "n", seen.count(), F.xxhash64("id", "version", "line_no")).drop("n", "key", "key2"))
     first = met.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n"))
     told = lookup(met, first, ["root"], "n", met.count(), F.xxhash64("id", "version", "line_no"))
-    gone = told.where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone"))
+    gone = cut(told.where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone")))
+    drop_cut(seen)
+    drop_cut(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
