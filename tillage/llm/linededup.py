@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, cut, drop_cut, lookup, texts_of, whole_text
+from tillage.llm.common import broadcast, cut, lookup, texts_of, whole_text
 from tillage.llm.components import connected_components
 
 #: Edits between near-duplicate lines, by the shorter line's characters: (from that many on, edits). Shorter ones are
@@ -34,11 +34,19 @@ def allowed(edits: Edits, n: int) -> int:
     return edits if isinstance(edits, int) else max([0, *[e for least, e in edits if n >= least]])
 
 
+def first_allowed(edits: Edits) -> int:
+    """From how many characters on lines have allowed edits."""
+    return (1 if edits else 1 << 62) if isinstance(edits, int) else min([least for least, e in edits if e], default=1 << 62)
+
+
 def most(edits: Edits) -> int:
     return edits if isinstance(edits, int) else max([0, *[e for _, e in edits]])
 
 
 def normal(line: str) -> str:
+    """White space collapsed; of it only the space itself is printable."""
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line
     return " ".join(line.split())
 
 
@@ -114,7 +122,7 @@ class Keys:
         self.powers = self.inverses = np.zeros(0, np.uint64)
 
     def plan(self, n: int) -> np.ndarray:
-        """Rows (seed of length and segment, begin, end, role, length of the shorter line, segments), own segments first.
+        """Rows (mixed seed of length and segment, begin, end, role, length of the shorter line, segments), own segments first.
 
         A line finds each of its own segments again at no shift: an index key is a probe too, and has no row as one.
         """
@@ -128,7 +136,9 @@ class Keys:
             if len(self.plans) > 20_000:
                 self.plans.clear()
             selves = {x[:2] for x in own}
-            self.plans[n] = np.array(own + [x for x in probes if x[:2] not in selves], np.int64).reshape(-1, 6)
+            rows = np.array(own + [x for x in probes if x[:2] not in selves], np.int64).reshape(-1, 6)
+            rows[:, 0] = _mixed(rows[:, 0].astype(np.uint64)).view(np.int64)
+            self.plans[n] = rows
         return self.plans[n]
 
     def batch(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +157,7 @@ class Keys:
         starts = np.repeat(np.cumsum(sizes) - sizes, n)
         at = starts + rows[:, 1]
         sums = (total[starts + rows[:, 2]] - total[at]) * self.inverses[np.minimum(at, len(self.inverses) - 1)]
-        x = (_mixed(sums + _mixed(rows[:, 0].astype(np.uint64))) >> np.uint64(2)).astype(np.int64) << 1
+        x = (_mixed(sums + rows[:, 0].astype(np.uint64)) >> np.uint64(2)).astype(np.int64) << 1
         found = x | rows[:, 3]
         if len(self.hot):
             place = np.minimum(np.searchsorted(self.sorted_hot, x), len(self.sorted_hot) - 1)
@@ -262,7 +272,7 @@ def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, seen = Keys(edits, hot.value if hot else frozenset()), set()
+        maker, seen, least = Keys(edits, hot.value if hot else frozenset()), set(), first_allowed(edits)
         keys: list[bytes] = []
         lines: list[str] = []
         size = 0
@@ -277,8 +287,10 @@ def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None)
         for b in batches:
             for text in texts_of(b.column(0)):
                 for line in text.split("\n"):
+                    if len(line) < least:
+                        continue
                     line = normal(line)
-                    if not counts(line, min_chars) or not allowed(edits, len(line)):
+                    if len(line) < least or not counts(line, min_chars):
                         continue
                     key = line_key(line)
                     if key in seen:
@@ -442,8 +454,7 @@ def similar_lines(source: DataFrame, edits: Edits = EDITS, min_chars: int = MIN_
     met = cut(rows.repartition(F.shiftright("seg", 1)).sortWithinPartitions("seg").mapInArrow(_buckets, "bucket long, cell long, a long, b long"))
     pairs = met.where("cell < 0").select("a", "b").distinct()
     cells = met.where("cell >= 0")
-    # written first, so that the planner knows its size before it decides whether the texts have to move
-    needed = cut(met.select(F.explode(F.when(F.col("cell") < 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct())
+    needed = met.select(F.explode(F.when(F.col("cell") < 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct()
     texts = cut(_fuzzy(source, edits, min_chars, "line").join(needed, "key", "left_semi").groupBy("key", "key2").agg(F.first("line").alias("line")))
     both = pairs.join(texts.toDF("a", "a2", "x"), "a").join(texts.toDF("b", "b2", "y"), "b")
     found = both.select("a", "a2", "b", "b2", "x", "y").mapInArrow(_verify_pairs(edits), _LINKS)
@@ -475,9 +486,7 @@ def dedup_lines(docs: DataFrame, edits: Edits = EDITS, id_col: str = "doc_id", t
     met = cut(lookup(seen, linked, ["key", "key2"], "n", seen.count(), F.xxhash64("id", "version", "line_no")).drop("n", "key", "key2"))
     first = met.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n"))
     told = lookup(met, first, ["root"], "n", met.count(), F.xxhash64("id", "version", "line_no"))
-    gone = cut(told.where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone")))
-    drop_cut(seen)
-    drop_cut(met)
+    gone = told.where(~place.eqNullSafe(F.col("kept"))).groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
