@@ -299,10 +299,10 @@ def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None)
                     keys.append(key)
                     lines.append(line)
                     size += len(line)
-                    if size >= 1_000_000 or len(lines) >= 10_000:
+                    if size >= 400_000 or len(lines) >= 10_000:
                         yield out()
                         keys, lines, size = [], [], 0
-            if len(seen) > 300_000:
+            if len(seen) > 200_000:
                 seen.clear()
         if lines:
             yield out()
