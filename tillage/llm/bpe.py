@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,10 +14,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tillage.llm.common import broadcast, texts_of, whole_text
 
 NONE = np.int64(1) << 62
+#: The library's own normal form: its Unicode orders other marks than Python's. Below U+0300 nothing composes.
+_NFC, _MARKS = normalizers.NFC(), re.compile("[^\\x00-\u02ff]")
 #: Words whose tokens a worker remembers; it forgets all of them when it knows this many.
 CACHE_WORDS = 200_000
 #: Words of up to this many symbols are merged side by side, longer ones one at a time.
@@ -30,6 +34,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def newer_characters() -> tuple[str, dict[int, int]]:
+    """Where three Unicode versions disagree, for characters that Python's doesn't assign: the letters and digits, as ranges
+    of a set, that the pattern library knows and the tokenizer's library takes for other signs; and the lower case
+    that the latter knows."""
+    told, ranges = regex.compile(r"[\p{L}\p{N}]"), []
+    new = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"]
+    low = normalizers.Lowercase().normalize_str("".join(new))
+    lower = {ord(a): ord(b) for a, b in zip(new, low, strict=True) if a != b}
+    new = [c for c in new if told.match(c)]
+    others = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str("".join(new))
+    for c in "".join(x for x, _ in others):
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"{a}-{b}" for a, b in ranges), lower
+
+
 @dataclass
 class Vocabulary:
     """Tokens, merge ranks and text rules of a byte-level BPE with word ends."""
@@ -57,15 +79,18 @@ class Vocabulary:
         pairs, ranks, merged = (np.array(x, np.int64) for x in zip(*rows))
         symbols = byte_symbols()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        return cls(tokens, pairs, ranks, merged, [ids[s] for s in symbols], [ids[s + end] for s in symbols], special, pattern)
+        return cls(tokens, pairs, ranks, merged, [ids[s] for s in symbols], [ids[s + end] for s in symbols], special, pattern, {}, newer_characters())
+
+    newer: tuple[str, dict[int, int]] = ("", {})
 
     def __post_init__(self) -> None:
+        self.unknown = re.compile(f"[{self.newer[0]}]") if self.newer[0] else None
         self.words = regex.compile(self.pattern)
         self.parts = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.by_pair = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
 
     def __reduce__(self):
-        return Vocabulary, (self.tokens, self.pairs, self.ranks, self.merged, self.first, self.last, self.special, self.pattern)
+        return Vocabulary, (self.tokens, self.pairs, self.ranks, self.merged, self.first, self.last, self.special, self.pattern, {}, self.newer)
 
     # -- text -> words
 
@@ -80,8 +105,13 @@ class Vocabulary:
 
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look for a final sigma
-        return self.words.findall(text.lower())
+            if _MARKS.search(text):
+                text = _NFC.normalize_str(text).translate(self.newer[1])
+            text = text.replace("Σ", "σ")  # lower() would look for a final sigma
+        text = text.lower()
+        if self.unknown and not text.isascii() and self.unknown.search(text):
+            return [text[m.start() : m.end()] for m in self.words.finditer(self.unknown.sub("\ue000", text))]
+        return self.words.findall(text)
 
     # -- words -> tokens
 
