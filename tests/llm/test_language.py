@@ -30,7 +30,7 @@ def plain_bits(text, counts):
 
 def test_code_lengths_are_exact(spark):
     rows = [(1, "the cat and the hat, then", "en"), (2, "le chat et la tête", "fr"), (3, "that then", "en"), (4, "là", "fr"), (5, None, "en"), (6, "zz", None)]
-    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_context=1)
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ["en", "fr"]
     for j, lang in enumerate(model.languages):
         counts = [{} for _ in range(L.ORDER + 1)]
@@ -53,5 +53,17 @@ def test_held_out_accuracy_and_edge_cases(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 %%"), (4, "a"), (None, "é" * 300000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
     found = {r.id: r.lang_pred for r in L.identify(odd, model).collect()}
     assert [found[i] for i in (1, 2, 3)] == ["und"] * 3 and found[4] in model.languages and found[None] in model.languages
+    assert sorted(r.id for r in L.identify(odd.union(odd), model).collect() if r.id) == [1, 1, 2, 2, 3, 3, 4, 4] and L.identify(odd.limit(0), model).count() == 0
     nothing = L.train(docs.limit(0))
     assert {r.lang_pred for r in L.identify(docs.limit(3), nothing).collect()} == {"und"}
+
+
+def test_many_languages(spark):
+    """The sample of each shrinks as languages come in; the model stays within the broadcast bound."""
+    words = [[chr(97 + (7 * i + j) % 26) + chr(97 + (3 * i + 5 * j) % 26) + "aeiou"[(i + j) % 5] for j in range(12)] for i in range(30)]
+    rows = [(i * 100 + k, " ".join(words[i][(k * m) % 12] for m in range(1, 40)), f"l{i:02}") for i in range(30) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(df, all_docs=300)
+    assert len(model.languages) == 30
+    got = L.identify(df, model, extra=["lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95

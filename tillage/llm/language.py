@@ -16,10 +16,8 @@ from tillage.llm.common import broadcast, bytes_of, whole_text
 ORDER = 4
 #: Bytes of text that are scored at a time.
 CHUNK = 1 << 18
-#: Documents of each language that the counts are learned from, as an expected number.
-SAMPLE_DOCS = 1500
-#: Contexts are kept that occur at least this often in the sample of some language (order 2 and below: all).
-MIN_CONTEXT = 24
+#: Labelled documents of each language, and of all languages, that the counts are learned from at most, as expected numbers.
+SAMPLE_DOCS, ALL_DOCS = 1500, 12_000
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -74,7 +72,8 @@ class Table:
 
 @dataclass
 class Model:
-    """By order k, for all languages: bits of each known (context, byte) and of leaving each known context.
+    """What is broadcast are the counts, a row for each (context, byte) of each language that has it; a worker makes of
+    them, by order k and for all languages, the bits of each known (context, byte) and of leaving each known context.
 
     A byte's bits in a language: if its context of k bytes is known there and the byte followed it c of n times with
     d distinct bytes, log2((n + d) / c); if the byte never followed, log2((n + d) / d) and then those of k - 1
@@ -82,20 +81,30 @@ class Model:
     """
 
     languages: list[str]
-    keys: list[np.ndarray]
-    bits: list[np.ndarray]
-    contexts: list[np.ndarray]
-    leave: list[np.ndarray]
-
-    @classmethod
-    def fit(cls, languages: list[str], counts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> Model:
-        """counts: (order, language number) -> sorted keys and how often each occurs."""
-        model, empty = cls(languages, [], [], [], []), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    #: (order, language number) -> sorted keys and how often each occurs
+    counts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+
+    def __post_init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.leave: list[np.ndarray] = []
+        self.by_key: list[Table] = []
+        self.by_context: list[Table] = []
+
+    def __reduce__(self):
+        return Model, (self.languages, self.counts)
+
+    def tables(self) -> None:
+        """Make the tables, once."""
+        if self.by_key or not self.languages:
+            return
+        counts, languages, empty = self.counts, self.languages, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for k in range(ORDER + 1):
             parts = [counts.get((k, lang), empty) for lang in range(len(languages))]
             keys = np.unique(np.concatenate([x[0] for x in parts]))
             contexts = np.unique(keys >> np.uint64(8))
-            lower = model.score_keys(keys & np.uint64((1 << (8 * k)) - 1), k - 1)
+            lower = self.score_keys(keys & np.uint64((1 << (8 * k)) - 1), k - 1)
             bits, leave = np.zeros((len(keys), len(languages)), np.float32), np.zeros((len(contexts), len(languages)), np.float32)
             owner = np.searchsorted(contexts, keys >> np.uint64(8))
             for lang, (own, n) in enumerate(parts):
@@ -107,18 +116,11 @@ class Model:
                 seen = c > 0
                 bits[seen, lang] = np.log2((total + kinds)[owner[seen]] / c[seen])
                 bits[~seen, lang] = leave[owner[~seen], lang] + lower[~seen, lang]
-            model.keys.append(keys)
-            model.bits.append(bits)
-            model.contexts.append(contexts)
-            model.leave.append(leave)
-        return model
-
-    def tables(self) -> None:
-        if not hasattr(self, "by_key"):
-            self.by_key, self.by_context = [Table(x) for x in self.keys], [Table(x) for x in self.contexts]
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("by_")}
+            self.keys.append(keys)
+            self.bits.append(bits)
+            self.contexts.append(contexts)
+            self.leave.append(leave)
+        self.by_key, self.by_context = [Table(x) for x in self.keys], [Table(x) for x in self.contexts]
 
     def score_keys(self, keys: np.ndarray, k: int) -> np.ndarray:
         """Bits of the last byte of each key, given the k bytes before it, in each language."""
@@ -171,17 +173,19 @@ class Model:
         return self.languages[best], float(1 / np.exp2(np.minimum((bits[best] - bits) * scale, 0)).sum())
 
 
-def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, min_context: int = MIN_CONTEXT) -> Model:
-    """Counts of byte contexts from about sample_docs whole documents of each language.
+def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, all_docs: int = ALL_DOCS) -> Model:
+    """Counts of all byte contexts of about sample_docs whole documents of each language, all_docs in all at most.
 
-    The sample is every document of a language that has at most sample_docs, else those whose hash falls below the
-    share wanted. Counting runs on executors; what the driver gets is bounded by the sample and min_context.
+    The sample is every document of a language that has no more, else those whose hash falls below the share wanted.
+    Counting runs on executors; what the driver gets is bounded by the sample. Rows without language or text are left
+    out, repeated rows count each time; without labelled rows the model knows no language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), whole_text(text_col).alias("t"))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], [], [], [], [])
+        return Model([], {})
+    sample_docs = min(sample_docs, -(-all_docs // len(languages)))
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, sample_docs / sizes[lang])))])
     sample = known.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     number = {lang: i for i, lang in enumerate(languages)}
@@ -199,17 +203,14 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "lang", "gram", "n"])
 
     found = sample.select("lang", "t").mapInArrow(count, "k int, lang int, gram long, n long").groupBy("k", "lang", "gram").agg(F.sum("n").alias("n"))
-    context = F.shiftrightunsigned("gram", 8)
-    often = found.groupBy("k", F.col("lang"), context.alias("context")).agg(F.sum("n").alias("all"))
-    often = often.where((F.col("all") >= min_context) | (F.col("k") <= 2)).select("k", "context").distinct()
-    kept = found.withColumn("context", context).join(often, ["k", "context"]).select("k", "lang", "gram", "n").toArrow()
+    kept = found.toArrow()
     k, lang, gram, n = (kept.column(c).to_numpy() for c in range(4))
     counts = {}
     for key in {(int(a), int(b)) for a, b in zip(np.unique(k), np.unique(lang))} | {(a, b) for a in range(ORDER + 1) for b in range(len(languages))}:
         at = np.flatnonzero((k == key[0]) & (lang == key[1]))
         order = np.argsort(gram[at].view(np.uint64))
-        counts[key] = (gram[at].view(np.uint64)[order], n[at][order])
-    return Model.fit(languages, counts)
+        counts[key] = (gram[at].view(np.uint64)[order], n[at][order].astype(np.int32))
+    return Model(languages, counts)
 
 
 def has_letter(text: Column) -> Column:
@@ -219,7 +220,8 @@ def has_letter(text: Column) -> Column:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """Per document: id, lang_pred, score and the extra columns; the whole text is scored.
 
-    Null and letterless texts, and all texts under a model without languages, give `und` and 0.
+    Null, empty and letterless texts, and all texts under a model without languages, give `und` and 0. Repeated rows
+    come back repeated, a null id stays null, an empty table gives no rows; extra columns may have any names.
     """
     shared = broadcast(docs.sparkSession, model, "the language model")
     extra = [c for c in extra or [] if c != id_col]
