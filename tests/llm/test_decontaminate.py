@@ -58,8 +58,16 @@ def test_cleaning_and_limits(spark):
 
 
 def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK_BYTES", 64)
-    items = [(k, " ".join(f"a{k}x{i}" for i in range(12))) for k in range(9)]
-    docs = [(k, f"zz {t} zz") for k, t in items]
-    got = {r.id: (r.n_words, r.n_hit, r["items"]) for r in D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == brute(docs, items)
+    """Items in many automata, one after the other, give what one gives; cut texts are matched again."""
+    rng = random.Random(3)
+    items = [(k, " ".join(f"a{k}x{i}" for i in range(12))) for k in range(9)] + [(20, None), (21, "--")]
+    words = [split(t) for _, t in items[:9]]
+    docs = [(k, f"zz {t} zz") for k, t in items if t] + [(100 + k, " ".join(words[k % 9][:6] + words[(k + 1) % 9] + words[k % 9][6:] + ["tail"] * rng.randint(0, 30))) for k in range(20)]
+    docs += [(300, None), (301, ""), (302, "clean  text")] + docs[:2]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string")
+    of = lambda **more: sorted(map(str, D.contamination(d, i, extra=["row"], **more).collect()))
+    want = of(max_cover=0.7)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 300)
+    found = D.contamination(d, i, extra=["row"], max_cover=0.7).collect()
+    assert len(D._blocks(i)) > 2 and sorted(map(str, found)) == want
+    assert {r.id: (r.n_words, r.n_hit, r["items"]) for r in found} == brute(docs, items)

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, bytes_of, whole_text
+from tillage.llm.common import broadcast, bytes_of, cut, whole_text
 
 #: A-Z to a-z; 0-9, a-z and all bytes of non-ASCII characters stay; the rest parts words.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Bytes of item text in one automaton; a larger benchmark is matched in blocks of items of this size.
+#: Bytes of item text in one automaton; a larger benchmark is matched in blocks of items of this size, one after the other.
 BLOCK_BYTES = 4 << 20
 
 
@@ -175,47 +175,119 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     """
     spark = docs.sparkSession
     benchmark = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), whole_text().alias("text"))
-    automata = []
-    for block in _blocks(benchmark):
-        rows = [(r.item_id, (r.text or "").encode()) for r in block.toLocalIterator()]
-        if rows or not automata:
-            automata.append(broadcast(spark, Automaton(window).build(rows), "an automaton of a block of items"))
     extra = [c for c in extra or [] if c not in (id_col, text_col)]
+    xs = [f"x{i}" for i in range(len(extra))]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), *[F.col(f"`{c}`").alias(x) for x, c in zip(xs, extra)])
+    blocks = _blocks(benchmark)
+    limits = (max_words, max_cover)
+    fields = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+    schema = f"id long, n_words long, n_hit long, items array<string>, cleaned string{fields}"
+    if len(blocks) == 1:
+        out = source.mapInArrow(_in_one_pass(broadcast(spark, _automaton(blocks[0], window), "an automaton of all items"), limits, xs), schema)
+    else:
+        out = _in_passes(source, blocks, benchmark, window, limits, xs, schema)
+    return out.select("id", "n_words", "n_hit", "items", "cleaned", *[F.col(x).alias(c) for x, c in zip(xs, extra)])
 
-    def all_spans(words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        spans, names, merged = [], set(), []
-        for a in automata:
-            more, numbers = a.value.match(words)
-            spans += more
-            names |= {a.value.item_ids[k] for k in numbers}
-        for s, e in sorted(spans):
-            if merged and s <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-            else:
-                merged.append((s, e))
-        return merged, names
+
+def _automaton(block: DataFrame, window: int) -> Automaton:
+    return Automaton(window).build([(r.item_id, (r.text or "").encode()) for r in block.toLocalIterator()])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _over(hit: int, n: int, limits: tuple) -> bool:
+    max_words, max_cover = limits
+    return bool(hit and ((max_words is not None and hit > max_words) or (max_cover is not None and hit > max_cover * n)))
+
+
+def _batch(first, counts, hits, found, cleaned, rest, xs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [first, pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(cleaned, pa.string()), *rest], names=["id", "n_words", "n_hit", "items", "cleaned", *xs]
+    )
+
+
+def _in_one_pass(automaton, limits: tuple, xs: list[str]):
+    """Rows (id, t, x..): all items are in one automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton.value
         for b in batches:
             counts, hits, found, cleaned = [], [], [], []
             for text in bytes_of(b.column(1)):
                 words = words_of(text)
-                merged, numbers = all_spans(words)
-                hit = sum(e - s for s, e in merged)
+                spans, numbers = a.match(words)
+                spans = _merged(spans)
+                hit = sum(e - s for s, e in spans)
                 counts.append(len(words))
                 hits.append(hit)
-                found.append(sorted(numbers))
-                over = hit and ((max_words is not None and hit > max_words) or (max_cover is not None and hit > max_cover * len(words)))
-                while merged and not over:  # what is left may form a window across a cut
-                    text = _cut_out(text, merged)
-                    merged, _ = all_spans(words_of(text))
+                found.append(sorted(a.item_ids[k] for k in numbers))
+                over = _over(hit, len(words), limits)
+                while spans and not over:  # what is left may form a window across a cut
+                    text = _cut_out(text, spans)
+                    spans = _merged(a.match(words_of(text))[0])
                 cleaned.append(None if over else text.decode())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(cleaned, pa.string()), *b.columns[2:]],
-                names=["id", "n_words", "n_hit", "items", "cleaned", *[f"x{i}" for i in range(len(extra))]],
-            )
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
-    fields = ", ".join(f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[2:]))
-    out = source.mapInArrow(run, "id long, n_words long, n_hit long, items array<string>, cleaned string" + (f", {fields}" if fields else ""))
-    return out.select("id", "n_words", "n_hit", "items", "cleaned", *[F.col(f"x{i}").alias(c) for i, c in enumerate(extra)])
+            yield _batch(b.column(0), counts, hits, found, cleaned, b.columns[2:], xs)
+
+    return run
+
+
+def _in_passes(source: DataFrame, blocks: list[DataFrame], benchmark: DataFrame, window: int, limits: tuple, xs: list[str], schema: str) -> DataFrame:
+    """A pass over the texts for each block of items, with that block's automaton alone; what they find meets by text.
+
+    A text that was cut is matched again, as its ends may form a window across the cut, until none does.
+    """
+    spark, row = source.sparkSession, F.xxhash64("id", "t")
+
+    def spans_of(automaton):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for key, text in zip(b.column(0).to_pylist(), bytes_of(b.column(1))):
+                    spans, numbers = automaton.value.match(words_of(text))
+                    if spans:
+                        rows.append((key, [x for s in spans for x in s], [automaton.value.item_ids[k] for k in numbers]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())))], names=["row", "spans", "items"])
+
+        return run
+
+    found = None
+    for block in blocks:
+        built = _automaton(block, window)
+        if not built.item_ids:
+            continue
+        automaton = broadcast(spark, built, "an automaton of a block of items")
+        part = cut(source.select(row.alias("row"), "t").mapInArrow(spans_of(automaton), "row long, spans array<long>, items array<string>").dropDuplicates(["row"]))
+        automaton.destroy()
+        found = part if found is None else found.union(part)
+    if found is None:  # no item has a word
+        return source.mapInArrow(_in_one_pass(broadcast(spark, Automaton(window), "an automaton without items"), limits, xs), schema)
+    hits = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, words_hit, cleaned = [], [], []
+            for text, flat in zip(bytes_of(b.column(1)), b.column(2)):
+                n, flat = len(words_of(text)), flat.as_py() or []
+                spans = _merged(list(zip(flat[::2], flat[1::2])))
+                hit = sum(e - s for s, e in spans)
+                counts.append(n)
+                words_hit.append(hit)
+                cleaned.append(None if _over(hit, n, limits) else (_cut_out(text, spans) if spans else text).decode())
+            yield _batch(b.column(0), counts, words_hit, [x or [] for x in b.column(3).to_pylist()], cleaned, b.columns[4:], [*xs, "row"])
+
+    keyed = source.withColumn("row", row).join(hits, "row", "left")
+    once = cut(keyed.select("id", "t", "spans", "items", *xs, "row").mapInArrow(finish, f"{schema}, row long"))
+    again = once.where("n_hit > 0 and cleaned is not null").groupBy("row").agg(F.any_value("cleaned").alias("t"))
+    if not again.take(1):
+        return once
+    rest = contamination(again, benchmark, window, "row", "t").select(F.col("id").alias("row"), F.col("cleaned").alias("left_over"))
+    return once.join(rest, "row", "left").withColumn("cleaned", F.coalesce("left_over", "cleaned"))
