@@ -40,9 +40,9 @@ def op4_decontaminate(spark, d):
 
 
 def op5_secrets(spark, d):
-    made = secrets.made_findings(spark)
-    labelled = secrets.findings(made, path_col="path").join(made.select(F.col("doc_id").alias("id"), "label"), "id")
-    found = secrets.scan(table(spark, d, "documents"), secrets.train(labelled), path_col="source")
+    made, words = secrets.made_findings(spark), secrets.dictionary_of(WORD_BPE)
+    labelled = secrets.findings(made, path_col="path", dictionary=words).join(made.select(F.col("doc_id").alias("id"), "label"), "id")
+    found = secrets.scan(table(spark, d, "documents"), secrets.train(labelled), path_col="source", dictionary=words)
     return found.select(F.col("id").alias("doc_id"), "begin", "end", "kind", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -14,14 +15,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm.common import texts_of, whole_text
+from tillage.llm.common import broadcast, texts_of, whole_text
 
 # What keys of known services look like, and the words that name or deny a secret.
 PATTERNS = [
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("service_token", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_](?:live[-_])?[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35})"),
     ("web_token", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n\s*)*[A-Za-z0-9+/=\s\\]{16,}?-----END"),
     ("assignment", r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*(?:=>|:=|=|:)\s*[\"']?)(?P<v>[^\s\"',;<>]{8,})"),
     ("opaque", r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{32,}={0,2}(?![A-Za-z0-9+/_\-])"),
 ]
@@ -63,17 +64,26 @@ def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def coverage(value: str) -> float:
-    """Share of characters inside dictionary words of four letters or more."""
+def dictionary_of(vocabulary_path: str, least: int = 4, most: int = 16) -> frozenset[str]:
+    """The whole words of a tokenizer's vocabulary with word ends, of plain letters, and the words above: a dictionary of
+    bounded size that comes as a file."""
+    model = json.loads(open(vocabulary_path, encoding="utf-8").read())["model"]
+    end = model["end_of_word_suffix"]
+    words = {w.removesuffix(end) for w in model["vocab"] if w.endswith(end)}
+    return frozenset(DICTIONARY | {w for w in words if least <= len(w) <= most and w.isascii() and w.isalpha()})
+
+
+def coverage(value: str, dictionary: frozenset[str] | set[str] = DICTIONARY) -> float:
+    """Share of characters inside dictionary words of four letters or more, the longest first at each place."""
     low, covered, at = value.lower(), 0, 0
     while at < len(low):
-        size = next((n for n in range(min(12, len(low) - at), 3, -1) if low[at : at + n] in DICTIONARY), 0)
+        size = next((n for n in range(min(16, len(low) - at), 3, -1) if low[at : at + n] in dictionary), 0) if low[at].isalpha() else 0
         covered += size
         at += size or 1
     return covered / max(len(value), 1)
 
 
-def features(text: str, begin: int, end: int, kind: str, path: str = "") -> list[float]:
+def features(text: str, begin: int, end: int, kind: str, path: str = "", dictionary: frozenset[str] | set[str] = DICTIONARY) -> list[float]:
     """Length, character transitions, dictionary coverage, path and neighbouring words of a candidate."""
     value = text[begin:end]
     n = max(len(value), 1)
@@ -90,19 +100,24 @@ def features(text: str, begin: int, end: int, kind: str, path: str = "") -> list
     parts = {w.lower() for w in _WORDS.findall(path)}
     return [
         float(n), math.log(n), entropy, len(counts) / n, share(lambda m: m[0] != m[1]), share(lambda m: m == (0, 0)), share(lambda m: m == (2, 2)), share(lambda m: {*m} == {1, 2}),
-        sum(c == 2 for c in classes) / n, sum(c == 3 for c in classes) / n, vowels, hexadecimal, coverage(value), float(bool(near & NAMING)), float(bool(near & DENYING)),
+        sum(c == 2 for c in classes) / n, sum(c == 3 for c in classes) / n, vowels, hexadecimal, coverage(value, dictionary), float(bool(near & NAMING)), float(bool(near & DENYING)),
         float(bool(parts & {"test", "tests", "example", "examples", "docs", "doc", "fixtures", "sample"})), float(text[begin - 1 : begin] in "\"'=: " and begin > 0), float(KINDS.index(kind)),
     ]
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """A row for each candidate in a whole text: id, begin, end, kind, value, features. Null and empty texts have none."""
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, dictionary: frozenset[str] | None = None) -> DataFrame:
+    """A row for each candidate in a whole text: id, begin, end, kind, value, features. Null and empty texts have none.
+
+    Where patterns overlap the earlier place stays, of equal places the earlier pattern; repeated rows of docs give
+    repeated findings, an empty table none; a null path has no words. Only the named columns are read.
+    """
+    known = broadcast(docs.sparkSession, dictionary or frozenset(DICTIONARY), "the dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, path, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts_of(b.column(1))):
-                rows += [(i, s, e, k, text[s:e], features(text, s, e, k, path or "")) for s, e, k in candidates(text)]
+                rows += [(i, s, e, k, text[s:e], features(text, s, e, k, path or "", known.value)) for s, e, k in candidates(text)]
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "begin", "end", "kind", "value", "features"])
@@ -146,8 +161,11 @@ def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 40, depth: i
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="vector", labelCol="label").fit(labelled.select("label", array_to_vector("features").alias("vector")))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """Candidates with the forest's probability: id, begin, end, kind, value, score, is_secret. Trees run in the JVM."""
-    found = findings(docs, id_col, text_col, path_col).withColumn("vector", array_to_vector("features"))
+def scan(docs: DataFrame, model: RandomForestClassificationModel, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, dictionary: frozenset[str] | None = None) -> DataFrame:
+    """Candidates with the forest's probability: id, begin, end, kind, value, score, is_secret (a score of least counts).
+
+    Trees run in the JVM. dictionary is the one that the model was trained with; else as findings().
+    """
+    found = findings(docs, id_col, text_col, path_col, dictionary).withColumn("vector", array_to_vector("features"))
     scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
     return scored.select("id", "begin", "end", "kind", "value", "score", (F.col("score") >= least).alias("is_secret"))
