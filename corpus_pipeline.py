@@ -37,7 +37,10 @@ def _text(column: str) -> dict[str, Column]:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; drops documents without a clear language, labels the rest as predicted."""
+    """Learns from the labelled documents; drops documents without a clear language, labels the rest as predicted.
+
+    Null, empty and letterless texts have no language. Repeated rows are kept or dropped alike.
+    """
     model = language.train(docs)
     source, names = _carried(docs)
     found = language.identify(source.withColumn("_carried_text", F.col("text")), model, extra=["_carried_text", *names.values()])
@@ -46,26 +49,33 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A line stays where it is first; a document of which no word stays, goes."""
+    """A line stays where it is first, among all lines alike or nearly alike; a document of which no word stays, goes.
+
+    Rows that repeat id and text are treated alike; texts without repeated lines come out as they were.
+    """
     source, names = _carried(docs)
     found = linededup.dedup_lines(source, extra=list(names.values()))
     return _shaped(found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")), docs, names, **_text("text"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links fingerprints as op8 does, and exactly the documents that share five-word shingles."""
+    """One document of each group stays, the least id's: groups are linked fingerprints, as in op8, and exactly the
+    documents whose sets of five-word shingles have a Jaccard of MIN_JACCARD or more. Of rows that repeat id and text one
+    stays; null and empty texts are one group."""
     return simhash.drop_near_duplicates(docs, similarity=MIN_JACCARD, words=5)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages of ten words or more, or whole shorter items, are cut out; a document that is mostly such, by
+    MAX_COVER, goes. Documents without a passage come out as they were, null texts as empty ones."""
     source, names = _carried(docs)
     found = decontaminate.contamination(source, table(spark, sf_dir, "benchmark"), extra=list(names.values()), max_cover=MAX_COVER)
     return _shaped(found.where("cleaned is not null"), docs, names, **_text("cleaned"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, tokens, lang, source."""
-    return bpe.encode(docs, WORD_BPE, extra=["lang", "source"]).withColumnRenamed("id", "doc_id")
+    """doc_id, n_tokens, tokens, the digests of the ids and of what they decode to, lang, source; a null text has none."""
+    return bpe.encode(docs, WORD_BPE, extra=["lang", "source"], digests=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
