@@ -1,5 +1,6 @@
 """The pipeline's stages against plain Python on a small table."""
 
+import hashlib
 import random
 
 import corpus_pipeline as C
@@ -41,4 +42,12 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in before} - {r.doc_id for r in after} == {53} and not any("bench" in r.text for r in after)
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert {r.doc_id: r.tokens for r in seen["tokens"][1]} == {r.doc_id: t.encode(r.text, add_special_tokens=False).ids for r in after}
+    for r in seen["tokens"][1]:
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(r.tokens, skip_special_tokens=False).encode()).hexdigest()
     assert C.run(spark, str(tmp_path)).count() == len(after) and split(item)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
