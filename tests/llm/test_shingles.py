@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tillage.llm import shingles, simhash
@@ -74,3 +75,21 @@ def test_stage_drops_near_copies(spark, tmp_path):
         far += (simhash.fingerprint(rows[-1][1].encode()) ^ simhash.fingerprint(rows[-2][1].encode())).bit_count() > 4
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert far > 15 and sorted(r.doc_id for r in C.keep_one_of_each(spark, df, str(tmp_path)).collect()) == [2 * k for k in range(30)]
+
+
+def test_nothing_similar_is_ruled_out():
+    """Sketches, sizes and places against whole sets."""
+    rng = np.random.default_rng(7)
+    for _ in range(2000):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(-(2**62), 2**62, n))
+        kept = a[rng.random(len(a)) < rng.choice([0.8, 0.9, 0.97])]
+        b = np.unique(np.concatenate([kept, rng.integers(-(2**62), 2**62, int(rng.integers(0, max(1, n // 6))))]))
+        if not len(b) or not shingles.similar(a, b, 0.8):
+            continue
+        assert shingles.may_be_similar(shingles.sketch(a), len(a), shingles.sketch(b), len(b), 0.8)
+        x, y = shingles.prefix(a, np.zeros(0, np.int64), 0.8).tolist(), shingles.prefix(b, np.zeros(0, np.int64), 0.8).tolist()
+        first = next(g for g in x if g in y)
+        assert min(len(a) - x.index(first), len(b) - y.index(first)) >= shingles.needed_both(len(a), len(b), 0.8)
+    many = np.arange(100_000, dtype=np.int64) * 256
+    assert shingles.may_be_similar(shingles.sketch(many), len(many), shingles.sketch(many[: 90_000]), 90_000, 0.8)

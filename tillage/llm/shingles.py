@@ -20,6 +20,8 @@ SMALL_BUCKET = 64
 BLOCK = 128
 #: Shingles that this many of the texts in a sample of one in SAMPLE have stand last in the order; at most MAX_COMMON.
 SAMPLE, COMMON, MAX_COMMON = 16, 8, 200_000
+#: Cells of a text's sketch, and its keys that may be broadcast where texts are fetched: beyond, texts are shuffled.
+CELLS, FEW_KEYS = 256, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,6 +54,22 @@ def overlap(n: int, similarity: float) -> int:
     return max(1, math.ceil(n * similarity - 1e-9))
 
 
+def needed_both(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that similar sets of n and m share at least."""
+    return np.ceil((n + m) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each cell, 255 for more."""
+    return np.minimum(np.bincount(found & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8)
+
+
+def may_be_similar(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Sketches and sizes, row by row: two sets share no more than the lesser counts of all cells add up to."""
+    full = (x.max(axis=-1) == 255) | (y.max(axis=-1) == 255)
+    return full | (np.minimum(x, y).sum(axis=-1, dtype=np.int64) >= needed_both(n, m, similarity))
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     if min(len(a), len(b)) < overlap(max(len(a), len(b)), similarity):
         return False
@@ -112,7 +130,8 @@ def _groups(gram: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _pairs(similarity: float):
-    """Rows (gram, key, size) by gram: pairs to verify (kind 0), and members of large buckets (kind 1: gram, key, size)."""
+    """Rows (gram, key, size << 32 | place) by gram: pairs to verify (kind 0), and members of large buckets (kind 1: gram,
+    key, size). At the first shingle that two sets share they can share no more than either has from there on."""
 
     def done(gram: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
@@ -120,15 +139,18 @@ def _pairs(similarity: float):
             keys, first = np.unique(key[s:e], return_index=True)
             if len(keys) < 2:
                 continue
-            sizes = size[s:e][first]
+            sizes, places = size[s:e][first] >> 32, size[s:e][first] & 0xFFFFFFFF
             order = np.lexsort((keys, sizes))
             keys, sizes = keys[order], sizes[order]
+            after = sizes - places[order]
             # each i meets the later ones whose size is near enough
             need = np.ceil(sizes * similarity - 1e-9)
             low = np.searchsorted(sizes, need)  # j meets low[j] .. j - 1
             if len(keys) <= SMALL_BUCKET:
                 j = np.repeat(np.arange(len(keys)), np.arange(len(keys)) - low)
                 i = np.concatenate([np.arange(x, k) for k, x in enumerate(low)]).astype(np.int64)
+                near = np.minimum(after[i], after[j]) >= needed_both(sizes[i], sizes[j], similarity)
+                i, j = i[near], j[near]
             else:
                 hubs, at = [], 0
                 for k in range(len(keys)):
@@ -190,55 +212,81 @@ def _verify(words: int, similarity: float):
     return run
 
 
-def _verify_cells(words: int, similarity: float):
-    """Rows (bucket, cell, key, root, t) sorted by cell: links between what is not yet joined."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
-    def done(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        parent, a, b = {r: r for _, r, _ in rows}, [], []
 
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def _filter_pairs(similarity: float):
+    """Rows (a, b, x, n, y, m) of sketches and sizes: the pairs that may be similar."""
 
-        for i, (key, root, own) in enumerate(rows):
-            for other, its, grams in rows[:i]:
-                x, y = find(root), find(its)
-                if x != y and similar(own, grams, similarity):
-                    parent[x] = y
-                    a.append(key)
-                    b.append(other)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keep = pa.array(may_be_similar(_matrix(b.column(2)), b.column(3).to_numpy(), _matrix(b.column(4)), b.column(5).to_numpy(), similarity))
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:2]], names=["a", "b"])
+
+    return run
+
+
+def _filter_cells(similarity: float):
+    """Rows (bucket, cell, key, root, sketch, size) sorted by cell: the pairs of different roots that may be similar."""
+
+    def done(rows: list[tuple]) -> pa.RecordBatch:
+        keys, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
+        sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, CELLS)
+        a, b = [], []
+        for i in range(1, len(rows)):
+            near = (roots[:i] != roots[i]) & may_be_similar(sketches[:i], sizes[:i], sketches[i][None, :], sizes[i], similarity)
+            b += keys[:i][near].tolist()
+            a += [int(keys[i])] * int(near.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, current, held = Shingler(words), None, []
+        current, held = None, []
         for batch in batches:
-            for bucket, cell, key, root, text in zip(*(c.to_pylist() for c in batch.columns[:4]), bytes_of(batch.column(4))):
+            for bucket, cell, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bucket, cell) != current:
                     if held:
                         yield done(held)
                     current, held = (bucket, cell), []
-                held.append((key, root, make(text)))
+                held.append(row)
         if held:
             yield done(held)
 
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; the texts of their keys are fetched once."""
+    pairs = cut(pairs)
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    few = F.broadcast(needed) if needed.count() <= FEW_KEYS else needed
+    own = cut(texts.select("key", "t").join(few, "key", "left_semi").groupBy("key").agg(F.any_value("t").alias("t")))
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return cut(both.mapInArrow(_verify(words, similarity), "a long, b long"))
+
+
 def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Texts (key, t) -> links (a, b) whose components are those of all pairs with that Jaccard of their word shingles.
 
-    Of two similar sets the prefixes share a shingle, in whatever order; so no pair is missed. Rows of a key have the
-    same text. A bucket of many texts links its members to hubs; pairs that this leaves in different components are
-    compared in a grid of cells. Shingles are known by 64 bits.
+    Of two similar sets the prefixes share a shingle, in whatever order; so no pair is missed. What places, sizes and
+    sketches rule out is not compared; for the rest the texts are. Rows of a key have the same text. A bucket of many
+    texts links its members to hubs; pairs that this leaves in different components meet in a grid of cells. Shingles
+    are known by 64 bits. Null and empty texts have no shingle and no link; no texts give no links.
     """
     common = broadcast(texts.sparkSession, _common(texts, words), "the common shingles")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(words), set()
-        grams, keys, sizes, n = [], [], [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["gram", "key", "size"])
+        grams, keys, sizes, whole, n = [], [], [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = ["gram", "key", "size", "sketch"]
+            flat = [pa.array(np.concatenate(x)) for x in (grams, keys, sizes)]
+            yield pa.RecordBatch.from_arrays([*flat, pa.nulls(len(flat[0]), pa.binary())], names=names)
+            own = list(zip(*whole))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(whole), pa.int64()), pa.array(own[0], pa.int64()), pa.array(own[1], pa.int64()), pa.array(own[2], pa.binary())], names=names)
+
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), bytes_of(b.column(1))):
                 if key in seen:
@@ -246,29 +294,33 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 seen.add(key)
                 found = make(text)
                 if len(found):
-                    grams.append(prefix(found, common.value, similarity))
-                    keys.append(np.full(len(grams[-1]), key))
-                    sizes.append(np.full(len(grams[-1]), len(found)))
-                    n += len(grams[-1])
+                    first = prefix(found, common.value, similarity)
+                    grams.append(first)
+                    keys.append(np.full(len(first), key))
+                    sizes.append((len(found) << 32) | np.arange(len(first), dtype=np.int64))
+                    whole.append((key, len(found), sketch(found).tobytes()))
+                    n += len(first)
                 if n > 200_000:
-                    yield out()
-                    grams, keys, sizes, n = [], [], [], 0
+                    yield from out()
+                    grams, keys, sizes, whole, n = [], [], [], [], 0
             if len(seen) > 500_000:
                 seen.clear()
-        if grams:
-            yield out()
+        if whole:
+            yield from out()
 
-    rows = texts.select("key", "t").mapInArrow(prefixes, "gram long, key long, size long")
-    met = cut(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_pairs(similarity), "kind long, gram long, a long, b long"))
+    rows = cut(texts.select("key", "t").mapInArrow(prefixes, "gram long, key long, size long, sketch binary"))
+    sketches = rows.where("gram is null").select("key", "sketch", "size").dropDuplicates(["key"])
+    grams = rows.where("gram is not null").select("gram", "key", "size")
+    met = cut(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_pairs(similarity), "kind long, gram long, a long, b long"))
     pairs = met.where("kind = 0").select("a", "b").distinct()
-    needed = met.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct()
-    own = cut(texts.select("key", "t").join(needed, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")))
-    found = cut(pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(words, similarity), "a long, b long"))
+    both = pairs.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
+    found = _verified(both.mapInArrow(_filter_pairs(similarity), "a long, b long"), texts, words, similarity)
     large = met.where("kind = 1").select("gram", F.col("a").alias("key"), F.col("b").alias("size"))
     if not large.take(1):
         return found
     roots = connected_components(found)
     rooted = large.join(roots, large.key == roots.node, "left").select("gram", "key", "size", F.coalesce("root", "key").alias("root"))
     grid = rooted.repartition("gram").sortWithinPartitions("gram").mapInArrow(_cells(similarity), "bucket long, cell long, key long, root long").distinct()
-    cells = grid.join(own, "key").select("bucket", "cell", "key", "root", "t").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
-    return found.union(cells.mapInArrow(_verify_cells(words, similarity), "a long, b long"))
+    cells = grid.join(sketches, "key").select("bucket", "cell", "key", "root", "sketch", "size").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    more = cells.mapInArrow(_filter_cells(similarity), "a long, b long").distinct()
+    return found.union(_verified(more, texts, words, similarity))
