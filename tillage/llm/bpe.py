@@ -22,7 +22,7 @@ NONE = np.int64(1) << 62
 #: The library's own normal form: its Unicode orders other marks than Python's. Below U+0300 nothing composes.
 _NFC, _MARKS = normalizers.NFC(), re.compile("[^\\x00-\u02ff]")
 #: Words whose tokens a worker remembers; it forgets all of them when it knows this many.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Words of up to this many symbols are merged side by side, longer ones one at a time.
 SIDE_BY_SIDE = 64
 
@@ -253,7 +253,7 @@ class Vocabulary:
         return " ".join([self.tokens[i] for i in ids])
 
 
-def _groups(texts: Iterator[str], limit: int = 4 << 20) -> Iterator[list[str]]:
+def _groups(texts: Iterator[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about `limit` characters: what is split into words at a time."""
     held, size = [], 0
     for t in texts:

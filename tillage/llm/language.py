@@ -225,17 +225,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     shared = broadcast(docs.sparkSession, model, "the language model")
     extra = [c for c in extra or [] if c != id_col]
+    named = [f"x{i}" for i in range(len(extra))]
+    own = [i for i, c in enumerate(extra) if c == text_col]  # the text is sent once, also where it is carried along
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        m.tables()
         for b in batches:
             letters = b.column(2).to_pylist()
             found = [m.predict(t) if ok and m.languages else ("und", 0.0) for t, ok in zip(bytes_of(b.column(1)), letters)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *b.columns[3:]], names=["id", "lang_pred", "score", *[f"x{i}" for i in range(len(extra))]])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), has_letter(whole_text(text_col)).alias("ok"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
-    schema = ["id long", "lang_pred string", "score double"] + [f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[3:])]
-    return source.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)})
+            carried = list(b.columns[3:])
+            for i in own:
+                carried.insert(i, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *carried], names=["id", "lang_pred", "score", *named])
+
+    text = whole_text(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), has_letter(text).alias("ok"), *[F.col(f"`{c}`").alias(x) for x, c in zip(named, extra) if c != text_col])
+    types = dict(source.dtypes)
+    schema = ["id long", "lang_pred string", "score double"] + [f"{x} {types.get(x, 'string')}" for x in named]
+    return source.mapInArrow(run, ", ".join(schema)).withColumnsRenamed(dict(zip(named, extra)))
 
 
 def held_out(id_col: Column) -> Column:

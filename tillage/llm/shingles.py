@@ -38,7 +38,7 @@ class Shingler:
         if len(words) < self.words:
             return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64).view(np.int64)
         known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         codes = np.fromiter((known.get(w) or known.setdefault(w, digest(w)) for w in words), np.uint64, len(words))
         n = len(words) - self.words + 1
@@ -303,7 +303,7 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 if n > 200_000:
                     yield from out()
                     grams, keys, sizes, whole, n = [], [], [], [], 0
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
         if whole:
             yield from out()
