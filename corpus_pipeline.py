@@ -43,9 +43,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     model = language.train(docs)
     source, names = _carried(docs)
-    found = language.identify(source.withColumn("_carried_text", F.col("text")), model, extra=["_carried_text", *names.values()])
+    found = language.identify(source, model, extra=["text", *names.values()])
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return _shaped(kept, docs, names, text=F.col("_carried_text"), lang=F.col("lang_pred"))
+    return _shaped(kept, docs, names, lang=F.col("lang_pred"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
