@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillage.llm.common import broadcast, cut, drop_cut, shared_dir
+from tillage.llm.common import broadcast, cut, drop_cut, in_arrow, shared_dir
 
 #: Bytes of query vectors that are sent to the executors at a time; the driver holds one such block.
 QUERY_BLOCK_BYTES = 4 << 20
@@ -137,7 +137,7 @@ def build(vectors: DataFrame, dims: int, seed: int = 42) -> tuple[DataFrame, Cod
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(norm), pa.array(aligned)], names=["id", "v", "code", "norm", "aligned"])
 
     rows = vectors.where(F.col("dims") == dims).select("id", "v")
-    return rows.mapInArrow(run, "id long, v array<double>, code binary, norm double, aligned double"), codes
+    return rows.transform(in_arrow, run, "id long, v array<double>, code binary, norm double, aligned double"), codes
 
 
 def _scan(block, codes: Codes, dims: int, k: int):
@@ -228,7 +228,7 @@ def search(index: DataFrame, codes: Codes, queries: DataFrame, k: int = 20) -> D
             continue
         v = got.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), dims)
         block = broadcast(spark, (ids, v), "a block of queries")
-        found = rows.mapInArrow(_scan(block, codes, dims, k), "query_id long, vec_id long, score double")
+        found = rows.transform(in_arrow, _scan(block, codes, dims, k), "query_id long, vec_id long, score double")
         ranked = found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
         ranked.write.mode("append").parquet(path)
         block.destroy()

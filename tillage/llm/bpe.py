@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tillage.llm.common import broadcast, texts_of, whole_text
+from tillage.llm.common import broadcast, in_arrow, texts_of, whole_text
 
 NONE = np.int64(1) << 62
 #: The library's own normal form: its Unicode orders other marks than Python's. Below U+0300 nothing composes.
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
     schema = ["id long", "n_tokens long"] + ["tokens array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
     schema += [f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[2:])]
-    out = source.mapInArrow(run, ", ".join(schema))
+    out = source.transform(in_arrow, run, ", ".join(schema))
     return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)})
 
 
@@ -317,4 +317,4 @@ def decode(encoded: DataFrame, vocabulary_path: str, tokens_col: str = "tokens")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    return encoded.transform(in_arrow, run, f"{fields}, decoded string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -26,15 +27,33 @@ def whole_text(column: str = "text"):
     return F.col(column).cast(StringType())
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """f on each Arrow batch."""
+#: Rows of an Arrow batch where the session has no number of its own: texts are long, and a task holds a few batches.
+BATCH_ROWS = 2000
+_ROWS_KEY, _SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
 
-    return df.mapInArrow(run, schema)
+def release() -> None:
+    """Give memory that is no longer used back to the system: a worker outlives its task and waits beside the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of bounded size, after which the worker's memory is released."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_KEY, _SPARKS_OWN) == _SPARKS_OWN:
+        conf.set(_ROWS_KEY, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def texts_of(column: pa.Array) -> Iterator[str]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, bytes_of, cut, whole_text
+from tillage.llm.common import broadcast, bytes_of, cut, in_arrow, whole_text
 
 #: A-Z to a-z; 0-9, a-z and all bytes of non-ASCII characters stay; the rest parts words.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     fields = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema.fields[2:])
     schema = f"id long, n_words long, n_hit long, items array<string>, cleaned string{fields}"
     if len(blocks) == 1:
-        out = source.mapInArrow(_in_one_pass(broadcast(spark, _automaton(blocks[0], window), "an automaton of all items"), limits, xs), schema)
+        out = source.transform(in_arrow, _in_one_pass(broadcast(spark, _automaton(blocks[0], window), "an automaton of all items"), limits, xs), schema)
     else:
         out = _in_passes(source, blocks, benchmark, window, limits, xs, schema)
     return out.select("id", "n_words", "n_hit", "items", "cleaned", *[F.col(x).alias(c) for x, c in zip(xs, extra)])
@@ -265,11 +265,11 @@ def _in_passes(source: DataFrame, blocks: list[DataFrame], benchmark: DataFrame,
         if not built.item_ids:
             continue
         automaton = broadcast(spark, built, "an automaton of a block of items")
-        part = cut(source.select(row.alias("row"), "t").mapInArrow(spans_of(automaton), "row long, spans array<long>, items array<string>").dropDuplicates(["row"]))
+        part = cut(source.select(row.alias("row"), "t").transform(in_arrow, spans_of(automaton), "row long, spans array<long>, items array<string>").dropDuplicates(["row"]))
         automaton.destroy()
         found = part if found is None else found.union(part)
     if found is None:  # no item has a word
-        return source.mapInArrow(_in_one_pass(broadcast(spark, Automaton(window), "an automaton without items"), limits, xs), schema)
+        return source.transform(in_arrow, _in_one_pass(broadcast(spark, Automaton(window), "an automaton without items"), limits, xs), schema)
     hits = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def _in_passes(source: DataFrame, blocks: list[DataFrame], benchmark: DataFrame,
             yield _batch(b.column(0), counts, words_hit, [x or [] for x in b.column(3).to_pylist()], cleaned, b.columns[4:], [*xs, "row"])
 
     keyed = source.withColumn("row", row).join(hits, "row", "left")
-    once = cut(keyed.select("id", "t", "spans", "items", *xs, "row").mapInArrow(finish, f"{schema}, row long"))
+    once = cut(keyed.select("id", "t", "spans", "items", *xs, "row").transform(in_arrow, finish, f"{schema}, row long"))
     again = once.where("n_hit > 0 and cleaned is not null").groupBy("row").agg(F.any_value("cleaned").alias("t"))
     if not again.take(1):
         return once

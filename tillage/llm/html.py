@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import cut, lookup, texts_of
+from tillage.llm.common import cut, in_arrow, lookup, texts_of
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -280,7 +280,7 @@ def extract(pages: DataFrame, recurs: dict[int, tuple[int, float]] | None = None
             keys = [list({key(x) for x in candidates(parse(page))}) for page in texts_of(b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "page", "keys"])
 
-    seen = cut(base.select("row", F.xxhash64(host(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(hashes, "row long, host long, page long, keys array<long>"))
+    seen = cut(base.select("row", F.xxhash64(host(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"), "html").transform(in_arrow, hashes, "row long, host long, page long, keys array<long>"))
     found, total = templates(seen, recurs)
     found = cut(found)
     met = lookup(seen.select("row", "host", F.explode("keys").alias("key")), found, ["host", "key"], "n", total, F.col("row"))
@@ -297,4 +297,4 @@ def extract(pages: DataFrame, recurs: dict[int, tuple[int, float]] | None = None
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "url", "text", "n_removed"])
 
     joined = base.join(marks, "row", "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(texts, "page_id long, url string, text string, n_removed long")
+    return joined.transform(in_arrow, texts, "page_id long, url string, text string, n_removed long")

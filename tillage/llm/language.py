@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, bytes_of, whole_text
+from tillage.llm.common import broadcast, bytes_of, in_arrow, whole_text
 
 #: Longest context in bytes.
 ORDER = 4
@@ -202,7 +202,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
                     keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "lang", "gram", "n"])
 
-    found = sample.select("lang", "t").mapInArrow(count, "k int, lang int, gram long, n long").groupBy("k", "lang", "gram").agg(F.sum("n").alias("n"))
+    found = sample.select("lang", "t").transform(in_arrow, count, "k int, lang int, gram long, n long").groupBy("k", "lang", "gram").agg(F.sum("n").alias("n"))
     kept = found.toArrow()
     k, lang, gram, n = (kept.column(c).to_numpy() for c in range(4))
     counts = {}
@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), has_letter(text).alias("ok"), *[F.col(f"`{c}`").alias(x) for x, c in zip(named, extra) if c != text_col])
     types = dict(source.dtypes)
     schema = ["id long", "lang_pred string", "score double"] + [f"{x} {types.get(x, 'string')}" for x in named]
-    return source.mapInArrow(run, ", ".join(schema)).withColumnsRenamed(dict(zip(named, extra)))
+    return source.transform(in_arrow, run, ", ".join(schema)).withColumnsRenamed(dict(zip(named, extra)))
 
 
 def held_out(id_col: Column) -> Column:

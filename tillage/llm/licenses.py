@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, cut, lookup, texts_of, whole_text
+from tillage.llm.common import broadcast, cut, in_arrow, lookup, texts_of, whole_text
 
 #: Where a template counts: in any unit, or in licence files only, as titles and whole licence texts do.
 ANYWHERE, FILES = "any", "file"
@@ -268,7 +268,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str, str]] | None = None,
                         found[position[w]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found)], names=["i", "n"])
 
-    rows = {r.i: r.n for r in source.select("t").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    rows = {r.i: r.n for r in source.select("t").transform(in_arrow, count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     frequency = {t: rows.get(i, 0) for t, i in position.items()}
     scorer = broadcast(spark, Scorer(templates, rows.get(len(vocabulary), 0), frequency), "the templates")
 
@@ -277,7 +277,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str, str]] | None = None,
             found = [scorer.value.of_text(text, least, is_license_file(path)) for path, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["path", "license", "score"])
 
-    return source.mapInArrow(run, "path string, license string, score double")
+    return source.transform(in_arrow, run, "path string, license string, score double")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, cut, lookup, texts_of, whole_text
+from tillage.llm.common import broadcast, cut, in_arrow, lookup, texts_of, whole_text
 from tillage.llm.components import connected_components
 
 #: Edits between near-duplicate lines, by the shorter line's characters: (from that many on, edits). Shorter ones are
@@ -262,7 +262,7 @@ def _occurrences(source: DataFrame, min_chars: int) -> DataFrame:
             if keys:
                 yield out()
 
-    return source.select("id", "t", "version").mapInArrow(run, "id long, version long, line_no int, key long, key2 long")
+    return source.select("id", "t", "version").transform(in_arrow, run, "id long, version long, line_no int, key long, key2 long")
 
 
 def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None) -> DataFrame:
@@ -307,7 +307,7 @@ def _fuzzy(source: DataFrame, edits: Edits, min_chars: int, what: str, hot=None)
         if lines:
             yield out()
 
-    return source.select("t").mapInArrow(run, "key long, key2 long, line string" if what == "line" else "seg long, key long")
+    return source.select("t").transform(in_arrow, run, "key long, key2 long, line string" if what == "line" else "seg long, key long")
 
 
 def _hot_segments(source: DataFrame, edits: Edits, min_chars: int) -> frozenset[int]:
@@ -451,17 +451,17 @@ def similar_lines(source: DataFrame, edits: Edits = EDITS, min_chars: int = MIN_
     """Links (a, b), structs of 128-bit keys, between different lines; their components are those of all near pairs."""
     hot = broadcast(source.sparkSession, _hot_segments(source, edits, min_chars), "the hot segments")
     rows = _fuzzy(source, edits, min_chars, "seg", hot)
-    met = cut(rows.repartition(F.shiftright("seg", 1)).sortWithinPartitions("seg").mapInArrow(_buckets, "bucket long, cell long, a long, b long"))
+    met = cut(rows.repartition(F.shiftright("seg", 1)).sortWithinPartitions("seg").transform(in_arrow, _buckets, "bucket long, cell long, a long, b long"))
     pairs = met.where("cell < 0").select("a", "b").distinct()
     cells = met.where("cell >= 0")
     needed = met.select(F.explode(F.when(F.col("cell") < 0, F.array("a", "b")).otherwise(F.array("a"))).alias("key")).distinct()
     texts = cut(_fuzzy(source, edits, min_chars, "line").join(needed, "key", "left_semi").groupBy("key", "key2").agg(F.first("line").alias("line")))
     both = pairs.join(texts.toDF("a", "a2", "x"), "a").join(texts.toDF("b", "b2", "y"), "b")
-    found = both.select("a", "a2", "b", "b2", "x", "y").mapInArrow(_verify_pairs(edits), _LINKS)
+    found = both.select("a", "a2", "b", "b2", "x", "y").transform(in_arrow, _verify_pairs(edits), _LINKS)
     if cells.take(1):
         members = cells.select("bucket", "cell", F.col("a").alias("key"), F.col("b").alias("role")).join(texts, "key")
         grid = members.select("bucket", "cell", "key", "key2", "role", "line").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
-        found = found.union(grid.mapInArrow(_verify_cells(edits), _LINKS))
+        found = found.union(grid.transform(in_arrow, _verify_cells(edits), _LINKS))
     return found.select(F.struct(F.col("a").alias("key"), F.col("a2").alias("key2")).alias("a"), F.struct(F.col("b").alias("key"), F.col("b2").alias("key2")).alias("b"))
 
 
@@ -501,4 +501,4 @@ def dedup_lines(docs: DataFrame, edits: Edits = EDITS, id_col: str = "doc_id", t
 
     joined = source.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("id", "t", "gone", *[f"x{i}" for i in range(len(extra))])
     schema = ["id long", "text string", "n_lines long", "n_removed long"] + [f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(joined.schema.fields[3:])]
-    return joined.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)})
+    return joined.transform(in_arrow, run, ", ".join(schema)).withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)})

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, texts_of, whole_text
+from tillage.llm.common import broadcast, in_arrow, texts_of, whole_text
 
 # What keys of known services look like, and the words that name or deny a secret.
 PATTERNS = [
@@ -123,7 +123,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "begin", "end", "kind", "value", "features"])
 
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), path.alias("path")).mapInArrow(run, "id long, begin long, end long, kind string, value string, features array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("t"), path.alias("path")).transform(in_arrow, run, "id long, begin long, end long, kind string, value string, features array<double>")
 
 
 def made_findings(spark: SparkSession, n: int = 3000, seed: int = 7) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, bytes_of, cut
+from tillage.llm.common import broadcast, bytes_of, cut, in_arrow
 from tillage.llm.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -96,7 +96,7 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(make(t))], names=["gram"])
 
     sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("key", "t").dropDuplicates(["key"]).select("t")
-    counts = sample.mapInArrow(run, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    counts = sample.transform(in_arrow, run, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     return np.array(sorted(r.gram for r in counts.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).select("gram").collect()), np.int64)
 
 
@@ -263,7 +263,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     few = F.broadcast(needed) if needed.count() <= FEW_KEYS else needed
     own = cut(texts.select("key", "t").join(few, "key", "left_semi").groupBy("key").agg(F.any_value("t").alias("t")))
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(_verify(words, similarity), "a long, b long"))
+    return cut(both.transform(in_arrow, _verify(words, similarity), "a long, b long"))
 
 
 def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -308,19 +308,19 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
         if whole:
             yield from out()
 
-    rows = cut(texts.select("key", "t").mapInArrow(prefixes, "gram long, key long, size long, sketch binary"))
+    rows = cut(texts.select("key", "t").transform(in_arrow, prefixes, "gram long, key long, size long, sketch binary"))
     sketches = rows.where("gram is null").select("key", "sketch", "size").dropDuplicates(["key"])
     grams = rows.where("gram is not null").select("gram", "key", "size")
-    met = cut(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_pairs(similarity), "kind long, gram long, a long, b long"))
+    met = cut(grams.repartition("gram").sortWithinPartitions("gram").transform(in_arrow, _pairs(similarity), "kind long, gram long, a long, b long"))
     pairs = met.where("kind = 0").select("a", "b").distinct()
     both = pairs.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
-    found = _verified(both.mapInArrow(_filter_pairs(similarity), "a long, b long"), texts, words, similarity)
+    found = _verified(both.transform(in_arrow, _filter_pairs(similarity), "a long, b long"), texts, words, similarity)
     large = met.where("kind = 1").select("gram", F.col("a").alias("key"), F.col("b").alias("size"))
     if not large.take(1):
         return found
     roots = connected_components(found)
     rooted = large.join(roots, large.key == roots.node, "left").select("gram", "key", "size", F.coalesce("root", "key").alias("root"))
-    grid = rooted.repartition("gram").sortWithinPartitions("gram").mapInArrow(_cells(similarity), "bucket long, cell long, key long, root long").distinct()
+    grid = rooted.repartition("gram").sortWithinPartitions("gram").transform(in_arrow, _cells(similarity), "bucket long, cell long, key long, root long").distinct()
     cells = grid.join(sketches, "key").select("bucket", "cell", "key", "root", "sketch", "size").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
-    more = cells.mapInArrow(_filter_cells(similarity), "a long, b long").distinct()
+    more = cells.transform(in_arrow, _filter_cells(similarity), "a long, b long").distinct()
     return found.union(_verified(more, texts, words, similarity))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillage.llm.common import bytes_of, cut, whole_text
+from tillage.llm.common import bytes_of, cut, in_arrow, whole_text
 from tillage.llm.components import connected_components
 from tillage.llm.shingles import similar_texts
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found.view(np.int64))], names=["id", "version", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col), F.xxhash64(whole_text(text_col)).alias("version"))
-    return source.mapInArrow(run, "id long, version long, fp long")
+    return source.transform(in_arrow, run, "id long, version long, fp long")
 
 
 @dataclass(frozen=True)
@@ -239,12 +239,12 @@ def links(distinct_fps: DataFrame, distance: int = 4, block_rows: int = BLOCK_RO
                 for anchors, copies, home in replicate(fps, segments, patterns):
                     yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(np.zeros(len(anchors), np.int64)), pa.array(copies.view(np.int64)), pa.array(home)], names=["anchor", "cell", "fp", "home"])
 
-    rows = distinct_fps.select("fp").mapInArrow(spread, "anchor long, cell long, fp long, home boolean")
-    met = cut(rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_per_anchor(distance, True, block_rows), _LINKS))
+    rows = distinct_fps.select("fp").transform(in_arrow, spread, "anchor long, cell long, fp long, home boolean")
+    met = cut(rows.repartition("anchor").sortWithinPartitions("anchor").transform(in_arrow, _per_anchor(distance, True, block_rows), _LINKS))
     found, hot = met.where("kind = 0").select("a", "b"), met.where("kind = 1")
     if hot.take(1):
         cells = hot.select("anchor", "cell", F.col("a").alias("fp"), "home").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-        found = found.union(cells.mapInArrow(_per_anchor(distance, False, block_rows), _LINKS).select("a", "b"))
+        found = found.union(cells.transform(in_arrow, _per_anchor(distance, False, block_rows), _LINKS).select("a", "b"))
     return found
 
 

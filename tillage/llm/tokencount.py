@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, texts_of, whole_text
+from tillage.llm.common import broadcast, in_arrow, texts_of, whole_text
 
 SPACE = "▁"
 #: What an unknown character scores below the worst piece.
@@ -97,4 +97,4 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str =
             found = np.array([counter.value.text(t) for t in texts_of(b.column(1))], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id", "n_tokens", "n_words"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col)).mapInArrow(run, "id long, n_tokens long, n_words long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col)).transform(in_arrow, run, "id long, n_tokens long, n_words long")
