@@ -228,18 +228,8 @@ def _filter_pairs(similarity: float):
     return run
 
 
-def _filter_cells(similarity: float):
-    """Rows (bucket, cell, key, root, sketch, size) sorted by cell: the pairs of different roots that may be similar."""
-
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        keys, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
-        sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, CELLS)
-        a, b = [], []
-        for i in range(1, len(rows)):
-            near = (roots[:i] != roots[i]) & may_be_similar(sketches[:i], sizes[:i], sketches[i][None, :], sizes[i], similarity)
-            b += keys[:i][near].tolist()
-            a += [int(keys[i])] * int(near.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["a", "b"])
+def _by_cell(done):
+    """Calls done with the rows (key, root, ..) of each cell; rows (bucket, cell, key, root, ..) come sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -247,21 +237,69 @@ def _filter_cells(similarity: float):
             for bucket, cell, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (bucket, cell) != current:
                     if held:
-                        yield done(held)
+                        yield done(*current, held)
                     current, held = (bucket, cell), []
                 held.append(row)
         if held:
-            yield done(held)
+            yield done(*current, held)
 
     return run
 
 
+def _filter_cells(similarity: float):
+    """Rows (bucket, cell, key, root, sketch, size): the members that may be similar to one of another root."""
+
+    def done(bucket: int, cell: int, rows: list[list]) -> pa.RecordBatch:
+        keys, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
+        sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, CELLS)
+        told = np.zeros(len(rows), bool)
+        for i in range(1, len(rows)):
+            near = (roots[:i] != roots[i]) & may_be_similar(sketches[:i], sizes[:i], sketches[i][None, :], sizes[i], similarity)
+            told[:i] |= near
+            told[i] |= near.any()
+        n = int(told.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, x, np.int64)) for x in (bucket, cell)] + [pa.array(keys[told]), pa.array(roots[told])], names=["bucket", "cell", "key", "root"])
+
+    return _by_cell(done)
+
+
+def _verify_cells(words: int, similarity: float):
+    """Rows (bucket, cell, key, root, t): links between what is not yet joined, a tree in each cell."""
+    make = Shingler(words)
+
+    def done(bucket: int, cell: int, rows: list[list]) -> pa.RecordBatch:
+        parent, a, b = {r[1]: r[1] for r in rows}, [], []
+        sets = [make((r[2] or "").encode("utf-8", "surrogatepass")) for r in rows]
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, (key, root, _) in enumerate(rows):
+            for j in range(i):
+                x, y = find(root), find(rows[j][1])
+                if x != y and similar(sets[i], sets[j], similarity):
+                    parent[x] = y
+                    a.append(key)
+                    b.append(rows[j][0])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_cell(done)
+
+
+def _texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, t) of the distinct keys; they are broadcast if they are few, else the texts are shuffled."""
+    needed = cut(keys.select("key").distinct())
+    few = F.broadcast(needed) if needed.count() <= FEW_KEYS else needed
+    return cut(texts.select("key", "t").join(few, "key", "left_semi").groupBy("key").agg(F.any_value("t").alias("t")))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar; the texts of their keys are fetched once."""
     pairs = cut(pairs)
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    few = F.broadcast(needed) if needed.count() <= FEW_KEYS else needed
-    own = cut(texts.select("key", "t").join(few, "key", "left_semi").groupBy("key").agg(F.any_value("t").alias("t")))
+    own = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), texts)
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return cut(both.transform(in_arrow, _verify(words, similarity), "a long, b long"))
 
@@ -322,5 +360,8 @@ def similar_texts(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
     rooted = large.join(roots, large.key == roots.node, "left").select("gram", "key", "size", F.coalesce("root", "key").alias("root"))
     grid = rooted.repartition("gram").sortWithinPartitions("gram").transform(in_arrow, _cells(similarity), "bucket long, cell long, key long, root long").distinct()
     cells = grid.join(sketches, "key").select("bucket", "cell", "key", "root", "sketch", "size").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
-    more = cells.transform(in_arrow, _filter_cells(similarity), "a long, b long").distinct()
-    return found.union(_verified(more, texts, words, similarity))
+    members = cut(cells.transform(in_arrow, _filter_cells(similarity), "bucket long, cell long, key long, root long"))
+    if not members.take(1):
+        return found
+    told = members.join(_texts_of(members, texts), "key").select("bucket", "cell", "key", "root", "t").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    return found.union(told.transform(in_arrow, _verify_cells(words, similarity), "a long, b long"))
