@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillage.llm import ann, bpe, decontaminate, html, language, licenses, linededup, secrets, simhash, tokencount
+from tillage.llm import ann, bpe, decontaminate, divergence, html, language, licenses, linededup, secrets, simhash, tokencount
 from tillage.llm.common import table
 
 #: Where the tokenizers' files are; a parameter of every operator that needs one.
@@ -73,7 +73,11 @@ def op10_neighbours(spark, d):
     return ann.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_html, op3_tokens, op4_decontaminate, op5_secrets, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours)}
+def op11_divergence(spark, d):
+    return divergence.audit(table(spark, d, "documents"), min_docs=3, top=200)
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_html, op3_tokens, op4_decontaminate, op5_secrets, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours, op11_divergence)}
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": r"""
@@ -95,4 +99,23 @@ ok as (select * from e where len(v) = len(list_filter(v, lambda x: x is not null
 pairs as (select q.vec_id as query_id, c.vec_id, list_reduce(list_prepend(0.0::double, list_transform(q.v, lambda x, i: x * c.v[i])), lambda a, b: a + b) as score
   from ok q join ok c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0)
 select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 20""",
+    "op11_divergence": r"""
+with d as materialized (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+tok as (select id, lang, source, t, count(*) as n from (select id, lang, source, unnest(w) as t from d) group by all),
+kept as (select lang, t from tok group by lang, t having count(*) >= 3),
+v as (select lang, count(*) as v from kept group by lang),
+g as (select distinct lang, source from d),
+cells as (select lang, source, t, sum(n) as c from tok join kept using (lang, t) group by all),
+n as (select lang, source, sum(c) as n from cells group by all),
+p as materialized (select g.lang, g.source, kept.t, coalesce(c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c, 0)::hugeint + 1)) // (coalesce(n, 0)::hugeint + v) as p
+  from g join kept using (lang) join v using (lang) left join n using (lang, source) left join cells using (lang, source, t)),
+q as (select lang, t, 1 + (1000000000::hugeint * (c + 1)) // (n + v) as q from (select lang, t, sum(c)::hugeint as c from cells group by all) join (select lang, sum(c)::hugeint as n from cells group by lang) using (lang) join v using (lang)),
+pairs as (select g.lang, g.source, h.source as item, coalesce(value, 0) as value from g join g h on g.lang = h.lang and g.source <> h.source
+  left join (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all) x
+  on g.lang = x.lang and g.source = x.source and h.source = x.item),
+found as (select lang, source, 'pair' as part, item, value from pairs
+  union all select lang, source, 'term', t, (p - q) * (p - q) // q from p join q using (lang, t) where c > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found) where part = 'pair' or rank <= 200""",
 }
