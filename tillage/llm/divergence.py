@@ -18,7 +18,7 @@ SCALE = 1_000_000_000
 #: dealt out and meet a copy of them in each part.
 BROADCAST_GROUPS = 100_000
 #: Counts of a task that it holds before it hands them on.
-HELD = 500_000
+HELD = 1_000_000
 
 # Bytes of a term: letters of ASCII, in lower case, and all that is beyond ASCII; any other byte ends it.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -68,18 +68,21 @@ def _excess(p: str, q: str) -> str:
     return f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})"
 
 
-def vectors(docs: DataFrame, min_docs: int = 3, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(languages, terms): lang, n_terms, sources (ascending), totals (one for each source) and lang, term, cells (a
-    map from source to occurrences) of the terms that at least min_docs of a language's documents have. Both are cut."""
+def vectors(docs: DataFrame, min_docs: int = 3, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(languages, terms, counts), all cut. languages: lang, n_terms, sources (ascending), totals (one for each source),
+    total. terms: lang, term, n, cells (a map from source to occurrences) of the terms that at least min_docs of a
+    language's documents have. counts: lang, source, n and how many kept terms the source has n times."""
     rows = docs.select(whole_text(text_col).alias("text"), *[F.coalesce(whole_text(c), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))])
-    counts = in_arrow(rows, _count, "lang string, source string, term string, n long, documents long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
-    wide = counts.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("cells"), F.sum("documents").alias("documents"))
-    kept = cut(wide.where(F.col("documents") >= min_docs).select("lang", "term", "cells"))
-    totals = kept.select("lang", F.explode("cells").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("total", F.lit(0).cast("long")).alias("total")).alias("group"))
+    cells = in_arrow(rows, _count, "lang string, source string, term string, n long, documents long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    by_term = cells.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("cells"), F.sum("documents").alias("documents"))
+    kept = cut(by_term.where(F.col("documents") >= min_docs).drop("documents"))
+    counts = cut(kept.select("lang", F.explode("cells").alias("source", "n")).groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("n_terms")))
+    zero = F.lit(0).cast("long")
+    totals = counts.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("n_terms")).alias("total"))
+    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", zero))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"))
-    languages = groups.groupBy("lang").agg(F.sort_array(F.collect_list("group")).alias("groups")).join(sizes, "lang", "left")
-    return cut(languages.select("lang", F.coalesce("n_terms", F.lit(0).cast("long")).alias("n_terms"), F.col("groups.source").alias("sources"), F.col("groups.total").alias("totals"))), kept
+    languages = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups"), F.sum("total").alias("total")).join(sizes, "lang", "left")
+    return cut(languages.select("lang", F.coalesce("n_terms", zero).alias("n_terms"), F.col("groups.source").alias("sources"), F.col("groups.total").alias("totals"), "total")), kept, counts
 
 
 def audit(docs: DataFrame, *, min_docs: int = 3, top: int = 200, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
@@ -87,47 +90,59 @@ def audit(docs: DataFrame, *, min_docs: int = 3, top: int = 200, text_col: str =
     language (part "term", the first `top`): lang, source, part, item, value, rank.
 
     A share is 1 + floor(SCALE * (n + 1) / (N + V)): n a term's occurrences, N those of all V kept terms, in the source
-    or the language. An item's value is floor((p - q)^2 / q) for the source's share p against the other's q, for a pair
-    summed over all kept terms.
+    or the language. An item's value is f(p, q) = floor((p - q)^2 / q) for the source's share p against the other's q,
+    for a pair summed over all kept terms.
 
-    Each kept term is one row with an array of its shares by source, and higher-order functions make its contributions
-    to pairs, which are summed on the map side by (lang, source, source). A term that neither source has gives the same
-    to all pairs' sums, so only what differs from that is made: a term of k out of S sources makes about 2kS rows and
-    not S * S.
+    Each kept term is one row with an array by source, and higher-order functions make its contributions to pairs,
+    which are summed on the map side by (lang, source, source). With z the share of a term that a source hasn't,
+    f(p, q) = f(z, z) + [f(p, z) - f(z, z)] + [f(z, q) - f(z, z)] + rest: the first is the same for all terms, the
+    brackets depend on one source's count and are made once for each count that occurs, and the rest is 0 unless both
+    sources have the term. So a term of k out of S sources makes k * (k - 1) rows and not S * S, and the sums are equal.
 
     Null text, lang and source are empty ones. Rows that repeat count as documents of their own; ids aren't read. A
     source without terms is compared too, and a language with a single source has no pairs. A language without a kept
     term has pairs of value 0. Equal values are ranked by item, by its UTF-8 bytes. An empty table gives no rows, and
     further columns have no effect. Texts are read whole; a task holds the counts of HELD terms or of one text.
     """
-    languages, kept = vectors(docs, min_docs, text_col, lang_col, source_col)
+    languages, kept, counts = vectors(docs, min_docs, text_col, lang_col, source_col)
     languages = languages.withColumn("zeros", F.expr(f"if(n_terms = 0, transform(totals, n -> 1L), transform(totals, n -> {_share('0L', 'n + n_terms')}))"))
     n_groups = languages.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0))).first()[0]
-    if n_groups <= broadcast_groups:
-        joined = kept.join(F.broadcast(languages), "lang")
-    else:
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(rows: DataFrame, by: str) -> DataFrame:
+        """rows with the columns of their language, however many rows a language has."""
+        if n_groups <= broadcast_groups:
+            return rows.join(F.broadcast(languages), "lang")
         copies = languages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        joined = kept.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).join(copies, ["lang", "part"])
-    counts = F.transform("sources", lambda s: F.coalesce(F.try_element_at("cells", s), F.lit(0).cast("long")))
-    wide = joined.select("lang", "term", "n_terms", "sources", "totals", "zeros", counts.alias("counts"))
-    wide = wide.withColumn("shares", F.expr(f"zip_with(counts, totals, (c, n) -> {_share('c', 'n + n_terms')})"))
-
-    # pairs: what a term gives beyond the value of a term that neither source has
-    beyond = f"transform(shares, (q, j) -> struct(j, {_excess('p', 'q')} - {_excess('zeros[i]', 'zeros[j]')} as f))"
-    given = wide.select("lang", "shares", "zeros", F.posexplode("totals").alias("i", "total"))  # not of shares: a filter on their size would make them twice
-    given = given.withColumn("p", F.expr("shares[i]")).select("lang", "i", F.inline(F.expr(f"filter({beyond}, (x, j) -> x.f <> 0 and j <> i)")))
-    sums = given.groupBy("lang", "i", "j").agg(F.sum("f").alias("beyond"))
-    both = languages.select("lang", "n_terms", "sources", "zeros", F.posexplode("sources").alias("i", "source"))
-    both = both.select("lang", "n_terms", "zeros", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
+        return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(copies, ["lang", "part"])
+
+    wide = meet(kept.withColumnRenamed("n", "n_all"), "term")
+    wide = wide.withColumn("vector", F.transform("sources", lambda s: F.coalesce(F.try_element_at("cells", s), F.lit(0).cast("long"))))
+    present = "filter(transform(vector, (c, i) -> struct(i, c)), x -> x.c > 0)"
+    wide = wide.withColumn("shares", F.expr(f"transform({present}, x -> struct(x.i as i, {_share('x.c', 'totals[x.i] + n_terms')} as p))"))
+
+    # pairs: what terms give that both sources have, then what counts of one source give, beyond terms that neither has
+    both = wide.select("lang", "zeros", "shares", F.posexplode_outer("shares").alias("at", "own"))  # outer: else a filter on the array's size would make it twice
+    both = both.select("lang", "zeros", F.col("own.i").alias("i"), F.col("own.p").alias("p"), F.inline(F.expr("transform(filter(shares, x -> x.i > own.i), x -> struct(x.i as j, x.p as q))")))
+    both = both.select("lang", "i", "j", "p", "q", F.expr("zeros[i]").alias("y"), F.expr("zeros[j]").alias("z"))
+    rest = lambda p, y, q, z: F.expr(f"{_excess(p, q)} - {_excess(p, z)} - {_excess(y, q)} + {_excess(y, z)}")
+    given = both.groupBy("lang", "i", "j").agg(F.sum(rest("p", "y", "q", "z")).alias("there"), F.sum(rest("q", "z", "p", "y")).alias("back"))
+    given = given.select("lang", F.inline(F.expr("array(struct(i, j, there as f), struct(j as i, i as j, back as f))")))
+    single = meet(counts.withColumnRenamed("n_terms", "times"), "n").withColumn("s", F.expr("array_position(sources, source) - 1").cast("int"))
+    single = single.withColumn("p", F.expr(_share("n", "totals[s] + n_terms")))
+    ways = f"""flatten(transform(zeros, (z, k) -> array(struct(s as i, k as j, times * ({_excess('p', 'z')} - {_excess('zeros[s]', 'z')}) as f),
+      struct(k as i, s as j, times * ({_excess('z', 'p')} - {_excess('z', 'zeros[s]')}) as f))))"""
+    single = single.select("lang", F.inline(F.expr(ways))).where("i <> j")
+    sums = given.unionByName(single).groupBy("lang", "i", "j").agg(F.sum("f").alias("beyond"))
+    every = languages.select("lang", "n_terms", "sources", "zeros", F.posexplode("sources").alias("i", "source"))
+    every = every.select("lang", "n_terms", "zeros", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
     alike = F.expr(f"n_terms * ({_excess('zeros[i]', 'zeros[j]')})")
-    pairs = both.select("lang", "i", "source", "j", "item", alike.alias("alike")).join(sums, ["lang", "i", "j"], "left")
+    pairs = every.select("lang", "i", "source", "j", "item", alike.alias("alike")).join(sums, ["lang", "i", "j"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("alike") + F.coalesce("beyond", F.lit(0).cast("long"))).alias("value"))
 
     # terms: a source's share against the language's
-    total = lambda c: f"aggregate({c}, 0L, (a, x) -> a + x)"
-    own = wide.withColumn("q", F.expr(_share(total("counts"), f"{total('totals')} + n_terms")))
-    own = own.select("lang", "term", F.inline(F.expr(f"filter(transform(counts, (c, i) -> struct(sources[i] as source, c, shares[i] as p, {_excess('shares[i]', 'q')} as value)), x -> x.c > 0 and x.p > q)")))
+    own = wide.withColumn("q", F.expr(_share("n_all", "total + n_terms")))
+    own = own.select("lang", "term", F.inline(F.expr(f"transform(filter(shares, x -> x.p > q), x -> struct(sources[x.i] as source, {_excess('x.p', 'q')} as value))")))
     found = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item"))
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
