@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillage.llm import ann, bpe, decontaminate, divergence, html, language, licenses, linededup, secrets, simhash, tokencount
+from tillage.llm import ann, bpe, decontaminate, divergence, html, language, lattice, licenses, linededup, secrets, simhash, tokencount
 from tillage.llm.common import table
 
 #: Where the tokenizers' files are; a parameter of every operator that needs one.
@@ -77,7 +77,11 @@ def op11_divergence(spark, d):
     return divergence.audit(table(spark, d, "documents"), min_docs=3, top=200)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_html, op3_tokens, op4_decontaminate, op5_secrets, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours, op11_divergence)}
+def op12_lattice(spark, d):
+    return lattice.score(table(spark, d, "documents"), lattice.vocabulary(PIECES)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_html, op3_tokens, op4_decontaminate, op5_secrets, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours, op11_divergence, op12_lattice)}
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": r"""
