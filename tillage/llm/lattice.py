@@ -29,6 +29,10 @@ PART = 1_000_000
 FREQUENT, WORD_BYTES = 200_000, 64
 #: Distinct words of a task that it holds before it hands their counts on.
 HELD = 500_000
+#: Rows that a task hands on at a time.
+SENT = 20_000
+#: What a task makes of a document: a row with the sums of its frequent words, and one for each of its other words.
+PARTS = {"id": pa.int64(), "row": pa.int64(), "held": pa.bool_(), "word": pa.string(), "k": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "weight": pa.float64()}
 
 
 def vocabulary(model_path: str) -> dict[str, float]:
@@ -137,24 +141,23 @@ def word_counts(docs: DataFrame, text: Column, held: Column) -> DataFrame:
     """word, n (in all texts), c (in training texts); each text also has one END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, training = Counter(), Counter()
+        counted = {False: Counter(), True: Counter()}
 
-        def flush() -> pa.RecordBatch:
-            words = list(every)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([every[w] for w in words], pa.int64()), pa.array([training[w] for w in words], pa.int64())], names=["word", "n", "c"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for held, counts in counted.items():
+                n = list(counts.values())
+                columns = [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.repeat(pa.scalar(0, pa.int64()), len(n)) if held else pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "c"])
+                counts.clear()
 
         for b in batches:
             for t, held in zip(bytes_of(b.column(0)), b.column(1).to_pylist()):
                 found = words_of(t)
                 found.append(END.encode())
-                every.update(found)
-                if not held:
-                    training.update(found)
-                if len(every) > HELD:
-                    yield flush()
-                    every.clear()
-                    training.clear()
-        yield flush()
+                counted[held].update(found)
+                if len(counted[held]) > HELD:
+                    yield from flush()
+        yield from flush()
 
     counts = in_arrow(docs.select(text.alias("text"), held.alias("held")), run, "word string, n long, c long")
     return counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
@@ -232,29 +235,33 @@ def score(docs: DataFrame, weights: dict[str, float], *, held: Column | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = near.value
+        columns: list[list] = [[] for _ in PARTS]
         for b in batches:
-            for i, row, held, text in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), bytes_of(b.column(3))):
+            for i, row, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), bytes_of(b.column(3))):
                 found = words_of(text)
                 found.append(END.encode())
-                own, base, weight, rest = 0, [], [], []
+                known, base, weight = 0, 0.0, 0.0
+                words, times = [None], [0]
                 for w, k in Counter(found).items():
                     at = table.get(w)
                     if at is None:
-                        rest.append((w, k))
+                        words.append(w)
+                        times.append(k)
                     else:
-                        own += k * at[0]
-                        base.append(k * at[1])
-                        weight.append(k * at[2])
-                n = 1 + len(rest)
-                names = ["id", "row", "held", "word", "k", "n_tokens", "n_known", "base", "weight"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i.as_py()] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array([held] * n, pa.bool_()), pa.array([None, *[w for w, _ in rest]], pa.binary()).cast(pa.string()),
-                        pa.array([0, *[k for _, k in rest]], pa.int64()), pa.array([len(found), *[0] * len(rest)], pa.int64()), pa.array([own, *[0] * len(rest)], pa.int64()),
-                        pa.array([math.fsum(base), *[0.0] * len(rest)], pa.float64()), pa.array([math.fsum(weight), *[0.0] * len(rest)], pa.float64()),
-                    ],
-                    names=names,
-                )
+                        known += k * at[0]
+                        base += k * at[1]
+                        weight += k * at[2]
+                more = len(words) - 1
+                none, nil = [None] * more, [0.0] * more
+                for column, values in zip(columns, ([i] * (more + 1), [row] * (more + 1), [held] * (more + 1), words, times, [len(found), *none], [known, *none], [base, *nil], [weight, *nil])):
+                    column += values
+                if len(columns[0]) > SENT:
+                    yield batch(columns)
+                    columns = [[] for _ in PARTS]
+        yield batch(columns)
+
+    def batch(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, kind) if kind != pa.string() else pa.array(values, pa.binary()).cast(kind) for values, kind in zip(columns, PARTS.values())], names=list(PARTS))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), held.alias("held"), whole_text(text_col).alias("text"))
     parts = in_arrow(rows, run, "id long, row long, held boolean, word string, k long, n_tokens long, n_known long, base double, weight double")
@@ -263,7 +270,7 @@ def score(docs: DataFrame, weights: dict[str, float], *, held: Column | None = N
     seldom = weighed.where(~often).select(F.col("word").alias("key"), (F.col("c") > 0).cast("long").alias("is_known"), F.col("base").alias("word_base"), F.col("weight").alias("word_weight"))
     zero = F.lit(0.0)
     parts = parts.join(seldom, "key", "left").select(
-        "id", "row", "held", "n_tokens", (F.col("n_known") + F.col("k") * F.coalesce("is_known", F.lit(0))).alias("n_known"),
+        "id", "row", "held", "n_tokens", (F.coalesce("n_known", F.lit(0)) + F.col("k") * F.coalesce("is_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.col("k") * F.coalesce("word_base", zero)).alias("base"), (F.col("weight") + F.col("k") * F.coalesce("word_weight", zero)).alias("weight"),
     )
     # a row has one id and one held_out, so these are keys at no cost
