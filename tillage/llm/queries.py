@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillage.llm import ann, bpe, decontaminate, divergence, html, language, lattice, licenses, linededup, secrets, simhash, tokencount
+from tillage.llm import ann, bpe, decontaminate, divergence, html, language, lattice, licenses, linededup, prefixtrie, secrets, simhash, tokencount
 from tillage.llm.common import table
 
 #: Where the tokenizers' files are; a parameter of every operator that needs one.
@@ -81,7 +81,11 @@ def op12_lattice(spark, d):
     return lattice.score(table(spark, d, "documents"), lattice.vocabulary(PIECES)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_html, op3_tokens, op4_decontaminate, op5_secrets, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours, op11_divergence, op12_lattice)}
+def op13_trie(spark, d):
+    return prefixtrie.prefix_trie(table(spark, d, "conversations"), family=5, most=9)
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_html, op3_tokens, op4_decontaminate, op5_secrets, op6_bpe, op7_language, op8_simhash, op9_lines, op10_neighbours, op11_divergence, op12_lattice, op13_trie)}
 
 ORACLE: dict[str, str] = {
     "op4_decontaminate": r"""
@@ -122,4 +126,20 @@ found as (select lang, source, 'pair' as part, item, value from pairs
   union all select lang, source, 'term', t, (p - q) * (p - q) // q from p join q using (lang, t) where c > 0 and p > q)
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
 from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found) where part = 'pair' or rank <= 200""",
+    "op13_trie": """
+with t as (select conv_id, turn, octet_length(encode(coalesce(text, ''))) as b,
+    sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) as x from conversations where conv_id is not null),
+own as (select conv_id, list(struct_pack(x := x, b := b) order by turn nulls first, x) as ts from t group by conv_id),
+h as (select conv_id, cast(xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: ascii(c)::bigint)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: xor(v >> 1, case when v % 2 = 1 then 3988292384 else 0 end)))) % 9 as bigint) as h from own),
+paths as (select o.conv_id, list_concat(coalesce(first.ts, [])[1:h], o.ts[h + 1:]) as p from own o join h using (conv_id) left join own first on first.conv_id = o.conv_id - o.conv_id % 5),
+pre as materialized (select conv_id, len(p) as size, d, array_to_string(list_transform(p[1:d], lambda e: e.x), '') as k, array_to_string(list_transform(p[1:d - 1], lambda e: e.x), '') as up, case when d > 0 then p[d].b else 0 end as b
+  from (select conv_id, p, unnest(range(0, len(p) + 1)) as d from paths)),
+node as materialized (select k, d, any_value(up) as up, any_value(b) as b, min(conv_id) as conv_id, count(*) as n,
+  coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where size = d), '') as ends from pre group by k, d),
+kids as (select up as k, d - 1 as d, count(*) as n from node where d > 0 group by all),
+below as (select k[1:64 * a] as k, a as d, sum((n - 1) * b) as saved, count(*) filter (where leaf) as leaves
+  from (select node.k, node.n, b, kids.n is null as leaf, unnest(range(0, node.d + 1)) as a from node left join kids on node.k = kids.k and node.d = kids.d) group by all)
+select node.conv_id, node.d as depth, parent.conv_id as parent_conv_id, node.n as n_convs, coalesce(kids.n, 0) as n_children, cast(below.leaves as bigint) as n_leaves, cast(below.saved as bigint) as saved_tokens, sha256(node.ends) as ends_sha256
+from node join below on node.k = below.k and node.d = below.d left join kids on node.k = kids.k and node.d = kids.d left join node parent on node.d > 0 and parent.k = node.up and parent.d = node.d - 1""",
 }
