@@ -41,12 +41,16 @@ def test_tree_and_ridge(spark):
     assert got == pytest.approx(centred @ w + y.mean(), abs=1e-7)
 
 
-def test_quantiles_by_rank(spark, monkeypatch):
-    monkeypatch.setattr(profile, "_FEW", 10)
+def test_quantiles(spark):
     rng = np.random.default_rng(6)
-    values = [*rng.lognormal(0, 3, 500), *[7.0] * 300, *(-rng.random(50)), 1e300, -1e300]
-    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
-    want = np.quantile(values, [0, 0.1, 0.5, 0.77, 1])
-    for rows in (0, 10**6):
-        assert profile.quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.77, 1.0], rows)["x"] == pytest.approx(list(want), rel=1e-12)
-    assert profile.quantiles(df.limit(0), ["x"], [0.5], 0)["x"] == [None]
+    values = [*rng.lognormal(0, 3, 500), *[7.0] * 300, *(-rng.random(50)), 1e300, -1e300, -0.0, 0.0]
+    df = spark.createDataFrame([(float(v), float(v) if v > 5 else None) for v in values] + [(None, float("nan"))], "x double, y double")
+    ps = [0.0, 0.1, 0.5, 0.77, 1.0]
+    for accuracy, few in ((10_000, 10**6), (20, 10**6), (20, 0), (3, 0)):
+        got = profile.quantiles(df, ["x", "y"], ps, accuracy, few)
+        assert got["x"] == pytest.approx(list(np.quantile(values, ps)), rel=1e-12)
+        assert got["y"] == pytest.approx(list(np.quantile([v for v in values if v > 5], ps)), rel=1e-12)
+    assert profile.quantiles(df.limit(0), ["x"], [0.5])["x"] == [None]
+    assert profile.quantiles(df.where("x = 7"), ["x", "y"], [0.0, 0.5]) == {"x": [7.0, 7.0], "y": [7.0, 7.0]}
+    rows = {r.column_name: r for r in profile.describe_columns(df, ["x", "y"]).collect()}
+    assert rows["y"].n == sum(v > 5 for v in values) and rows["x"].std == pytest.approx(np.std(values, ddof=1)) and rows["x"].q50 == pytest.approx(np.median(values))

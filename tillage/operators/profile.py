@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillage.operators.ordered import along
+from tillage.sources.tables import cut, release
+
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each column: nulls, null ratio (null for an empty table) and exact distinct values (null not counted,
@@ -32,62 +35,96 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-#: Rows whose exact percentile one task's state may hold; beyond, ranks are selected by histograms.
-STATE_ROWS = 4_000_000
-_BUCKETS, _FEW = 4096, 20_000
-
-
-def _ranks(values: DataFrame, wanted: set[int], low: float, high: float, before: int, found: dict[int, float]) -> None:
-    """Values (x) of the given ranks among those in low..high, `before` of all being lower: a histogram of equal widths,
-    then the same inside the buckets that hold a rank. The driver gets _BUCKETS rows or _FEW values at a time."""
-    inside = values.where(F.col("x").between(low, high))
-    if low == high:
-        found.update(dict.fromkeys(wanted, low))
-        return
-    width = (high / 2 - low / 2) / _BUCKETS
-    bucket = F.least(F.floor((F.col("x") / 2 - F.lit(low / 2)) / F.lit(width)), F.lit(_BUCKETS))
-    rows = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("lo").collect()
-    for r in rows:
-        own = {k for k in wanted if before <= k < before + r.n}
-        if own and r.n <= _FEW:
-            part = sorted(x.x for x in values.where(F.col("x").between(r.lo, r.hi)).collect())
-            found.update({k: part[k - before] for k in own})
-        elif own:
-            _ranks(values, own, r.lo, r.hi, before, found)
-        before += r.n
-
-
-def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], state_rows: int = STATE_ROWS) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles of the non-null values of each column; runs jobs.
-
-    Up to state_rows values Spark's percentile holds them in one task's state. Beyond, each rank is selected by
-    histograms that combine on the map side, so that no task holds more than a bucket's sums.
-    """
-    stats = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    out: dict[str, list[float | None]] = {}
-    small = [c for i, c in enumerate(columns) if stats[i] <= state_rows]
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))).alias(f"q{i}") for i, c in enumerate(small)]).first()
-        out |= {c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(small)}
+#: A quantile sketch errs by one in so many of all ranks at most.
+ACCURACY = 10_000
+#: Distinct values near wanted ranks that the driver may pick from; beyond, ranks are found by running sums.
+FEW = 100_000
+
+
+def _number(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _sketched(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int) -> list[dict]:
+    """One pass: n, mean, std, min and max of each column, and values on either side of each quantile."""
+    sides = [min(1.0, max(0.0, p + side / accuracy)) for p in probabilities for side in (-2, 2)]
+    aggs = []
     for i, c in enumerate(columns):
-        if c in out:
+        x = _number(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        aggs += [F.percentile_approx(x, sides, accuracy).alias(f"sides{i}")] if sides else []
+    row = df.agg(*aggs).first().asDict()
+    return [{k: row.get(f"{k}{i}") for k in ("n", "mean", "std", "min", "max", "sides")} for i in range(len(columns))]
+
+
+def _picked(df: DataFrame, columns: Sequence[str], stats: list[dict], probabilities: Sequence[float], accuracy: int, few: int) -> list[list[float | None]]:
+    """A second pass: how many values lie below each quantile's bracket, and how often each value inside occurs."""
+    brackets, wanted = {}, {}
+    for i, s in enumerate(stats):
+        for j, p in enumerate(probabilities if s["n"] else ()):
+            place = p * (s["n"] - 1)
+            wanted[i, j] = (math.floor(place), math.ceil(place), place)
+            exact = s["n"] <= accuracy  # then a bracket could miss the neighbour, and all values are few
+            brackets[i, j] = (s["min"] if exact or p <= 2 / accuracy else s["sides"][2 * j], s["max"] if exact or p >= 1 - 2 / accuracy else s["sides"][2 * j + 1])
+    found: dict[tuple[int, int, int], float] = {}
+    while brackets:
+        entry = lambda i, j, x, low, high: F.when(x <= high, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(x >= low, x + F.lit(0.0)).alias("x")))  # noqa: E731 - no sign on zero
+        entries = F.array(*[entry(i, j, _number(columns[i]), F.lit(low), F.lit(high)) for (i, j), (low, high) in brackets.items()])
+        counts = cut(df.select(F.inline(F.array_compact(entries))).groupBy("i", "j", "x").agg(F.count(F.lit(1)).alias("n")))
+        below = {(i, j): 0 for i, j in brackets} | {(r.i, r.j): r.n for r in counts.where("x is null").collect()}
+        inside = counts.where("x is not null")
+        sizes = {(r.i, r.j): (r.n, r.rows) for r in inside.groupBy("i", "j").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+        ranks = {(i, j, k - below[i, j]): k for i, j in brackets for k in wanted[i, j][:2]}
+        if sum(rows for _, rows in sizes.values()) <= few:
+            run = {}
+            for r in inside.orderBy("i", "j", "x").collect():
+                start = run.get((r.i, r.j), 0)
+                run[r.i, r.j] = start + r.n
+                found.update({(r.i, r.j, k): r.x for k in wanted[r.i, r.j][:2] if start <= k - below[r.i, r.j] < start + r.n})
+        else:
+            summed = along(inside, ["i", "j"], ["x"], sums={"upto": F.col("n")})
+            asked = F.broadcast(df.sparkSession.createDataFrame([(i, j, k) for i, j, k in ranks], "i int, j int, k long"))
+            for r in summed.join(asked, ["i", "j"]).where("upto - n <= k and k < upto").collect():
+                found[r.i, r.j, ranks[r.i, r.j, r.k]] = r.x
+        release(counts)
+        missed = {ij for ij in brackets if any((*ij, k) not in found for k in wanted[ij][:2])}  # no sketch errs so far; if one did, all values decide
+        brackets = {(i, j): (stats[i]["min"], stats[i]["max"]) for i, j in missed if brackets[i, j] != (stats[i]["min"], stats[i]["max"])}
+    out = []
+    for i, s in enumerate(stats):
+        if not s["n"]:
+            out.append([None] * len(probabilities))
             continue
-        values = df.select(F.col(c).cast("double").alias("x")).where("x is not null")
-        ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        places = [p * (stats[i] - 1) for p in probabilities]
-        found: dict[int, float] = {}
-        _ranks(values, {int(math.floor(p)) for p in places} | {int(math.ceil(p)) for p in places}, ends.lo, ends.hi, 0, found)
-        out[c] = [found[math.floor(p)] + (p - math.floor(p)) * (found[math.ceil(p)] - found[math.floor(p)]) for p in places]
+        ends = [(found[i, j, wanted[i, j][0]], found[i, j, wanted[i, j][1]], wanted[i, j][2] % 1) for j in range(len(probabilities))]
+        out.append([low if low == high else low + share * (high - low) for low, high, share in ends])
     return out
 
 
-def describe(df: DataFrame, column: str, state_rows: int = STATE_ROWS) -> DataFrame:
-    """count, mean, std (n-1), min, interpolated quartiles and max, all exact; runs jobs for the quartiles."""
-    c = F.col(column)
-    q25, q50, q75 = (F.lit(x).cast("double") for x in quantiles(df, [column], [0.25, 0.5, 0.75], state_rows)[column])
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).select(
-        "n", "mean", "std", "min", q25.alias("q25"), q50.alias("q50"), q75.alias("q75"), "max"
-    )
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = ACCURACY, few: int = FEW) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of each column's values, null and NaN left out; None for a column without any.
+
+    Two passes for any number of columns: mergeable sketches give a bracket around each wanted rank, then what is below
+    is counted, and the values inside are counted one by one. A bracket holds some 4 / accuracy of the rows; if that is
+    more than `few` distinct values, running sums over ranges of them find the ranks, else the driver does.
+    """
+    stats = _sketched(df, columns, probabilities, accuracy)
+    return dict(zip(columns, _picked(df, columns, stats, probabilities, accuracy, few)))
+
+
+DESCRIBED = "column_name string, n long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+
+
+def describe_columns(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY, few: int = FEW) -> DataFrame:
+    """count, mean, std (n-1), min, interpolated quartiles and max of each column, exact, in two passes for all of them;
+    null and NaN are left out."""
+    stats = _sketched(df, columns, [0.25, 0.5, 0.75], accuracy)
+    middle = _picked(df, columns, stats, [0.25, 0.5, 0.75], accuracy, few)
+    return df.sparkSession.createDataFrame([(c, s["n"], s["mean"], s["std"], s["min"], *q, s["max"]) for c, s, q in zip(columns, stats, middle)], DESCRIBED)
+
+
+def describe(df: DataFrame, column: str, accuracy: int = ACCURACY, few: int = FEW) -> DataFrame:
+    """describe_columns of one column, as one row."""
+    return describe_columns(df, [column], accuracy, few).drop("column_name")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

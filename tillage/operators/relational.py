@@ -129,22 +129,6 @@ def sorted_nulls_last(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
 
 
-def places(ordered: DataFrame, name: str = "place") -> DataFrame:
-    """ordered with each row's place from 1 on. A range sort's partitions are counted first, so no task sees all rows.
-
-    Runs a job; the sorted rows stay persisted, since their places are only right for the partitions counted.
-    """
-    ordered = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    kept = ordered.persist()
-    counts = {r["_part"]: r["n"] for r in kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for part in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(part, 0)
-    start = F.element_at(F.array(*map(F.lit, before or [0])), F.col("_part") + 1)
-    return kept.withColumn(name, start + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_row")
-
-
 def head(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
     """The first n rows by an order (TakeOrderedAndProject); Spark has no head of an unordered table."""
     return sorted_nulls_last(df, columns).limit(n)

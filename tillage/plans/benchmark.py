@@ -9,7 +9,7 @@ from tillage import schemas as S
 from tillage.operators import relational as R
 from tillage.operators.metrics import metrics_table
 from tillage.operators.models import Preprocessor, fit_ridge, fit_tree
-from tillage.operators.profile import quantiles
+from tillage.operators.profile import describe_columns
 
 
 def feature_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -24,7 +24,8 @@ def separate(df: DataFrame, features: list[str], label: str) -> tuple[DataFrame,
 
 def naive(train: DataFrame, label: str, lag: str) -> dict[str, Column]:
     """The three baselines as expressions over constants of the train rows; runs jobs."""
-    mean, middle = train.agg(F.avg(label)).first()[0], quantiles(train, [label], [0.5])[label][0]
+    found = describe_columns(train, [label]).first()
+    mean, middle = found["mean"], found["q50"]
     mean, middle = (F.lit(x).cast("double") for x in (mean, middle))
     return {"train_mean": mean, "train_median": middle, "historical": F.coalesce(F.col(lag).cast("double"), middle)}
 

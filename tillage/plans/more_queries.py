@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillage import schemas as S
 from tillage.functions.cleaning import exact_to_int, to_number, truncate_to_int
-from tillage.operators import daily, models, profile, relational as R
+from tillage.operators import daily, models, ordered, profile, relational as R
 from tillage.plans import benchmark, crop
 from tillage.plans.queries import FINAL_SQL, NUMERIC, dated, line_features, observations, orders, query, split
 from tillage.sources import tables
@@ -120,7 +120,7 @@ def _(spark, d):
 def _(spark, d):
     """Places of a sort by several keys with nulls; the window is global only to show them, the operator is a range sort."""
     df = read_table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("nation"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
-    return R.places(R.sorted_nulls_last(df, ["nation", "segment", "c_custkey"])).select("c_custkey", F.col("place").cast("int").alias("place"))
+    return ordered.places(df, ["nation", "segment", "c_custkey"]).select("c_custkey", F.col("place").cast("int").alias("place"))
 
 
 # -- edge rows
@@ -150,11 +150,40 @@ def _(spark, d):
 
 @query("quantiles_by_rank", "select round(quantile_cont(l_extendedprice, 0.25), 6) as q25, round(quantile_cont(l_extendedprice, 0.5), 6) as q50, round(quantile_cont(l_extendedprice, 0.75), 6) as q75 from lineitem")
 def _(spark, d):
-    """The way for columns beyond one task's state: ranks selected by histograms."""
-    found = profile.describe(read_table(spark, d, "lineitem"), "l_extendedprice", state_rows=0)
+    """Ranks found by running sums over the values in the brackets, as for columns of very many values."""
+    found = profile.describe(read_table(spark, d, "lineitem"), "l_extendedprice", few=0)
     return found.select(*[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
 
 
+_DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "describe_columns",
+    " union all ".join(
+        f"select '{c}' as column_name, count({c}) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 4) as std, cast(min({c}) as double) as min, "
+        f"round(quantile_cont({c}, 0.25), 6) as q25, round(quantile_cont({c}, 0.5), 6) as q50, round(quantile_cont({c}, 0.75), 6) as q75, cast(max({c}) as double) as max from lineitem"
+        for c in _DESCRIBED
+    ),
+)
+def _(spark, d):
+    """Two passes over the table for all columns."""
+    found = profile.describe_columns(read_table(spark, d, "lineitem"), _DESCRIBED)
+    places = {"mean": 6, "std": 4, "q25": 6, "q50": 6, "q75": 6}
+    return found.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in found.columns])
+
+
+_HOT = "case when o_orderkey % 2 = 0 then 0 else o_custkey end"
+
+
+@query("lag_hot_group", f"select o_orderkey, g, lag(o_totalprice) over (partition by g order by o_orderdate, o_orderkey) as lag_price, cast(sum(cast(o_totalprice as decimal(18, 2))) over (partition by g order by o_orderdate, o_orderkey) as double) as spent from (select *, {_HOT} as g from orders)")
+def _(spark, d):
+    """Lag and running sum where one group has half of all rows: it is spread over ranges, each of one task."""
+    hot = read_table(spark, d, "orders").select("o_orderkey", F.expr(f"cast({_HOT} as bigint)").alias("g"), "o_orderdate", "o_totalprice")
+    found = ordered.along(hot, ["g"], ["o_orderdate", "o_orderkey"], sums={"spent": F.col("o_totalprice").cast("decimal(18,2)")}, lags={"lag_price": "o_totalprice"})
+    return found.select("o_orderkey", "g", "lag_price", F.col("spent").cast("double").alias("spent"))
+
+
 @query(
     "longest_spell_nulls",
     """with e as (select nullif(user_id % 50, 7) as user_key, case when event_id % 11 = 0 then null else cast(ts as date) end as day, value from events),

@@ -86,6 +86,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{(d or tempfile.mkdtemp(prefix='tillage-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again: it is computed once, and what follows survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a cut() that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def versioned(spark: SparkSession, path: str, stamp: str) -> str | None:
     """Move an existing output aside to path_backup_stamp; the new name, or None if there was nothing."""
     if not exists(spark, path):
