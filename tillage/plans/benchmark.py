@@ -45,11 +45,11 @@ def run(train: DataFrame, validation: DataFrame, label: str = S.TARGET, lag: str
         prep = Preprocessor(found[0] if numeric is None else numeric, found[1] if categorical is None else categorical).fit(train)
         fitted = prep.transform(train).persist()
         try:
-            ridge, tree = fit_ridge(fitted, label), fit_tree(fitted, label)
+            ridge, tree = fit_ridge(fitted, label, width=prep.width), fit_tree(fitted, label)
         finally:
             fitted.unpersist()
         constants = naive(train, label, lag)
     finally:
         train.unpersist()
-    held = tree.transform(ridge.transform(prep.transform(validation), prediction="_ridge")).withColumnRenamed("prediction", "_tree")
+    held = tree.transform(ridge.transform(prep.transform(validation), prediction="_ridge"), prediction="_tree")
     return metrics_table(held, label, {**constants, "ridge": "_ridge", "tree": "_tree"})

@@ -11,7 +11,7 @@ from tillage.operators import daily, models, ordered, profile, relational as R
 from tillage.plans import benchmark, crop
 from tillage.plans.queries import FINAL_SQL, NUMERIC, dated, line_features, observations, orders, query, split
 from tillage.sources import tables
-from tillage.sources.tables import read_table
+from tillage.sources.tables import cut, read_table
 
 # -- sources and sinks: written below spark.checkpoint.dir and read back
 
@@ -210,7 +210,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Imputed, scaled and one-hot features of the validation rows, fitted on the train rows, an entry a row."""
-    final = observations(spark, d)
+    final = cut(observations(spark, d))
     prep = models.Preprocessor(["quantity_sum", "lag_price"], ["o_orderpriority"]).fit(split(final, "train"))
     rows = prep.transform(split(final, "validation")).select("o_orderkey", F.posexplode(vector_to_array("features")).alias("place", "value"))
     return rows.select("o_orderkey", "place", F.round("value", 6).alias("value"))
@@ -227,7 +227,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Ridge with two scaled features against the normal equations."""
-    final = observations(spark, d)
+    final = cut(observations(spark, d))
     prep = models.Preprocessor(["quantity_sum", "lines"], []).fit(split(final, "train"))
     model = models.fit_ridge(prep.transform(split(final, "train")), "o_totalprice")
     return model.transform(prep.transform(split(final, "validation"))).select("o_orderkey", F.round("prediction", 4).alias("prediction"))
@@ -241,13 +241,45 @@ def _(spark, d):
   select o_orderkey, round(case when lines <= c then l else r end, 4) as prediction from final, best where o_year = 2000""",
 )
 def _(spark, d):
-    """A tree of depth 1 on a column of few values, where binned thresholds are all thresholds."""
-    final = observations(spark, d)
+    """A tree of depth 1 against the search for its one threshold."""
+    final = cut(observations(spark, d))
     prep = models.Preprocessor(["lines"], []).fit(split(final, "train"))
     model = models.fit_tree(prep.transform(split(final, "train")), "o_totalprice", depth=1)
     return model.transform(prep.transform(split(final, "validation"))).select("o_orderkey", F.round("prediction", 4).alias("prediction"))
 
 
+#: Rows with their node, level by level: cells of (node, feature, value), sums up to each, the best threshold of a node.
+_TREE_SQL = f"""with recursive {FINAL_SQL}, base as materialized (select o_orderkey, o_year, case when o_year < 2000 then o_totalprice end as y, quantity_sum as a, coalesce(lag_price, (select median(lag_price) from final where o_year between 1995 and 1999)) as b,
+    case when o_orderpriority = '1-URGENT' then 1.0::double else 0.0::double end as c from final where o_year between 1995 and 2000),
+  m as materialized (select avg(y) as m, count(y) * var_pop(y) as total from base),
+  t as (select 0 as level, 1::bigint as node, o_orderkey, o_year, y - m as y, a, b, c from base, m
+  union all
+  select level + 1, case when g.f is null then t.node else t.node * 2 + case when (case g.f when 0 then a when 1 then b else c end) > g.x then 1 else 0 end end, o_orderkey, o_year, t.y, a, b, c
+  from t left join (
+    select node, arg_max(f, {{'gain': gain, 'f': -f, 'x': -x}}) as f, arg_max(x, {{'gain': gain, 'f': -f, 'x': -x}}) as x from (
+      select node, f, (x + before) / 2 as x, round((sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / total, 12) as gain from (
+        select *, lag(x) over w as before, sum(cn) over w - cn as nl, sum(cs) over w - cs as sl, sum(cn) over g as n, sum(cs) over g as s, sum(cq) over g as q from (
+          select node, f, x, count(*) as cn, sum(y) as cs, sum(y * y) as cq from (select node, y, unnest([0, 1, 2]) as f, unnest([a, b, c]) as x from t where y is not null) group by all)
+        window w as (partition by node, f order by x), g as (partition by node, f)), m
+      where before is not null and nl >= 20 and n - nl >= 20 and q - s * s / n > 1e-12 * q)
+    group by node) g on t.node = g.node and t.node >= power(2, t.level) where t.level < 12),
+  last as (select * from t where level = 12)
+  select o_orderkey, round(m + mean + 1.234e-6, 3) as prediction from last join (select node, avg(y) as mean from last where y is not null group by node) using (node), m where o_year = 2000"""
+
+
+@query("tree", _TREE_SQL)
+def _(spark, d):
+    """A tree of depth 12, at least 20 rows a leaf, over columns of thousands of values: every midpoint is tried."""
+    final = cut(observations(spark, d)).withColumn("urgent", F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))
+    middle = models.medians(split(final, "train"), ["lag_price"])
+    rows = models.impute(final, middle, ["lag_price"])
+    values = F.array(*[F.struct(F.lit(k).cast("long").alias("i"), F.col(c).cast("double").alias("x")) for k, c in enumerate(["quantity_sum", "lag_price", "urgent"])])
+    rows = rows.select("o_orderkey", "o_year", "o_totalprice", values.alias("entries"))
+    model = models.fit_tree(split(rows, "train"), "o_totalprice")
+    # means of cents can lie between two roundings; the shift moves all of them alike
+    return model.transform(split(rows, "validation")).select("o_orderkey", F.round(F.col("prediction") + 1.234e-6, 3).alias("prediction"))
+
+
 @query("dated_scan", "select o_orderkey, o_orderpriority from orders where o_orderdate >= '1997-01-01' and o_orderdate < '1999-01-01'")
 def _(spark, d):
     return R.project(dated(read_table(spark, d, "orders"), 1997, 1998), ["o_orderkey", "o_orderpriority"])
