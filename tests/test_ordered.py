@@ -50,3 +50,15 @@ def test_places(spark, rows):
     key = lambda r: (r[2] is None, r[2] or 0, r[1] is None, r[1] or "", r[0])
     assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=key), 1)}
     assert ordered.places(df.limit(0), ["id"]).count() == 0
+
+
+def test_join_validated_in_its_run(spark):
+    left = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "k int, l string")
+    right = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, v string")
+    got = sorted(tuple(r)[1:] for r in R.join_features(left, right, ["k"], validate="in run").collect())
+    assert got == [("x", "a"), ("y", "b"), ("z", None)]
+    for repeated in ([(1, "a"), (1, "a")], [(None, "a"), (None, "b")]):
+        for columns in (["k", "v"], ["k"]):
+            bad = spark.createDataFrame(repeated, "k int, v string").select(*columns)
+            with pytest.raises(Exception, match="not unique"):
+                R.join_features(left, bad, ["k"], validate="in run").collect()

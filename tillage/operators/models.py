@@ -257,7 +257,7 @@ class Tree:
 
 
 #: Rows of a node that one task may finish; larger nodes are split by passes over all rows.
-LOCAL_ROWS = 50_000
+LOCAL_ROWS = 200_000
 
 
 def _best_split(i: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, s: float, leaf: int, total: float) -> tuple[int, float] | None:

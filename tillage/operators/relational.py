@@ -87,13 +87,26 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def join_features(left: DataFrame, right: DataFrame, keys: Sequence[str], validate: bool = False) -> DataFrame:
+def once_by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df, whose rows raise an error where they are read if their key repeats; nulls are equal. No job of its own: rows
+    are counted by key in the exchange that brings them together, combined on the map side."""
+    rest = [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest) if rest else F.lit(1)).alias("_row"))
+    said = F.concat(F.lit("keys are not unique: "), F.to_json(F.struct(*keys)))
+    checked = counted.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    return checked.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def join_features(left: DataFrame, right: DataFrame, keys: Sequence[str], validate: bool | str = False) -> DataFrame:
     """Left join on null-safe equal keys, many to one; key columns appear once.
 
     No broadcast hint: the planner and AQE broadcast the right side when its measured size allows, else they
-    sort-merge and split skewed partitions. validate=True first checks (a job) that right keys are unique.
+    sort-merge and split skewed partitions of the left. validate=True first checks (a job) that right keys are unique;
+    validate="in run" makes the join's own run fail if they aren't.
     """
-    if validate:
+    if validate == "in run":
+        right = once_by_key(right, keys)
+    elif validate:
         assert_unique(right, keys)
     l, r = left.alias("l"), right.alias("r")
     condition = None

@@ -55,23 +55,81 @@ def _(spark, d):
     return counts[0].unionByName(counts[1])
 
 
+#: orders and the sums of their lines under the names of the data model, as text; every fifth district has no features.
+_CROP_SQL = """obs as (select o_orderpriority as state, 'd' || o_custkey % 40 as district, (year(o_orderdate) - 1995) * 3 + 1996 as y, 's' || o_custkey % 2 as season, 'c' || o_custkey % 3 as crop, o_orderkey, o_totalprice,
+    o_custkey % 40 as place from orders),
+  feats as (select state, district, y, season, crop from obs join lineitem on l_orderkey = o_orderkey where place % 5 <> 0 group by all),
+  joined as (select obs.*, f.y is not null as has from obs left join feats f using (state, district, y, season, crop)),
+  final as (select * from joined where has and y between 1997 and 2014)"""
+
+
+def _crop_tables(spark, d) -> crop.Prepared:
+    """The data model's two raw tables, written as CSV and loaded as the pipeline does."""
+    at = tables.scratch(spark)
+    place = F.col("o_custkey") % 40
+    obs = read_table(spark, d, "orders").select(
+        F.concat(F.lit("  "), "o_orderpriority").alias("State_Name"), F.concat(F.lit("d"), place).alias("District_Name"), ((F.year("o_orderdate") - 1995) * 3 + 1996).alias("Crop_Year"), F.concat(F.lit("s"), F.col("o_custkey") % 2, F.lit(" ")).alias("Season"),
+        F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("Crop"), F.lit(1.5).alias("Area"), F.col("o_orderkey").alias("Production"), F.col("o_totalprice").alias("yield"), place.alias("place"),
+    )
+    lines = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("Production")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"))
+    rain = obs.where("place % 5 <> 0").join(lines, "Production").groupBy(*S.JOIN_KEYS).agg(F.sum("q").alias("rain_sum_mm"))
+    rain = rain.select(*S.JOIN_KEYS, "rain_sum_mm", *[F.lit(k).alias(c) for k, c in enumerate(S.WEATHER_COLUMNS[1:])])
+    tables.write_csv(obs.orderBy("Production").drop("place"), f"{at}/observations")  # so that the file order is that of keys
+    tables.write_csv(rain, f"{at}/features")
+    return crop.load(spark, [f"{at}/absent", f"{at}/observations"], f"{at}/features")
+
+
 @query(
     "summary_report",
-    f"""with {FINAL_SQL}, j as (select count(*) as n, avg(case when quantity_sum is null then 1.0::double else 0.0::double end) as r from orders o left join feats f on o.o_orderkey = f.o_orderkey)
-  select 'observations: ' || (select count(*) from orders) || ' x 7' as line union all select 'final: ' || count(*) || ' x 9' from final
-  union all select 'years: ' || min(o_year) || ' x ' || max(o_year) from final union all select 'missing_per_mille: ' || cast(floor(r * 1000) as int) from j
-  union all select 'year ' || o_year || ': ' || count(*) from final group by o_year""",
+    f"""with {_CROP_SQL}
+  select 'observations: ' || count(*) || ' x 8' as line from obs union all select 'features: ' || count(*) || ' x 19' from feats union all select 'joined: ' || count(*) || ' x 22' from joined
+  union all select 'final: ' || count(*) || ' x 23' from final union all select 'train: ' || count_if(y <= 2010) || ' x 23' from final
+  union all select 'validation: ' || count_if(y between 2011 and 2012) || ' x 23' from final union all select 'test: ' || count_if(y >= 2013) || ' x 23' from final
+  union all select 'missing per mille: ' || cast(floor(avg(case when has then 0.0::double else 1.0::double end) * 1000) as int) from joined
+  union all select 'years: ' || min(y) || ' x ' || max(y) from final union all select 'coordinates: None'
+  union all select 'year_counts: {{' || string_agg(y || ': ' || n, ', ' order by y) || '}}' from (select y, count(*) as n from final group by y)""",
 )
 def _(spark, d):
-    """Shapes, missing ratio, year bounds and counts, written as a text file and read back."""
-    final = observations(spark, d)
-    joined = R.join_features(orders(spark, d), line_features(spark, d), ["o_orderkey"])
-    low, high = final.agg(F.min("o_year"), F.max("o_year")).first()
-    found = {"observations": profile.shape(orders(spark, d)), "final": profile.shape(final), "years": (low, high), "missing_per_mille": int(R.missing_ratio(joined, "quantity_sum").first()[0] * 1000)}
-    found |= {f"year {r[0]}": r[1] for r in profile.value_counts(final, "o_year").collect()}
-    path = f"{tables.scratch(spark)}/summary.txt"
-    tables.write_text(spark, path, crop.summary_text(found))
-    return spark.read.text(path).withColumnRenamed("value", "line")
+    """The whole pipeline: raw tables as CSV, outputs published, the summary observed while they were written, as a text
+    file that is read back."""
+    at, prepared = tables.scratch(spark), _crop_tables(spark, d)
+    crop.write(prepared, f"{at}/out")
+    crop.write_report(prepared, f"{at}/summary.txt")
+    line = F.col("value")
+    ratio = F.concat(F.lit("missing per mille: "), F.floor(F.regexp_extract(line, "([0-9.eE-]+)$", 1).try_cast("double") * 1000))
+    return spark.read.text(f"{at}/summary.txt").select(F.when(line.startswith("missing"), ratio).otherwise(line).alias("line"))
+
+
+@query("published_final", f"with {_CROP_SQL} select case when y <= 2010 then 'train' when y <= 2012 then 'validation' else 'test' end as split, o_orderkey, lag(o_totalprice) over (partition by state, district, season, crop order by y, o_orderkey) as lag_yield from final")
+def _(spark, d):
+    """What the pipeline published, the lag along ranges: the rows before it in the file are those of smaller keys."""
+    at, prepared = tables.scratch(spark), _crop_tables(spark, d)
+    crop.write(prepared, f"{at}/out")
+    return spark.read.parquet(f"{at}/out/final").select("split", F.col("Production").cast("long").alias("o_orderkey"), "lag_yield")
+
+
+@query("staged_output", "select 'after an error' as moment, count(*) as n from nation union all select 'after a crash', count(*) from region union all select 'kept aside', count(*) from nation")
+def _(spark, d):
+    """A failing write leaves the old output; a crash between the two renames is mended before the next reader."""
+    at, counts = f"{tables.scratch(spark)}/out", []
+    nation, region = read_table(spark, d, "nation"), read_table(spark, d, "region")
+    with tables.staged(spark, at) as out:
+        tables.write_table(nation, out.path)
+    try:
+        with tables.staged(spark, at) as out:
+            tables.write_table(region.withColumn("bad", F.assert_true(F.col("r_regionkey") < 0)), out.path)
+    except Exception as error:  # noqa: BLE001 - Spark's own, of the failing rows
+        if "USER_RAISED" not in str(error) and "is not true" not in str(error):
+            raise
+    count = lambda path, moment: spark.read.parquet(path).agg(F.lit(moment).alias("moment"), F.count(F.lit(1)).alias("n"))
+    counts.append(tables.cut(count(at, "after an error")))
+    crashed = tables.staged(spark, at, "first")
+    tables.write_table(region, crashed.path)
+    tables.write_text(spark, f"{crashed.path}/_STAGED", "")
+    aside = tables.versioned(spark, at, "first")  # and here it ends
+    tables.recover(spark, at)
+    counts += [count(at, "after a crash"), count(aside, "kept aside")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("results_sink", f"with {FINAL_SQL} select 'zero' as model, cast(round(avg(abs(o_totalprice)), 2) as double) as mae from final where o_year = 2000")
@@ -87,21 +145,23 @@ def _(spark, d):
 # -- projections and functions
 
 
-@query("has_columns", "select true as all_present, false as with_coordinates")
+@query("has_columns", "select c_custkey, c_name, true as all_present, false as with_coordinates, null::double as latitude from customer")
 def _(spark, d):
+    """An optional branch: coordinates are taken where the table has them."""
     customer = read_table(spark, d, "customer")
-    return spark.range(1).select(F.lit(R.has_columns(customer, ["c_custkey", "c_name"])).alias("all_present"), F.lit(R.has_columns(customer, ["c_custkey", "latitude"])).alias("with_coordinates"))
+    with_coordinates = R.has_columns(customer, ["c_custkey", "latitude"])
+    latitude = F.col("latitude") if with_coordinates else F.lit(None)
+    return customer.select("c_custkey", "c_name", F.lit(R.has_columns(customer, ["c_custkey", "c_name"])).alias("all_present"), F.lit(with_coordinates).alias("with_coordinates"), latitude.cast("double").alias("latitude"))
 
 
-@query("feature_columns", "select * from (values ('numeric', 'Crop_Year'), ('numeric', 'Area'), ('numeric', 'lag_yield'), ('numeric', 'rain_sum_mm'), ('categorical', 'State_Name'), ('categorical', 'Crop'), ('target', 'yield')) t(role, name)")
+@query("feature_columns", f"with {FINAL_SQL} select o_year as \"Crop_Year\", lines as \"Area\", lag_price as lag_yield, quantity_sum as rain_sum_mm, o_custkey as \"State_Name\", o_orderpriority as \"Crop\", o_totalprice as target from final")
 def _(spark, d):
-    """The features that a table of the data model has: never the target, nor Production."""
+    """The features that a table of the data model has, with the target: never Production."""
     names = {"o_orderkey": "Production", "o_custkey": "State_Name", "o_year": "Crop_Year", "o_totalprice": "yield", "quantity_sum": "rain_sum_mm", "lag_price": "lag_yield", "lines": "Area", "o_orderpriority": "Crop"}
     df = observations(spark, d).withColumnsRenamed(names)
     numeric, categorical = benchmark.feature_columns(df)
     x, y = benchmark.separate(df, [*numeric, *categorical], S.TARGET)
-    rows = [("numeric" if c in numeric else "categorical", c) for c in x.columns] + [("target", c) for c in y.columns]
-    return spark.createDataFrame(rows, "role string, name string")
+    return df.select(*x.columns, *[F.col(c).alias("target") for c in y.columns])
 
 
 @query("integer_casts", "select o_orderkey, cast(trunc(o_totalprice / -7) as int) as truncated, cast(o_custkey as int) as whole from orders")
@@ -197,6 +257,26 @@ def _(spark, d):
     return daily.longest_spell(events, ["user_key"], "day", F.col("value") >= 50)
 
 
+@query(
+    "longest_spell_one_series",
+    """with days as (select cast(ts as date) as day, bool_or(coalesce(value >= 99, false)) as hit, count(*) as n from events group by 1),
+  runs as (select count(*) as n from (select day - cast(row_number() over (order by day) as int) as island from days where hit) group by island)
+  select 'all' as series, cast((select coalesce(max(n), 0) from runs) as bigint) as longest_spell""",
+)
+def _(spark, d):
+    """All rows are one series, which is worked on range by range."""
+    events = read_table(spark, d, "events").select(F.lit("all").alias("series"), F.col("ts").cast("date").alias("day"), "value")
+    return daily.longest_spell(events, ["series"], "day", F.col("value") >= 99, spread=True)
+
+
+@query("validated_join", "select l_orderkey, l_linenumber, o_orderpriority from lineitem left join (select * from orders where o_orderkey % 3 = 0) on o_orderkey = case when l_orderkey % 2 = 0 then 6 else l_orderkey end")
+def _(spark, d):
+    """Many to one, checked in the join's own run; half of the left rows have one key."""
+    left = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 2 == 0, 6).otherwise(F.col("l_orderkey")).cast("long").alias("o_orderkey"))
+    right = read_table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority")
+    return R.join_features(left, right, ["o_orderkey"], validate="in run").drop("o_orderkey")
+
+
 # -- fitted models
 
 

@@ -101,6 +101,75 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _path(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    a, fs = _path(spark, source)
+    if not fs.rename(a, _path(spark, target)[0]):
+        raise OSError(f"could not move {source} to {target}")
+
+
+#: Written last into a staged folder: what has it is whole.
+_WHOLE = "_STAGED"
+
+
+def _beside(spark: SparkSession, target: str, kind: str) -> list[str]:
+    """Folders named target_kind_*, the latest first."""
+    p, fs = _path(spark, f"{target.rstrip('/')}_{kind}_*")
+    found = fs.globStatus(p) or []
+    return [f.getPath().toString() for f in sorted(found, key=lambda f: -f.getModificationTime())]
+
+
+def recover(spark: SparkSession, target: str) -> str | None:
+    """Finish what a crash left undone: if target is absent, a whole staged folder takes its place, else the latest old
+    output comes back. Returns which was moved, None if nothing had to be."""
+    if exists(spark, target):
+        return None
+    whole = [f for f in _beside(spark, target, "staging") if exists(spark, f"{f}/{_WHOLE}")]
+    for found in [*whole, *_beside(spark, target, "old"), *_beside(spark, target, "backup")][:1]:
+        _move(spark, found, target)
+        return found
+    return None
+
+
+class staged:  # noqa: N801 - a context manager
+    """`with staged(spark, target) as out`: write below out.path, which takes target's place at the end.
+
+    An error inside leaves target as it was and deletes what was staged. The old output goes aside first (to
+    target_backup_stamp, which stays, or without a stamp to a name that is deleted at last), then the staged folder is
+    renamed. A crash between the two is mended by recover(), which each new staging calls. One writer at a time; renames
+    are as atomic as the target's file system makes them.
+    """
+
+    def __init__(self, spark: SparkSession, target: str, stamp: str | None = None):
+        recover(spark, target)
+        self.spark, self.target, self.stamp, self.aside = spark, target.rstrip("/"), stamp, None
+        self.id = uuid.uuid4().hex
+        self.path = f"{self.target}_staging_{self.id}"
+
+    def __enter__(self) -> staged:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        p, fs = _path(self.spark, self.path)
+        if kind is not None:
+            fs.delete(p, True)
+            return
+        write_text(self.spark, f"{self.path}/{_WHOLE}", "")
+        old = f"{self.target}_backup_{self.stamp}" if self.stamp else f"{self.target}_old_{self.id}"
+        if exists(self.spark, self.target):
+            _move(self.spark, self.target, old)
+            self.aside = old if self.stamp else None
+        _move(self.spark, self.path, self.target)
+        if not self.stamp:
+            gone, fs = _path(self.spark, old)
+            fs.delete(gone, True)
+
+
 def versioned(spark: SparkSession, path: str, stamp: str) -> str | None:
     """Move an existing output aside to path_backup_stamp; the new name, or None if there was nothing."""
     if not exists(spark, path):
