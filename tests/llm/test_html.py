@@ -57,7 +57,7 @@ def test_pages_against_the_articles(spark):
 
 
 def brute(rows):
-    """Whole subtrees as strings, counted over each host's distinct pages."""
+    """Whole subtrees as strings, counted by the lists of long texts beside them."""
     spelled = {}
 
     def spell(node):
@@ -65,17 +65,36 @@ def brute(rows):
             spelled[id(node)] = (node, f"<{node.name}|" + "|".join(spell(c) if isinstance(c, H.Node) else " ".join(c.split()) for c in node.children) + ">")
         return spelled[id(node)][1]
 
-    pages, totals, counts = {}, Counter(), Counter()
+    def texts(node, linked=False):
+        """(text, length outside links) in page order, without what is dropped by name."""
+        out = []
+        for c in [] if node.drop else node.children:
+            if isinstance(c, H.Node):
+                out += texts(c, linked or node.name == "a")
+            elif c.strip():
+                out.append((" ".join(c.split()), 0 if linked or node.name == "a" else len(" ".join(c.split()))))
+        return out
+
+    pages, contents, beside = {}, defaultdict(set), defaultdict(set)
     for _, url, page in rows:
         where = (re.match(r"\w+://([^/]*)", url or "") or [None, ""])[1]
-        if (where, page or "") in pages:
-            continue
         root = H.parse(page or "")
         found = H.candidates(root)
         pages[where, page or ""] = root, found
-        totals[where] += 1
-        counts.update({(where, H.kind(x), spell(x)) for x in found})
-    recurs = lambda w, k, s: counts[w, k, s] >= max(H.RECURS[k][0], totals[w] * H.RECURS[k][1])
+        every = texts(root)
+        total = sum(n for _, n in every)
+        sizes = sorted((n for _, n in every), reverse=True)
+        least = next((n for k, n in enumerate(sizes) if sum(sizes[: k + 1]) >= 0.9 * total), 0) if total else 0
+        bulk = lambda pieces, least=least: Counter(t for t, n in pieces if n >= least)
+        contents[where].add(tuple(sorted(bulk(every).items())))
+        for x in found:
+            own = texts(x, any(x is y for z in H.subtrees(root) if z.name == "a" for y in H.subtrees(z) if y is not z))
+            if 2 * sum(n for _, n in own) <= total:
+                beside[where, H.kind(x), spell(x)].add(tuple(sorted((bulk(every) - bulk(own)).items())))
+    def recurs(w, k, s):
+        n, total = len(beside[w, k, s]), len(contents[w])
+        return n >= 2 and n >= (H.RECURS[k][0] if k == H.INSIDE else min(H.RECURS[k][0], total)) and n >= total * H.RECURS[k][1]
+
     out = {}
     for (where, page), (root, found) in pages.items():
         gone = [x for x in found if recurs(where, H.kind(x), spell(x))]
@@ -87,6 +106,39 @@ def brute(rows):
     return {i: out[(re.match(r"\w+://([^/]*)", url or "") or [None, ""])[1], page or ""] for i, url, page in rows}
 
 
+STORY = "The mayor opened the new bridge on Monday, and the town came to see it."
+
+
+@pytest.mark.parametrize("urls", [3, 24, 300])
+@pytest.mark.parametrize("form", ["<div>{s}</div>", "<div><h1>Bridge</h1><p>{s}</p><p>It took four years and cost more than was planned at first.</p></div>", "<article><h1>Bridge</h1><p>{s}</p></article>", "<p>{s}</p>"])
+def test_a_story_under_many_urls_stays(spark, urls, form):
+    """Its pages differ in a changing line; the site's menu goes all the same, and so does its footer."""
+    menu, foot = "<div><ul><li><a>Home</a><li><a>News</a></ul></div>", "<div>All rights reserved by us</div>"
+    rows = [(i, f"http://a.org/{i}", f"<body>{menu}{form.format(s=STORY)}<div>View {i}</div>{foot}</body>") for i in range(urls)]
+    rows += [(1000 + i, f"http://a.org/x{i}", f"<body>{menu}<div><p>Another report, number {i}, of what was seen and said in ward {i * 7}.</p></div>{foot}</body>") for i in range(30)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: t for i, (t, _) in brute(rows).items()}
+    assert all(STORY in got[i] for i in range(urls))
+    assert not any("Home" in t or "rights" in t for t in got.values())
+    assert all(got[1000 + i] == f"Another report, number {i}, of what was seen and said in ward {i * 7}." for i in range(30))
+
+
+def test_small_hosts_and_half_of_a_host(spark):
+    menu = "<div><a>Home</a> <a>News</a></div>"
+    rows = [(i, f"http://two.org/{i}", f"{menu}<div><p>Story {i} is told here.</p></div>") for i in range(2)]
+    rows += [(10 + i, f"http://six.org/{i}", f"{menu}<p>{STORY if i < 3 else f'Other {i} text of the day'}</p><div>View {i}</div>") for i in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: t for i, (t, _) in brute(rows).items()}
+    assert [got[0], got[1]] == ["Story 0 is told here.", "Story 1 is told here."]
+    assert all(got[10 + i].startswith(STORY) for i in range(3))
+
+
+def test_readers_beside_a_short_article_go():
+    talk = "<div class='discussion-thread'>" + "".join(f"<p>I think so too, said reader {i}, at length.</p>" for i in range(30)) + "</div>"
+    assert text(f"<article><h1>Head</h1><p>Short.</p></article>{talk}") == "Head Short."
+    assert text(f"<main><p>Short.</p></main>{talk}") == "Short."
+
+
 def test_recurring_subtrees_go(spark):
     menu = "<div class='x1'><ul><li>Home<li>News</ul></div>"
     rows = [(i, f"http://a.org/{i}", f"<body>{menu}<div><p>Story number {i}</p><p>shared line</p></div><div>Terms apply</div></body>") for i in range(12)]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import cut, in_arrow, lookup, texts_of
+from tillage.llm.common import cut, drop_cut, in_arrow, lookup, texts_of
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -38,7 +38,8 @@ OUTSIDE = {"header", "footer", "foot", "banner", "alert", "widget", "widgets", "
 PLACES = {"site", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "box", "slot", "unit", "block", "bar", "area", "wrap", "wrapper", "container", "inner", "outer", "list", "section", "widget", "banner", "links", "link", "form", "text", "item"}
 #: Start tags that end an open p, and which open siblings they end.
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: How a subtree's recurrence is judged, by where it stands: (distinct pages of its host at least, share of them at least).
+#: How a subtree's recurrence is judged, by where it stands: (different contents that it stands beside on its host at
+#: least, share of the host's contents at least).
 PLAIN, TEXT, INSIDE = 0, 1, 2
 RECURS = {PLAIN: (3, 0.0), TEXT: (3, 0.3), INSIDE: (20, 0.5)}
 # a quote opens a string only right after "=", and only if it is closed; else the value ends at white space or ">"
@@ -175,6 +176,54 @@ def candidates(root: Node) -> list[Node]:
     return found
 
 
+#: Key of the page itself among its subtrees' keys.
+PAGE = 0
+#: The longest texts of a page that make up so much of it are what it holds; the rest may change without being another.
+BULK = 0.9
+
+
+def contents(root: Node) -> dict[int, int]:
+    """Key -> what the page holds beside that subtree, as a hash, for the subtrees that have at least as much text beside
+    them as in them; PAGE -> what it holds. Text in links counts as none, that in elements dropped by name isn't there.
+
+    So pages that differ in little but a changing line hold the same, and a subtree that is most of its page's text, as a
+    story is, is never judged by that page."""
+    found = candidates(root)
+    texts: list[tuple[int, int]] = []  # (length, hash) of each piece of text, in page order
+    span: dict[int, tuple[int, int]] = {}
+    todo: list = [(root, False, False)]
+    while todo:
+        node, linked, closing = todo.pop()
+        if node.__class__ is str:
+            if piece := " ".join(node.split()):
+                texts.append((0 if linked else len(piece), xxhash.xxh64_intdigest(piece.encode("utf-8", "replace"))))
+        elif closing:
+            span[id(node)] = (span[id(node)][0], len(texts))
+        else:
+            span[id(node)] = (len(texts), len(texts))
+            if not node.drop:
+                todo.append((node, linked, True))
+                todo += [(c, linked or node.name == "a", False) for c in reversed(node.children)]
+    total, least, covered = sum(n for n, _ in texts), 0, 0
+    for n, _ in sorted(texts, reverse=True):
+        if covered >= BULK * total:
+            break
+        least, covered = n, covered + n
+    lengths, held = [0], [0]
+    for n, h in texts:
+        lengths.append(lengths[-1] + n)
+        held.append((held[-1] + h * (n >= least)) % (1 << 61))
+    out = {PAGE: held[-1]}
+    for node in found:
+        first, last = span.get(id(node), (0, 0))
+        inside = lengths[last] - lengths[first]
+        if total - inside >= inside:
+            out[key(node)] = (held[-1] - held[last] + held[first]) % (1 << 61)
+        else:
+            out.setdefault(key(node), -1)
+    return out
+
+
 def remove(root: Node, template: set[int]) -> int:
     """Marks the outermost subtrees whose key is in template as dropped; their number."""
     n, below = 0, set()
@@ -233,12 +282,28 @@ def marked(root: Node) -> list[Node]:
     return found
 
 
+def holds_prose(top: Node) -> bool:
+    """Whether an element that isn't dropped, in top or below, carries running text."""
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        if not node.drop:
+            if node.name in PROSE:
+                return True
+            todo += [c for c in node.children if c.__class__ is Node]
+    return False
+
+
 def main_text(root: Node) -> str:
-    """The text of the page without what is dropped. What stands beside the marked articles is kept only if it is longer
-    than they are: then the mark isn't the story's, as where a teaser is an article element."""
-    whole = " ".join(blocks_of(root))
+    """The text of the page without what is dropped: that of main, or of the one article, if it holds running text,
+    however much stands beside it (such as readers' talk). Several articles, or one without any running text, may be
+    teasers of a story that stands beside them: they alone are the text only if no more than that is elsewhere."""
     own = marked(root)
     inner = " ".join(x for node in own for x in blocks_of(node))
+    told = [node for node in own if holds_prose(node)]
+    if inner and told and (len(own) == 1 or any(node.name == "main" for node in told)):
+        return inner
+    whole = " ".join(blocks_of(root))
     return inner if own and len(inner) * 2 >= len(whole) else whole
 
 
@@ -247,44 +312,52 @@ def host(url):
 
 
 def templates(seen: DataFrame, recurs: dict[int, tuple[int, float]] | None = None) -> tuple[DataFrame, int]:
-    """seen (host, page, keys) -> (host, key, n), the subtrees on enough distinct pages of their host, and how many
-    subtrees there are in all. Pages with the same html count once."""
+    """seen (host, keys, beside) -> (host, key, n), the subtrees that stand beside enough different contents on their
+    host, and how many subtrees there are in all."""
     recurs = recurs or RECURS
-    pages = cut(seen.groupBy("host", "page").agg(F.any_value("keys").alias("keys")))
-    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(n for n, _ in recurs.values()))
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    all_pages = pages.count()
-    with_total = lookup(counts, totals, ["host"], "total", all_pages, F.col("key"))
-    least = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in recurs.items() for x in (k, float(v[i]))]), F.col("key").bitwiseAND(F.lit(3)).cast("int"))
-    found = with_total.where((F.col("n") >= least(0)) & (F.col("n") >= F.col("total") * least(1)))
-    return found.select("host", "key", "n"), pages.agg(F.sum(F.size("keys"))).first()[0] or 0
+    each = seen.select("host", F.inline(F.arrays_zip("keys", "beside"))).where(F.col("beside") >= 0)
+    counts = cut(each.distinct().groupBy("host", F.col("keys").alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.where(F.col("key") == PAGE).select("host", F.col("n").alias("total"))
+    size = totals.agg(F.sum("total")).first()[0] or 0
+    with_total = lookup(counts.where((F.col("key") != PAGE) & (F.col("n") >= 2)), totals, ["host"], "total", size, F.col("key"))
+    of_kind = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in recurs.items() for x in (k, float(v[i]))]), F.col("key").bitwiseAND(F.lit(3)).cast("int"))
+    inside = F.col("key").bitwiseAND(F.lit(3)) == INSIDE
+    least = F.when(inside, of_kind(0)).otherwise(F.least(of_kind(0), F.col("total")))  # on a host of two contents, two
+    found = with_total.where((F.col("n") >= least) & (F.col("n") >= F.col("total") * of_kind(1)))
+    return found.select("host", "key", "n"), seen.agg(F.sum(F.size("keys"))).first()[0] or 0
 
 
 def extract(pages: DataFrame, recurs: dict[int, tuple[int, float]] | None = None, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text, n_removed (outermost subtrees removed as the host's template).
 
-    Each page's subtree hashes are counted per host, over its distinct pages; those that recur are removed, by RECURS:
-    containers without running text from 3 pages on, running text outside a marked article if on 30 % of the host's
-    pages too, as stories may quote each other, and what stands inside a marked article from 20 pages and half of all
-    on. What HTML itself names as no content goes, and elements whose whole class or id names furniture.
+    Each page's subtree hashes are counted per host, by the different contents that they stand beside (see `contents`):
+    copies of a page, and pages that differ in a changing line only, count once, and a story is no template of the URLs
+    that have it. Those that recur are removed, by RECURS: containers without running text from 3 contents on (2 on a
+    host that has no more), running text outside a marked article if beside 30 % of the host's contents too, as stories
+    may quote each other, and what stands inside a marked article from 20 and half of all on. What HTML itself names as
+    no content goes, and elements whose whole class or id names furniture.
 
     Counting combines on the map side, no host's template is ever held in one place, and a page meets the removed
     subtrees of its own only. Null and empty html give an empty text. A null url is the host "". Repeated rows come
-    back repeated; an empty table gives no rows. Other columns of pages, whatever their names, play no part.
+    back repeated; an empty table gives no rows. Very long pages are worked on whole, in time that grows with their
+    length. Other columns of pages, whatever their names, play no part.
     """
     base = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("row", F.xxhash64("page_id", "url", "html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [list({key(x) for x in candidates(parse(page))}) for page in texts_of(b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["row", "host", "page", "keys"])
+            found = [contents(parse(page)) for page in texts_of(b.column(2))]
+            keys, beside = [list(f) for f in found], [list(f.values()) for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(beside, pa.list_(pa.int64()))], names=["row", "host", "keys", "beside"])
 
-    seen = cut(base.select("row", F.xxhash64(host(F.col("url"))).alias("host"), F.xxhash64("html").alias("page"), "html").transform(in_arrow, hashes, "row long, host long, page long, keys array<long>"))
+    seen = cut(base.select("row", F.xxhash64(host(F.col("url"))).alias("host"), "html").transform(in_arrow, hashes, "row long, host long, keys array<long>, beside array<long>"))
     found, total = templates(seen, recurs)
     found = cut(found)
-    met = lookup(seen.select("row", "host", F.explode("keys").alias("key")), found, ["host", "key"], "n", total, F.col("row"))
-    marks = met.groupBy("row").agg(F.collect_set("key").alias("template"))
+    met = lookup(seen.select("row", "host", F.explode("keys").alias("key")).where(F.col("key") != PAGE), found, ["host", "key"], "n", total, F.col("row"))
+    marks = cut(met.groupBy("row").agg(F.collect_set("key").alias("template")))
+    drop_cut(seen)
+    drop_cut(found)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
