@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillage.llm import decontaminate as D
@@ -71,3 +72,15 @@ def test_blocks(spark, monkeypatch):
     found = D.contamination(d, i, extra=["row"], max_cover=0.7).collect()
     assert len(D._blocks(i)) > 2 and sorted(map(str, found)) == want
     assert {r.id: (r.n_words, r.n_hit, r["items"]) for r in found} == brute(docs, items)
+
+
+def test_repeated_items_are_listed_once_whatever_the_blocks(spark, monkeypatch):
+    items = [(7, "one two three four"), (7, "five six seven"), (7, "one two three four"), (8, "eight nine")]
+    docs = [(1, "x one two three four y five six seven z eight nine"), (2, "five six seven"), (2, "five six seven")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (D.BLOCK_BYTES, 8):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        got = sorted((r.id, r.n_words, r.n_hit, tuple(r["items"])) for r in D.contamination(d, b).collect())
+        assert got == [(1, 12, 9, ("7", "8")), (2, 3, 3, ("7",)), (2, 3, 3, ("7",))]
+    with pytest.raises(ValueError, match="n_words"):
+        D.contamination(d.withColumn("n_words", F.lit(1)), b, extra=["n_words"])

@@ -32,16 +32,23 @@ def brute(rows, least=0.7, templates=None):
         parts = [L.terms(u) for u in (text or "").split("\n")]
         found = [(i, i + 1) for i, p in enumerate(parts) if p]
         edges = [i for i in range(len(parts) + 1) if (i < len(parts) and bool(parts[i])) != (i > 0 and bool(parts[i - 1]))]
+        runs = [[]]
         for x, y in zip(edges[::2], edges[1::2]):
             found.append((x, y))
             marks = "".join(" *"[not core.isdisjoint(p)] for p in parts[x:y])
             found += [(x + m.start(), x + m.end()) for m in re.finditer(r"\*( {0,%d}\*)*" % L.GAP, marks)]
-        for a, b in found + [(0, len(parts))] * file:
-            v = vector(Counter(w for p in parts[a:b] for w in p))
-            for name, w, scope in vectors:
+            runs[-1].append((x + marks.index("*"), x + marks.rindex("*") + 1)) if "*" in marks else runs.append([])
+        bags = [Counter(w for p in parts[a:b] for w in p) for a, b in found]
+        bags += [Counter(w for a, b in run for p in parts[a:b] for w in p) for run in runs if len(run) > 1]
+        whole = Counter(w for p in parts for w in p)
+        for k, bag in enumerate(([whole] if file else []) + bags):
+            v = vector(bag)
+            for (name, w, scope), x in zip(vectors, templates):
                 s = sum(x * w.get(k, 0) for k, x in v.items()) / (norm(v) * norm(w)) if v and (file or scope == L.ANYWHERE) else 0
-                if s >= least and s > best[1] + 1e-9:
+                if s >= least and s > best[1] + 1e-9 and L.agrees(bag, Counter(L.terms(x[1]))):
                     best = (name, s)
+            if file and k == 0 and best[0]:
+                break
         out[path] = best[0], pytest.approx(best[1], abs=1e-6) if best[0] else 0.0
     return out
 
@@ -107,6 +114,74 @@ def test_wrapped_headers_titles_and_identifiers(spark):
     assert {k: got[k][0] for k in want} == want and got == brute(rows)
 
 
+BSD = """Copyright (c) 2019, The Makers
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Copyright 2020 A Maker
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
+OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OF THIS SOFTWARE.
+"""
+
+
+def test_published_layouts_get_their_own_names(spark):
+    """Licences as they are published, as files and as comments above code; near relatives and denials are told apart."""
+    texts = {"BSD-2-Clause": BSD.format(third=""), "BSD-3-Clause": BSD.format(third=THIRD), "ISC": ISC}
+    rows, want = [], {}
+    for name, text in texts.items():
+        comment = "\n".join(f" * {line}".rstrip() for line in text.split("\n"))
+        for path, content in ((f"{name}/LICENSE", text), (f"{name}-titled/LICENSE.txt", f"{name.replace('-Clause', ' Clause License')}\n\n{text}"), (f"{name}-src/a.c", f"/*\n{comment}\n */\nint main() {{}}")):
+            rows.append((path, content))
+            want[path] = name
+    said = {
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY 3.0.": None, "It is not released under the MIT License.": None, "Released under the MIT License.": "MIT", "Licensed under the GPL version 2 only.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under the Apache License, Version 1.1.": None,
+        "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+    }
+    for k, (text, name) in enumerate(said.items()):
+        rows.append((f"n/{k}.txt", f"a first line\n{text}\nand a last one"))
+        want[f"n/{k}.txt"] = name
+    rows += [(f"z/{i}", f"other prose number {i}\nand more of the same") for i in range(200)]
+    got = scanned(spark, rows)
+    assert {k: got[k][0] for k in want} == want and got == brute(rows)
+
+
 @pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
 def test_whole_license_files(spark):
     names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}

@@ -172,7 +172,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     if a limit is given and over max_words words or over the share max_cover of all words are hit. Without hits it is
     the text itself. Null and empty texts have no words; items without words match nothing; a null item_id counts as
     the text "null". `extra` columns are carried along.
+
+    An item_id that stands in several rows has the windows of all of them and is listed once, however many blocks the
+    benchmark takes. Rows of docs that repeat come back repeated; empty docs give no rows, an empty benchmark no hits. An
+    extra column may not have the name of a result column: that raises ValueError.
     """
+    if clash := {"id", "n_words", "n_hit", "items", "cleaned"} & set(extra or []):
+        raise ValueError(f"extra columns have names of result columns: {sorted(clash)}")
     spark = docs.sparkSession
     benchmark = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), whole_text().alias("text"))
     extra = [c for c in extra or [] if c not in (id_col, text_col)]
@@ -228,7 +234,7 @@ def _in_one_pass(automaton, limits: tuple, xs: list[str]):
                 hit = sum(e - s for s, e in spans)
                 counts.append(len(words))
                 hits.append(hit)
-                found.append(sorted(a.item_ids[k] for k in numbers))
+                found.append(sorted({a.item_ids[k] for k in numbers}))
                 over = _over(hit, len(words), limits)
                 while spans and not over:  # what is left may form a window across a cut
                     text = _cut_out(text, spans)

@@ -66,7 +66,6 @@ TEMPLATES = [
         its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
         ANYWHERE,
     ),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ANYWHERE),
     (
         "ISC",
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
@@ -82,6 +81,17 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0.", ANYWHERE),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ANYWHERE),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ANYWHERE),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", ANYWHERE),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", ANYWHERE),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", ANYWHERE),
+    ("GPL-2.0", "Licensed under the GPL version 2 only.", ANYWHERE),
+    ("GPL-3.0", "Licensed under the GPL version 3 only.", ANYWHERE),
+    (
+        "EPL-2.0",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0/""",
+        ANYWHERE,
+    ),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0.", ANYWHERE),
     ("MIT", "MIT License", FILES),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", FILES),
@@ -102,6 +112,13 @@ of the License, or (at your option) any later version. This program is distribut
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} License for more details. You should have received a copy of the GNU {0} License along with this program."""
 _GNU = [("GPL-2.0", "General Public", "2"), ("GPL-3.0", "General Public", "3"), ("LGPL-2.1", "Lesser General Public", "2.1"), ("LGPL-3.0", "Lesser General Public", "3"), ("AGPL-3.0", "Affero General Public", "3")]
 TEMPLATES += [(name, text, ANYWHERE) for name, words, version in _GNU for text in (_GNU_HEADER.format(words, version), _GNU_HEADER.format(words, version).split(" This program is dist")[0])]
+# The disclaimer that ends the licences of one family.
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+TEMPLATES += [(name, f"{text} {_BSD_END}", ANYWHERE) for name, text, _ in TEMPLATES if name in ("BSD-2-Clause", "BSD-3-Clause") and len(text) > 100]
 # Identifiers that a file may state in one line.
 IDENTIFIERS = [
     "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
@@ -115,6 +132,21 @@ _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _IDENTIFIER = re.compile(r"spdx-license-identifier:[ \t(]*([a-z0-9.+\-]+)[^\n]*")
 #: Lines without a core word that a run of lines may bridge.
 GAP = 2
+#: Words that tell licences of one family apart: a unit and its template have the same of them.
+DECISIVE = {"affero", "endorse", "lesser", "nc", "nd", "sa"}
+#: Words that turn a notice into its contrary, if it has at most NOTICE words and the template lacks them.
+DENYING, NOTICE = {"no", "not", "never", "neither", "isn", "unlike", "without"}, 40
+_VERSION = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
+
+
+def agrees(unit: dict[str, int], template: dict[str, int]) -> bool:
+    """Whether a unit near a template doesn't differ from it in what decides: the words of DECISIVE, version numbers of
+    the template, and denials."""
+    if DECISIVE.intersection(template) != DECISIVE.intersection(unit):
+        return False
+    if any(_VERSION.fullmatch(t) and t not in unit for t in template):
+        return False
+    return len(unit) > NOTICE or not DENYING.intersection(unit) - DENYING.intersection(template)
 
 
 def terms(text: str) -> list[str]:
@@ -138,6 +170,7 @@ class Scorer:
         self.files = np.array([x[2] == FILES for x in templates], bool)
         self.idf = {t: math.log((n + 1) / (frequency.get(t, 0) + 1)) + 1 for x in templates for t in set(terms(x[1]))}
         self.foreign = math.log(n + 1) + 1
+        self.counts = [Counter(terms(x[1])) for x in templates]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for i, x in enumerate(templates):
             counts = Counter(terms(x[1]))
@@ -182,14 +215,24 @@ class Scorer:
         if not norm:
             return None, 0.0
         found = np.array(dots) if file else np.where(self.files, 0.0, dots)
-        i = int(np.argmax(found))
-        score = min(found[i] / math.sqrt(norm), 1.0)
-        return (self.names[i], score) if score >= least else (None, score)
+        size = math.sqrt(norm)
+        for i in np.argsort(-found, kind="stable"):
+            score = min(found[i] / size, 1.0)
+            if score < least:
+                break
+            if agrees(counts, self.counts[i]):
+                return self.names[i], score
+        return None, float(min(found.max() / size, 1.0))
 
     def of_text(self, text: str, least: float, file: bool) -> tuple[str | None, float]:
-        """The best of the text's units, earlier units first among ties."""
+        """The best of the text's units, earlier units first among ties; of a licence file the whole text, if that is near
+        enough to a template."""
         if self.core(least, file).isdisjoint(terms(text)):  # no unit can reach least
             return None, 0.0
+        if file:
+            name, score = self.best(Counter(terms(text)), least, True)
+            if name:
+                return name, score
         name, score = None, 0.0
         for unit in units(text, self.core(least, file), file):
             found, s = self.best(unit, least, file)
@@ -200,16 +243,18 @@ class Scorer:
 
 def units(text: str, core: set[str], file: bool) -> Iterator[dict[str, int]]:
     """Word counts of each unit that has a core word: lines; runs of lines from one with a core word to another, with at
-    most GAP lines without between any two; blocks, parted by lines without words; and of a licence file the whole text.
-    A notice wrapped over lines is a run, whatever stands around it."""
+    most GAP lines without between any two; blocks, parted by lines without words; runs of blocks that all have core
+    words, as a licence of several paragraphs; and of a licence file the whole text. A notice wrapped over lines is a
+    run, whatever stands around it."""
     whole: Counter = Counter()
     block: list[Counter] = []
     seeds: list[int] = []
+    run: list[Counter] = []  # blocks with core words, one after another
 
-    def joined(begin: int, end: int) -> Iterator[Counter]:
-        if end - begin > 1:
+    def joined(parts: list[Counter]) -> Iterator[Counter]:
+        if len(parts) > 1:
             total: Counter = Counter()
-            for p in block[begin:end]:
+            for p in parts:
                 total.update(p)
             yield total
 
@@ -218,10 +263,17 @@ def units(text: str, core: set[str], file: bool) -> Iterator[dict[str, int]]:
         for k in range(len(seeds)):
             if k + 1 == len(seeds) or seeds[k + 1] - seeds[k] > GAP + 1:
                 if seeds[k] + 1 - seeds[begin] < len(block):
-                    yield from joined(seeds[begin], seeds[k] + 1)
+                    yield from joined(block[seeds[begin] : seeds[k] + 1])
                 begin = k + 1
         if seeds:
-            yield from joined(0, len(block))
+            yield from joined(block)
+            total: Counter = Counter()
+            for p in block[seeds[0] : seeds[-1] + 1]:
+                total.update(p)
+            run.append(total)
+        elif block:
+            yield from joined(run)
+            run.clear()
         seeds.clear()
         block.clear()
 
@@ -237,6 +289,7 @@ def units(text: str, core: set[str], file: bool) -> Iterator[dict[str, int]]:
             yield counts
         block.append(counts)
     yield from end()
+    yield from joined(run)
     if file and not core.isdisjoint(whole):
         yield whole
 
