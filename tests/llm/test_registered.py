@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.test_decontaminate import brute as brute_hits
+from tests.llm.test_divergence import brute as brute_divergence, rows_of as divergence_of
 from tests.llm.test_linededup import brute as brute_lines
+from tests.llm.test_prefixtrie import brute as brute_trie, rows_of as nodes_of
 from tests.llm.test_simhash import brute as brute_groups
 from tillage.llm import queries as Q
 
@@ -24,6 +26,9 @@ COLUMNS = {
     "op8_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9_lines": {"doc_id": "bigint", "n_lines": "bigint", "n_removed": "bigint", "text_sha256": "string"},
     "op10_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op11_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_lattice": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op13_trie": {**dict.fromkeys(["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"], "bigint"), "ends_sha256": "string"},
 }
 ITEM = " ".join(f"bench{i}" for i in range(12))
 ROWS = [
@@ -33,6 +38,8 @@ ROWS = [
     (7, "12 %%", None, "s1"), (8, "the cat and the hat sat there\nLicensed under the Apache License, Version 2.0.", "en", "s1"), (None, "the hat of the cat", "en", "s0"),
 ]
 
+TALKS = [(c, t, "user" if t % 2 else None, f"turn {t}" if c % 2 else None) for c in range(12) for t in range(c % 4 + 1)] + [(3, None, "x", "first"), (None, 1, "x", "y")]
+
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
@@ -47,6 +54,7 @@ def tables(spark, tmp_path_factory):
     pages = [(1, "http://a.org/1", "<nav>menu</nav><article><h1>T</h1><p>a&amp;b</p></article>"), (2, None, None), (2, None, None), (3, "u", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([(i, [float(i % 7), 1.0, float(-i)]) for i in range(45)] + [(60, None)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame(TALKS, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
@@ -64,7 +72,7 @@ def test_columns_and_rows(results, name):
 
 
 def test_digests_and_answers(spark, results):
-    got = {name: {r.doc_id: r for r in results[name].collect()} for name in COLUMNS if name not in ("op2_html", "op10_neighbours")}
+    got = {name: {r.doc_id: r for r in results[name].collect()} for name in COLUMNS if name not in ("op2_html", "op10_neighbours", "op11_divergence", "op13_trie")}
     texts = [(i, t) for i, t, *_ in ROWS if i is not None]
     for i, (n, hit, items) in brute_hits(texts, [(1, ITEM), (2, "zz")]).items():
         r = got["op4_decontaminate"][i]
@@ -88,11 +96,18 @@ def test_digests_and_answers(spark, results):
     assert secret.is_secret and secret.value_sha256 == sha("97ffa88d7c5f5655e365004e29bd123cdabd722a") and got["op3_tokens"][3].n_tokens == 0
     pages = sorted((r.page_id, r.url, r.text, r.n_chars) for r in results["op2_html"].where("page_id <> 2").collect())
     assert pages == [(1, "http://a.org/1", "T a&b", 5), (3, "u", "", 0)] and [r.text for r in results["op2_html"].where("page_id = 2").collect()] == ["", ""]
+    assert divergence_of(results["op11_divergence"]) == brute_divergence([*[(i, t, lang, s) for i, t, lang, s in ROWS], ROWS[2]])
+    assert nodes_of(results["op13_trie"]) == brute_trie(TALKS)
+    learnt = [r for r in [*ROWS, ROWS[2]] if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    for i, text, *_ in ROWS:
+        r = got["op12_lattice"][i]
+        assert (r.n_tokens, r.held_out) == (1 + len((text or "").encode().split()), i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
+        assert r.train_tokens == sum(1 + len((t or "").encode().split()) for _, t, *_ in learnt) and r.score < 0 and r.base_score < 0 and (r.held_out or r.n_known == r.n_tokens)
     near = results["op10_neighbours"].collect()
     assert {r.query_id for r in near} == {0, 20, 40} and all(sorted(x["rank"] for x in near if x.query_id == q) == list(range(1, 21)) for q in (0, 20, 40))
 
 
 def test_empty_tables(spark, tables, tmp_path):
-    for name in ("documents", "benchmark", "pages", "embeddings"):
+    for name in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{tables}/{name}.parquet").where(F.lit(False)).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert {name: f(spark, str(tmp_path)).count() for name, f in Q.QUERIES.items()} == dict.fromkeys(Q.QUERIES, 0)

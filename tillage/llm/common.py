@@ -73,7 +73,9 @@ def broadcast(spark: SparkSession, value: Any, what: str):
     n = len(pickle.dumps(value, protocol=5))
     if n > MAX_BROADCAST_BYTES:
         raise ValueError(f"{what}: {n} bytes are more than may be broadcast ({MAX_BROADCAST_BYTES})")
-    return spark.sparkContext.broadcast(value)
+    sent = spark.sparkContext.broadcast(value)
+    release()  # of the driver: the pickles are gone
+    return sent
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,6 +98,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release()
     return spark.read.schema(df.schema).parquet(path)
 
 
