@@ -4,6 +4,7 @@ import unicodedata
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillage.llm import bpe
@@ -82,3 +83,12 @@ def test_operator(spark, library):
     assert row.tokens == want and row.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
     assert {r.id: r.decoded for r in bpe.decode(bpe.encode(df, PATH), PATH).collect()}[1] == library.decode(want, skip_special_tokens=False)
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a text", 0.5)], "doc_id long, text string, n_tokens double")
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.encode(df, PATH, extra=["n_tokens"])
+    assert bpe.encode(df.withColumnRenamed("n_tokens", "tokens"), PATH, extra=["tokens"], ids=False).columns == ["id", "n_tokens", "tokens"]
+    with pytest.raises(ValueError, match="decoded"):
+        bpe.decode(bpe.encode(df, PATH).withColumn("decoded", F.lit(1)), PATH)

@@ -67,3 +67,9 @@ def test_many_languages(spark):
     assert len(model.languages) == 30
     got = L.identify(df, model, extra=["lang"]).collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a text", 0.5)], "doc_id long, text string, score double")
+    with pytest.raises(ValueError, match="score"):
+        L.identify(df, L.Model([], {}), extra=["score"])

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,25 @@ def test_a_segment_of_many_lines_is_split(spark, monkeypatch):
     assert largest[0] >= 100_000 and largest[1] < 8 * 16 * L.HOT_LINES
     got = {r.id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(8), edits=2).where("id >= 2000").collect()}
     assert got == dict.fromkeys(range(2000, 2050), "")
+
+
+def test_distance_of_long_lines(monkeypatch):
+    """Edits at both ends of 1 MB, far apart, one too many; blocks and forgotten moves change nothing."""
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefghij klmno") for _ in range(1_000_000))
+    begin = time.process_time()
+    assert L.within("Z" + line, line + "Q", 2) and not L.within("Z" + line, line + "Q", 1)
+    assert L.within(line, "Z" + line[:500_000] + line[500_001:], 2) and not L.within(line, "Z" + line[:500_000] + line[500_001:-1] + "QQ", 2)
+    assert time.process_time() - begin < 4
+    monkeypatch.setattr(L, "_AT_ONCE", 3)
+    monkeypatch.setattr(L, "MAX_MOVES", 20)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 20))) for _ in range(2))
+        for edits in (0, 1, 2, 3, 7):
+            assert L.within(a, b, edits) == (distance(a, b) <= edits)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a line")], SCHEMA).withColumn("n_lines", F.lit(1))
+    with pytest.raises(ValueError, match="n_lines"):
+        L.dedup_lines(df, extra=["n_lines"])

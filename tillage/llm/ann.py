@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from tillage.llm.common import broadcast, cut, drop_cut, in_arrow, shared_dir
 
-#: Bytes of query vectors that are sent to the executors at a time; the driver holds one such block.
-QUERY_BLOCK_BYTES = 4 << 20
+#: Bytes of query vectors and of a task's answers to them: of a block that is sent to the executors; the driver holds one.
+QUERY_BLOCK_BYTES = 16 << 20
 #: Vectors that are scanned at a time, and by one task at least.
 ROWS = 8192
 #: Of these, queries that are estimated together, and pairs whose exact products are taken together: bound a task's memory.
@@ -211,18 +211,26 @@ def _scan(block, codes: Codes, dims: int, k: int):
 def search(index: DataFrame, codes: Codes, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of the index, ties to smaller ids, the query's own id left out.
 
-    queries are rows (id, v), an id once. They go to the executors in blocks of QUERY_BLOCK_BYTES at most, one after the
-    other; each block scans every row of the index and its answers are written before the next is fetched. A task
-    sends on k rows for each query, of which a window keeps the k best.
+    queries are rows (id, v), an id once. They are written once, by blocks of about QUERY_BLOCK_BYTES, of which each is
+    read by itself and goes to the executors after the one before; each block scans every row of the index and its
+    answers are written before the next is fetched. A task sends on k rows for each query, of which a window keeps the
+    k best.
     """
     spark, dims = index.sparkSession, len(codes.centre)
-    blocks = max(1, -(-queries.count() * dims * 8 // QUERY_BLOCK_BYTES))
+    queries = cut(queries.select("id", "v"))
+    blocks = max(1, -(-queries.count() * (dims * 8 + k * 16) // QUERY_BLOCK_BYTES))
+    by_block = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if blocks > 1:
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int"))
+        dealt.repartition("block").write.partitionBy("block").parquet(by_block)
+        drop_cut(queries)
+        queries = spark.read.schema(dealt.schema).parquet(by_block)
     tasks = max(1, min(index.rdd.getNumPartitions(), -(-index.count() // ROWS)))
     rows, path = index.coalesce(tasks), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     spark.createDataFrame([], ANSWER).write.parquet(path)
     for b in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == b).select("id", "v").toArrow()
+        got = (queries.where(F.col("block") == b) if blocks > 1 else queries).select("id", "v").toArrow()
         ids = got.column(0).to_numpy()
         if not len(ids):
             continue
@@ -232,6 +240,7 @@ def search(index: DataFrame, codes: Codes, queries: DataFrame, k: int = 20) -> D
         ranked = found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
         ranked.write.mode("append").parquet(path)
         block.destroy()
+    drop_cut(queries)
     return spark.read.schema(ANSWER).parquet(path)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tillage.llm.common import broadcast, in_arrow, texts_of, whole_text
+from tillage.llm.common import broadcast, in_arrow, no_clash, texts_of, whole_text
 
 NONE = np.int64(1) << 62
 #: The library's own normal form: its Unicode orders other marks than Python's. Below U+0300 nothing composes.
@@ -271,7 +271,10 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
     The whole text is encoded without added special tokens; special tokens written in the text are recognised. Null
     and empty texts have no tokens. The vocabulary is read once, on the driver, and broadcast: its size is fixed.
+    Repeated rows come back repeated, an empty table gives no rows. An extra column may not have the name of a result
+    column: that raises ValueError.
     """
+    no_clash([c for c in extra or [] if c != id_col], {"id", "n_tokens", *["tokens"] * ids, *["ids_sha256", "decoded_sha256"] * digests})
     vocabulary = broadcast(docs.sparkSession, Vocabulary.read(vocabulary_path), "the tokenizer's vocabulary")
     extra = [c for c in extra or [] if c != id_col]
 
@@ -307,7 +310,9 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, tokens_col: str = "tokens") -> DataFrame:
-    """encoded with a column decoded: the tokens' strings joined by spaces. Null tokens decode to null."""
+    """encoded with a column decoded: the tokens' strings joined by spaces. Null tokens decode to null. A column of
+    encoded may not be named decoded: that raises ValueError."""
+    no_clash(encoded.columns, {"decoded"})
     vocabulary = broadcast(encoded.sparkSession, Vocabulary.read(vocabulary_path), "the tokenizer's vocabulary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,12 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(tidy, schema)
 
 
+def no_clash(extra: list[str] | None, results: set[str]) -> None:
+    """Refuses extra columns that would come back under a result column's name."""
+    if clash := results & set(extra or []):
+        raise ValueError(f"extra columns have names of result columns: {sorted(clash)}")
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """Strings one at a time, null as empty: a batch of long texts is never held twice."""
     for x in column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, bytes_of, cut, in_arrow, whole_text
+from tillage.llm.common import broadcast, bytes_of, cut, in_arrow, no_clash, whole_text
 
 #: A-Z to a-z; 0-9, a-z and all bytes of non-ASCII characters stay; the rest parts words.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -177,8 +177,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     benchmark takes. Rows of docs that repeat come back repeated; empty docs give no rows, an empty benchmark no hits. An
     extra column may not have the name of a result column: that raises ValueError.
     """
-    if clash := {"id", "n_words", "n_hit", "items", "cleaned"} & set(extra or []):
-        raise ValueError(f"extra columns have names of result columns: {sorted(clash)}")
+    no_clash(extra, {"id", "n_words", "n_hit", "items", "cleaned"})
     spark = docs.sparkSession
     benchmark = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), whole_text().alias("text"))
     extra = [c for c in extra or [] if c not in (id_col, text_col)]

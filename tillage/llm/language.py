@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, bytes_of, in_arrow, whole_text
+from tillage.llm.common import broadcast, bytes_of, in_arrow, no_clash, whole_text
 
 #: Longest context in bytes.
 ORDER = 4
@@ -221,10 +221,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Per document: id, lang_pred, score and the extra columns; the whole text is scored.
 
     Null, empty and letterless texts, and all texts under a model without languages, give `und` and 0. Repeated rows
-    come back repeated, a null id stays null, an empty table gives no rows; extra columns may have any names.
+    come back repeated, a null id stays null, an empty table gives no rows. An extra column may not have the name of a
+    result column: that raises ValueError.
     """
     shared = broadcast(docs.sparkSession, model, "the language model")
     extra = [c for c in extra or [] if c != id_col]
+    no_clash(extra, {"id", "lang_pred", "score"})
     named = [f"x{i}" for i in range(len(extra))]
     own = [i for i, c in enumerate(extra) if c == text_col]  # the text is sent once, also where it is carried along
 

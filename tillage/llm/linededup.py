@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import broadcast, cut, in_arrow, lookup, texts_of, whole_text
+from tillage.llm.common import broadcast, cut, in_arrow, lookup, no_clash, texts_of, whole_text
 from tillage.llm.components import connected_components
 
 #: Edits between near-duplicate lines, by the shorter line's characters: (from that many on, edits). Shorter ones are
@@ -198,37 +198,103 @@ class Keys:
         return [*rows, *[x | 1 for x in rows if not x & 1]]
 
 
+def _moved(levels: tuple[int, ...], match: int, valid: int) -> tuple[int, ...]:
+    """The levels one character on: a match keeps a level, each edit leads to the next one."""
+    new = [levels[0] & match & valid]
+    for e in range(1, len(levels)):
+        new.append(((levels[e] & match) | levels[e - 1] | (levels[e - 1] >> 1) | (new[e - 1] << 1)) & valid)
+    return tuple(new)
+
+
+class _Moves:
+    """Moves away from the ends of both lines, where all places of the band are valid, remembered: few occur for few
+    edits, so that a long line costs a lookup a character. More than MAX_MOVES are forgotten at once. dead is where the
+    edits do not suffice."""
+
+    def __init__(self, edits: int):
+        self.band, self.known, self.n = (1 << (2 * edits + 1)) - 1, {}, 0
+        self.dead = {None: (0,) * (edits + 1)}
+
+    def at(self, levels: tuple[int, ...]) -> dict:
+        return self.known.setdefault(levels, {None: levels}) if levels[-1] else self.dead
+
+    def add(self, node: dict, match: int) -> dict:
+        to = _moved(node[None], match, self.band)
+        self.n += 1
+        if self.n > MAX_MOVES:
+            self.known, self.n = {}, 0
+            return self.at(to)
+        node[match] = self.at(to)
+        return node[match]
+
+
+#: Remembered moves for a number of edits, in each worker.
+MAX_MOVES = 100_000
+_MOVES: dict[int, _Moves] = {}
+#: Characters whose matches are found at a time.
+_AT_ONCE = 1 << 16
+
+
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _alike(equal: np.ndarray) -> int:
+    """How many are true from the first on."""
+    first = int(equal.argmin()) if len(equal) else 0
+    return first if len(equal) and not equal[first] else len(equal)
+
+
+def _matches(a: np.ndarray, padded: np.ndarray, begin: int, end: int, width: int) -> list[int]:
+    """For characters begin to end of a: bit d says that it equals padded[i + d]."""
+    shifted = np.ndarray((width, end - begin), np.uint32, padded, 4 * begin, (4, 4))
+    rows = np.packbits(shifted == a[begin:end], axis=0, bitorder="little")
+    out = rows[0].tolist()
+    for j, row in enumerate(rows[1:], 1):
+        out = [x | y << 8 * j for x, y in zip(out, row.tolist())]
+    return out
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most `edits`: bit d of level e says that the prefixes of i and i + d - edits
-    characters differ by at most e edits, so a level is a word of 2 * edits + 1 bits that moves along the diagonal."""
+    characters differ by at most e edits, so a level is a word of 2 * edits + 1 bits that moves along the diagonal.
+    A character costs as much in a long line as in a short one."""
     if abs(len(a) - len(b)) > edits:
         return False
-    low, n, m = 0, len(a), len(b)
-    while low < n and low < m and a[low] == b[low]:
-        low += 1
-    while n > low and m > low and a[n - 1] == b[m - 1]:
-        n, m = n - 1, m - 1
-    a, b, n, m = a[low:n], b[low:m], n - low, m - low
+    if a == b:
+        return True
+    x, y = _codes(a), _codes(b)
+    short = min(len(x), len(y))
+    low = _alike(x[:short] == y[:short])
+    same = _alike((x[len(x) - short + low :] == y[len(y) - short + low :])[::-1])
+    n, m = len(x) - low - same, len(y) - low - same
     if not n or not m:
         return max(n, m) <= edits
-    places: dict[str, int] = {}
-    for j, c in enumerate(b):
-        places[c] = places.get(c, 0) | 1 << (j + edits)
-    band = (1 << (2 * edits + 1)) - 1
-    levels = [((1 << (e + 1)) - 1) << edits & band for e in range(edits + 1)]
-    levels = [x & ((1 << (m + edits + 1)) - 1) for x in levels]
-    for i in range(n):
-        match = (places.get(a[i], 0) >> i) & band
-        top = m - i - 1 + edits
-        valid = band & ((1 << (top + 1)) - 1) if top >= 0 else 0
-        if i + 1 < edits:
-            valid &= ~((1 << (edits - i - 1)) - 1)
-        new = [levels[0] & match & valid]
-        for e in range(1, edits + 1):
-            new.append(((levels[e] & match) | levels[e - 1] | (levels[e - 1] >> 1) | (new[e - 1] << 1)) & valid)
-        levels = new
-        if not levels[edits]:
-            return False
+    x, y = x[low : low + n], y[low : low + m]
+    padded = np.full(max(n, m) + 2 * edits + 1, 0xFFFFFFFF, np.uint32)  # no character
+    padded[edits : edits + m] = y
+    moves = _MOVES.setdefault(edits, _Moves(edits))
+    band, dead, inner = moves.band, moves.dead, range(edits - 1, m - edits)  # where no place of the band is outside of b
+    levels = tuple(((1 << (e + 1)) - 1) << edits & band & ((1 << (m + edits + 1)) - 1) for e in range(edits + 1))
+    for begin in range(0, n, _AT_ONCE):
+        words = _matches(x, padded, begin, min(begin + _AT_ONCE, n), 2 * edits + 1)
+        i, end = begin, begin + len(words)
+        while i < end:
+            if i in inner:
+                node, stop = moves.at(levels), min(end, inner.stop)
+                for match in words[i - begin : stop - begin]:
+                    node = node.get(match) or moves.add(node, match)
+                    if node is dead:
+                        return False
+                levels, i = node[None], stop
+            else:
+                top = m - i - 1 + edits
+                valid = band & ((1 << (top + 1)) - 1) if top >= 0 else 0
+                if i + 1 < edits:
+                    valid &= ~((1 << (edits - i - 1)) - 1)
+                levels, i = _moved(levels, words[i - begin], valid), i + 1
+                if not levels[edits]:
+                    return False
     return bool(levels[edits] >> (m - n + edits) & 1)
 
 
@@ -474,9 +540,11 @@ def dedup_lines(docs: DataFrame, edits: Edits = EDITS, id_col: str = "doc_id", t
     number for edits every pair of lines is compared by it, whatever its length.
 
     Null text stays null, an empty one empty; a null id comes first; rows that agree in id and text are treated alike and
-    come back repeated; an empty table gives no rows; extra columns may have any names. A line is known by 128 bits.
+    come back repeated; an empty table gives no rows. A line is known by 128 bits. An extra column may not have the name
+    of a result column: that raises ValueError.
     """
     extra = [c for c in extra or [] if c not in (id_col, text_col)]
+    no_clash(extra, {"id", "text", "n_lines", "n_removed"})
     source = _source(docs, id_col, text_col, extra)
     seen = cut(_occurrences(source, min_chars))
     place, own = F.struct("id", "version", "line_no"), F.struct("key", "key2")
