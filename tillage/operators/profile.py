@@ -12,26 +12,83 @@ from tillage.operators.ordered import along
 from tillage.sources.tables import cut, release
 
 
+#: Kinds whose values are whole numbers, or become them without two becoming one.
+_WHOLE = {
+    **{k: lambda c: c.cast("long") for k in ("tinyint", "smallint", "int", "bigint", "boolean")},
+    "date": lambda c: F.unix_date(c).cast("long"),
+    "timestamp": lambda c: F.unix_micros(c),
+}
+#: Values that a bitmap covers, and bytes that it takes; bytes that a value by itself takes in an exchange.
+_BITMAP_VALUES, _BITMAP_BYTES, _VALUE_BYTES = 32768, 4096, 24
+
+
+def _dense(df: DataFrame, whole: dict[str, Column]) -> dict[str, tuple[int, int]]:
+    """Of columns of whole numbers, (rows, nulls) of those whose values take less room as bitmaps. One pass."""
+    if not whole:
+        return {}
+    asked = [f(v).alias(f"{name}{i}") for i, v in enumerate(whole.values()) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("d", F.approx_count_distinct))]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *asked).first()
+    out = {}
+    for i, c in enumerate(whole):
+        low, high = seen[f"lo{i}"], seen[f"hi{i}"]
+        if low is not None and ((high - low) // _BITMAP_VALUES + 2) * _BITMAP_BYTES < seen[f"d{i}"] * _VALUE_BYTES:
+            out[c] = (seen["rows"], seen["rows"] - seen[f"n{i}"])
+    return out
+
+
+def _bitmap_profile(df: DataFrame, whole: dict[str, Column], counts: dict[str, tuple[int, int]]) -> DataFrame:
+    """The rows of column_profile for dense columns: a bitmap for each 32768 values in a row, which tasks combine."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), whole[c].alias("v")) for c in counts]))
+    values = df.select(pairs.alias("x")).select("x.column_name", "x.v").where("v is not null")
+    bits = values.groupBy("column_name", F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+    found = bits.groupBy("column_name").agg(F.sum(F.bitmap_count("bits")).alias("distinct_values"))
+    missing = F.create_map(*[F.lit(x) for c, (_, k) in counts.items() for x in (c, k)])[F.col("column_name")]
+    rows = F.create_map(*[F.lit(x) for c, (n, _) in counts.items() for x in (c, n)])[F.col("column_name")]
+    return found.select("column_name", missing.cast("long").alias("missing"), (missing.cast("double") / rows).alias("missing_ratio"), "distinct_values")
+
+
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each column: nulls, null ratio (null for an empty table) and exact distinct values (null not counted,
     0.0 and -0.0 one value).
 
     Values are counted by (column, value) first, so that the distinct count is two combinable aggregations and no
-    task ever holds a set of values.
+    task ever holds a set of values. Values go as whole numbers, floating ones or strings, by their type. Columns of
+    whole numbers that lie close together by their range and about how many they are, which a first pass tells, go as
+    bitmaps.
     """
     if not columns:
         raise ValueError("no columns to profile")
     kinds = dict(df.dtypes)
-    plain = lambda c: F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(c)  # noqa: E731 - no sign on zero
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), plain(c).cast("string").alias("v")) for c in columns]))
-    by_value = df.select(pairs.alias("x")).groupBy("x.column_name", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    whole = {c: _WHOLE[kinds[c]](F.col(c)) for c in columns if kinds[c] in _WHOLE}
+    dense = _dense(df, whole)
+    parts = [_bitmap_profile(df, whole, dense)] if dense else []
+    if others := [c for c in columns if c not in dense]:
+        parts.append(_value_profile(df, others, kinds, whole))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def _value_profile(df: DataFrame, columns: Sequence[str], kinds: dict[str, str], whole: dict[str, Column]) -> DataFrame:
+    """The rows of column_profile by values of their own types; one of w, r and t holds a value."""
+    empty = {"w": F.lit(None).cast("long"), "r": F.lit(None).cast("double"), "t": F.lit(None).cast("string")}
+
+    def typed(c: str) -> Column:
+        if c in whole:
+            value = {"w": whole[c]}
+        elif kinds[c] in ("double", "float"):
+            value = {"r": F.col(c).cast("double") + F.lit(0.0)}  # no sign on zero
+        else:
+            value = {"t": F.hex(c) if kinds[c] == "binary" else F.col(c).cast("string")}
+        return F.struct(F.lit(c).alias("column_name"), *[v.alias(k) for k, v in (empty | value).items()])
+
+    by_value = df.select(F.explode(F.array(*map(typed, columns))).alias("x")).groupBy("x.column_name", "x.w", "x.r", "x.t").agg(F.count(F.lit(1)).alias("n"))
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    seeded = by_value.withColumn("seed", F.lit(0)).unionByName(names.select("column_name", F.lit(None).cast("string").alias("v"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("seed")))
-    nulls = F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0))
+    seeded = by_value.unionByName(names.select("column_name", *[v.alias(k) for k, v in empty.items()], F.lit(0).cast("long").alias("n")))
+    is_null = F.col("w").isNull() & F.col("r").isNull() & F.col("t").isNull()
+    nulls = F.sum(F.when(is_null, F.col("n")).otherwise(0))
     return seeded.groupBy("column_name").agg(
         nulls.cast("long").alias("missing"),
         F.try_divide(nulls.cast("double"), F.sum("n")).alias("missing_ratio"),
-        F.count("v").alias("distinct_values"),
+        F.count_if(~is_null).alias("distinct_values"),
     )
 
 

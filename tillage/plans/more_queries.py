@@ -45,6 +45,33 @@ def _(spark, d):
     return read_table(spark, at, "region")
 
 
+@query("raw_copy_folder", "select o_orderkey, o_custkey, o_totalprice from orders")
+def _(spark, d):
+    """Many files below folders, copied by tasks; a file is as long as it was, and has its checksum."""
+    at = tables.scratch(spark)
+    tables.write_table(read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartition(12), f"{at}/a/orders.parquet")
+    copied = tables.copy_raw(spark, f"{at}/a", f"{at}/b")
+    if not copied.where("bytes > 0 and length(sha256) = 64 and endswith(name, '.parquet')").count() >= 1:
+        raise OSError("nothing was copied")
+    return read_table(spark, f"{at}/b", "orders")
+
+
+_LINES = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "spread"]
+
+
+@query(
+    "column_profile_dense",
+    " union all ".join(
+        f"select '{c}' as column_name, cast(count(*) - count({e}) as bigint) as missing, (count(*) - count({e})) / count(*)::double as missing_ratio, count(distinct {e}) as distinct_values from lineitem"
+        for c, e in [(c, {"l_partkey": "nullif(l_partkey, 7)", "spread": "(l_partkey * 1000000007 - 5)"}.get(c, c)) for c in _LINES]
+    ),
+)
+def _(spark, d):
+    """Keys close together go as bitmaps, others by their values."""
+    df = read_table(spark, d, "lineitem").withColumn("spread", F.col("l_partkey").cast("long") * 1000000007 - 5).withColumn("l_partkey", F.nullif("l_partkey", F.lit(7)))
+    return profile.column_profile(df, _LINES)
+
+
 @query("versioned_output", "select 'aside' as output, count(*) as n from nation union all select 'current', count(*) from region")
 def _(spark, d):
     at = tables.scratch(spark)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +73,67 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def copy_raw(spark: SparkSession, source: str, target: str) -> None:
-    """The bytes of a file or folder as they are, between any two stores that Hadoop knows."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    a, b = hadoop.Path(source), hadoop.Path(target)
-    if not hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf):
-        raise OSError(f"could not copy {source}")
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name below path, bytes) of each file; of a file alone, the name is empty."""
+    p, fs = _path(spark, path)
+    root = fs.makeQualified(p).toString()
+    found, names = fs.listFiles(p, True), []
+    while found.hasNext():
+        status = found.next()
+        names.append((status.getPath().toString()[len(root) :].lstrip("/"), status.getLen()))
+    return names
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as Arrow's file systems read it."""
+    p, fs = _path(spark, path)
+    whole = fs.makeQualified(p).toUri().toString()
+    scheme, rest = whole.split(":", 1)
+    return f"file:///{rest.lstrip('/')}" if scheme == "file" else f"{'s3' if scheme == 's3a' else scheme}:{rest}"
+
+
+#: Bytes that a copying task holds at a time.
+_PIECE = 8 << 20
+
+
+def copy_raw(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """The bytes of a file or folder as they are; returns (name, bytes, sha256) of each file.
+
+    The list of files is spread over tasks, the larger ones first; each streams its files through memory in pieces,
+    writes beside the target's name and renames, so a task that runs again does no harm. A file whose length is not what
+    was listed raises, as does an absent source; of an empty folder there are no rows. Stores must be known to Arrow on
+    the executors (local and mounted folders, HDFS, S3, GCS).
+    """
+    require_paths(spark, [source])
+    files = _files(spark, source)
+    if not files:
+        p, fs = _path(spark, target)
+        fs.mkdirs(p)
+    begin, end = _uri(spark, source), _uri(spark, target)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, size in zip(*[c.to_pylist() for c in b.columns[:2]]):
+                (fs, root), (to_fs, to_root) = pafs.FileSystem.from_uri(begin), pafs.FileSystem.from_uri(end)
+                out = f"{to_root}/{name}".rstrip("/")
+                folder, _, last = out.rpartition("/")
+                staged_name, sha, done = f"{folder}/_{last}.{uuid.uuid4().hex}", hashlib.sha256(), 0
+                to_fs.create_dir(folder, recursive=True)
+                with fs.open_input_stream(f"{root}/{name}".rstrip("/"), compression=None) as a, to_fs.open_output_stream(staged_name, compression=None) as z:
+                    while piece := a.read(_PIECE):
+                        sha.update(piece)
+                        z.write(piece)
+                        done += len(piece)
+                if done != size:
+                    to_fs.delete_file(staged_name)
+                    raise OSError(f"{name or begin}: {done} bytes of {size}")
+                to_fs.move(staged_name, out)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([done]), pa.array([sha.hexdigest()])], names=["name", "bytes", "sha256"])
+
+    tasks = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    dealt = [(name, size, i % tasks) for i, (name, size) in enumerate(sorted(files, key=lambda f: -f[1]))]
+    listed = spark.createDataFrame(dealt, "name string, bytes long, task int").repartitionById(tasks, "task")
+    return cut(listed.mapInArrow(copy, "name string, bytes long, sha256 string"))
 
 
 def scratch(spark: SparkSession) -> str:
