@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import unicodedata
 
 import public_tokenizers
@@ -92,3 +93,11 @@ def test_clashing_names(spark):
     assert bpe.encode(df.withColumnRenamed("n_tokens", "tokens"), PATH, extra=["tokens"], ids=False).columns == ["id", "n_tokens", "tokens"]
     with pytest.raises(ValueError, match="decoded"):
         bpe.decode(bpe.encode(df, PATH).withColumn("decoded", F.lit(1)), PATH)
+
+
+def test_the_character_tables_take_little_memory():
+    tracemalloc.start()
+    bpe.newer_characters()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20

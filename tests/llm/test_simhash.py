@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tillage.llm import components, simhash
+from tillage.llm import common, components, simhash
 
 
 def plain(text):
@@ -95,6 +95,20 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    joins = []
+
+    def cut(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return common.cut(df)
+
+    monkeypatch.setattr(components, "cut", cut)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+    assert max(joins) == 2  # the two of a lookup: a plan holds no other star's
+
+
 def test_one_of_each_keeps_columns_of_any_name(spark):
     clashing = ["_id", "_version", "id", "version", "v", "n", "root", "fp", "c0", "a.b"]
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, ""), (5, "other words of another text")]

@@ -37,18 +37,19 @@ def byte_symbols() -> list[str]:
 def newer_characters() -> tuple[str, dict[int, int]]:
     """Where three Unicode versions disagree, for characters that Python's doesn't assign: the letters and digits, as ranges
     of a set, that the pattern library knows and the tokenizer's library takes for other signs; and the lower case
-    that the latter knows."""
-    told, ranges = regex.compile(r"[\p{L}\p{N}]"), []
-    new = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"]
-    low = normalizers.Lowercase().normalize_str("".join(new))
-    lower = {ord(a): ord(b) for a, b in zip(new, low, strict=True) if a != b}
-    new = [c for c in new if told.match(c)]
-    others = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str("".join(new))
-    for c in "".join(x for x, _ in others):
-        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
+    that the latter knows. A few thousand characters at a time: all of them would take 100 MB of the driver."""
+    told, ranges, lower = regex.compile(r"[\p{L}\p{N}]"), [], {}
+    for begin in range(0x80, 0x110000, 8192):
+        new = [c for c in map(chr, range(begin, min(begin + 8192, 0x110000))) if unicodedata.category(c) == "Cn"]
+        low = normalizers.Lowercase().normalize_str("".join(new))
+        lower |= {ord(a): ord(b) for a, b in zip(new, low, strict=True) if a != b}
+        new = [c for c in new if told.match(c)]
+        others = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str("".join(new))
+        for c in "".join(x for x, _ in others):
+            if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
     return "".join(f"{a}-{b}" for a, b in ranges), lower
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import pickle
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -84,6 +85,20 @@ def broadcast(spark: SparkSession, value: Any, what: str):
     return sent
 
 
+#: Seconds between two collections of the driver's garbage, at least.
+COLLECT_S = 5
+_collected = 0.0
+
+
+def collect(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage, as spark.cleaner.periodicGC.interval does: tables that were broadcast and
+    shuffles that nothing refers to go then, and the heap need not grow for them."""
+    global _collected
+    if time.monotonic() - _collected >= COLLECT_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share. Only a local master may lack the setting."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -105,6 +120,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     release()
+    collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

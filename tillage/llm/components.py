@@ -10,17 +10,23 @@ from tillage.llm.common import cut, drop_cut, lookup
 
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """large: neighbours greater than u move to the least of u's neighbourhood; else the others do. n: edges at most.
+    The edges are a cut, which is dropped.
 
     Minimums combine on the map side; edges then look theirs up, those of hubs without a shuffle to one task. No
-    neighbour list is ever built, so a hub costs no more than its edges.
+    neighbour list is ever built, so a hub costs no more than its edges. Minimums and star are cut each: every plan
+    scans files, where a round in one plan would hold the first star's scans and joins over and over.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")) if large else edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
     linked = lookup(both, least, ["u"], "n", 2 * n if large else n, F.xxhash64("v"))
     if large:
-        return linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    moved = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-    return moved.where("a <> b").distinct()
+        moved = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        moved = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b")
+    star = cut(moved.distinct())
+    drop_cut(least)
+    drop_cut(edges)
+    return star
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -35,9 +41,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not row[0] or tuple(row) == mark:
             break
         mark = tuple(row)
-        following = cut(_star(_star(edges, True, row[0]), False, row[0]))
-        drop_cut(edges)
-        edges = following
+        edges = _star(_star(edges, True, row[0]), False, row[0])
     else:
         raise RuntimeError("components did not settle")
     # settled: stars, each node pointing at its root
